@@ -12,32 +12,28 @@ from tallyhouse import schema as S
 from tallyhouse.functions.scalars import dir_change_kind, file_change_kind
 
 
-def diff(files: DataFrame, a: str, b: str, limit: int = 100) -> DataFrame:
+def diff(files: DataFrame, a: str, b: str, limit: int | None = 100) -> DataFrame:
     """Files whose size differs between snapshots `a` and `b`, or that only one has.
 
-    A path that is a directory on either side is left out.
+    The largest changes come first; without a limit all come, in no order.  A
+    path that is a directory on either side is left out.
     """
     def on(side):
         return F.max(F.when(F.col("snapshot_id") == side, F.col("size")))
 
     size_a, size_b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
-    return (
+    changed = (
         files.where(F.col("snapshot_id").isin(a, b))
         .groupBy("path")
         .agg(on(a).alias("a"), on(b).alias("b"), F.max("is_dir").alias("any_dir"))
         .where(~F.col("any_dir") & ~F.col("a").eqNullSafe(F.col("b")))
         .select("path", size_a.alias("size_a"), size_b.alias("size_b"))
         .withColumn("delta", F.col("size_b") - F.col("size_a"))
-        .orderBy(F.desc(F.abs("delta")), "path")
-        .limit(limit)
-        .select(
-            "path",
-            file_change_kind(F.col("size_a"), F.col("size_b")).alias("kind"),
-            "size_a",
-            "size_b",
-            "delta",
-        )
     )
+    if limit is not None:
+        changed = changed.orderBy(F.desc(F.abs("delta")), "path").limit(limit)
+    kind = file_change_kind(F.col("size_a"), F.col("size_b")).alias("kind")
+    return changed.select("path", kind, "size_a", "size_b", "delta")
 
 
 def days_between(meta: DataFrame, a: str, b: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
-from tallyhouse.functions.paths import base_name, contains_any, explode_ancestors, parent_dir
+from tallyhouse.functions.paths import base_name, contains_any, explode_ancestors, has_segment, parent_dir
 from tallyhouse.operators.usage import usage_rows
 
 
@@ -57,8 +57,7 @@ def cleanup_totals(files: DataFrame, categories=None, usage: DataFrame | None =
         none = "category string, path string, bytes long, files long"
         return files.sparkSession.createDataFrame([], none)
     usage = usage_rows(files) if usage is None else usage
-    framed = F.concat(F.lit("/"), F.col("dir"), F.lit("/"))
-    inside = usage.where(contains_any(framed, [f"/{n}/" for n in names])).select("dir", "bytes", "files")
+    inside = usage.where(has_segment("dir", names)).select("dir", "bytes", "files")
     credits = explode_ancestors(inside, "dir", "path", include_self=True).where(_candidate("path", names))
     targets = cleanup_targets(files, categories).select(
         "path", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("files"), F.lit(True).alias("listed")

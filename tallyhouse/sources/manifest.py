@@ -34,34 +34,41 @@ def derive_columns(listing: DataFrame, root: str = "/") -> DataFrame:
     )
 
 
-def derive_directories(files: DataFrame, root: str = "/", mtime: int | None = None) -> DataFrame:
-    """Add the directory rows a flat listing lacks: every ancestor of a file, from `root` down.
+def missing_directories(files: DataFrame, root: str = "/", mtime: int | None = None) -> DataFrame:
+    """Directory rows a flat listing lacks: every ancestor of a file, from `root` down.
 
     Directories are made distinct before their ancestors are exploded, so the
     explosion costs directories times depth rather than files times depth.
-    Directory rows the listing has are merged in by path and keep their mtime;
-    all other columns of a directory follow from its path.
+    Directories that are listed already are left out.
     """
-    only_files = files.where(~F.col("is_dir")).select(FILES_COLUMNS)
-    own = only_files.select("snapshot_id", paths.parent_dir("path").alias("path")).distinct()
-    found = paths.explode_ancestors(own, "path", "path", include_self=True)
+    own = files.where(~F.col("is_dir")).select("snapshot_id", paths.parent_dir("path").alias("path"))
+    found = paths.explode_ancestors(own.distinct(), "path", "path", include_self=True)
     top = root.rstrip("/")
     if top:
         found = found.where((F.col("path") == top) | F.startswith("path", F.lit(f"{top}/")))
-    found = found.select("snapshot_id", "path", F.lit(None).cast("long").alias("mtime"), F.lit(False).alias("listed"))
-    listed = files.where("is_dir").select("snapshot_id", "path", "mtime", F.lit(True).alias("listed"))
-    merged = found.unionByName(listed).groupBy("snapshot_id", "path").agg(
-        F.max("mtime").alias("mtime"), F.max("listed").alias("listed")
+    marked = found.withColumn("listed", F.lit(False)).unionByName(
+        files.where("is_dir").select("snapshot_id", "path", F.lit(True).alias("listed"))
     )
-    directories = merged.select(
+    lacking = marked.groupBy("snapshot_id", "path").agg(F.max("listed").alias("listed")).where("NOT listed")
+    none = F.lit(None).cast("long")
+    bare = lacking.select(
         "snapshot_id",
         "path",
-        F.lit(None).cast("long").alias("size"),
-        F.lit(None).cast("long").alias("physical_size"),
-        F.when(F.col("listed"), F.col("mtime")).otherwise(F.lit(mtime).cast("long")).alias("mtime"),
+        none.alias("size"),
+        none.alias("physical_size"),
+        F.lit(mtime).cast("long").alias("mtime"),
         F.lit(True).alias("is_dir"),
     )
-    return only_files.unionByName(derive_columns(directories, root).select(FILES_COLUMNS))
+    return derive_columns(bare, root).select(FILES_COLUMNS)
+
+
+def derive_directories(files: DataFrame, root: str = "/", mtime: int | None = None) -> DataFrame:
+    """`files` and the directory rows it lacks.
+
+    The input is read twice; to read a costly source once, let
+    `SnapshotStore.write` add the directories from what it stored.
+    """
+    return files.select(FILES_COLUMNS).unionByName(missing_directories(files, root, mtime))
 
 
 def ingest_manifest(

@@ -19,6 +19,7 @@ from tallyhouse import schema as S
 from tallyhouse.functions.scalars import file_stem, rfc3339, snapshot_ts
 from tallyhouse.operators.tree import scan_roots
 from tallyhouse.operators.usage import dir_usage
+from tallyhouse.sources.manifest import missing_directories
 
 
 def scan_meta(
@@ -119,6 +120,8 @@ class SnapshotStore:
         started_at: int | None = None,
         ended_at: int | None = None,
         completed: bool = True,
+        directories: bool = False,
+        dir_mtime: int | None = None,
         replace: bool = False,
         sort_by_path: bool = False,
     ) -> list[str]:
@@ -126,6 +129,7 @@ class SnapshotStore:
 
         With `snapshot_id` all rows become that snapshot; otherwise they carry
         their own.  Committed snapshots are immutable unless `replace` is set.
+        `directories` adds the directory rows a flat listing lacks.
         `sort_by_path` range-partitions the rows by path, one extra shuffle that
         lets subtree reads skip most row groups.
 
@@ -148,17 +152,20 @@ class SnapshotStore:
                 "snapshot_id", "path"
             )
         self._put("files", files.select([f.name for f in S.FILES.fields]))
-        # Both side tables are computed from what was stored, not from `files`
-        # again: the stored columns are cheap to re-read, the source may not be.
+        # The rest is computed from what was stored, not from `files` again: the
+        # stored columns are cheap to re-read, the source may not be.
+        if directories:
+            lacking = missing_directories(self._partitions("files", ids), root or "/", dir_mtime)
+            self._put("files", lacking, mode="append")
         stored = self._partitions("files", ids)
         self._put("usage", dir_usage(stored))
         self._put("meta", scan_meta(stored, root, started_at, ended_at, completed).coalesce(1))
         return ids
 
-    def _put(self, table: str, rows: DataFrame) -> None:
+    def _put(self, table: str, rows: DataFrame, mode: str = "overwrite") -> None:
         (
             rows.write.partitionBy("snapshot_id")
-            .mode("overwrite")
+            .mode(mode)
             .option("partitionOverwriteMode", "dynamic")
             .parquet(f"{self.root}/{table}")
         )
