@@ -17,7 +17,7 @@ _CLAUSE = re.compile(
     r"""\s*(?P<field>[^\s<>=!'"]+)\s*
         (?P<op>>=|<=|!=|=|>|<|(?<=\s)like(?=[\s'"]))\s*
         (?P<value>'[^']*'|"[^"]*"|(?!and\b).+?)\s*
-        (?:\s(?P<more>and)\s|$)""",
+        (?:\s(?P<more>and)(?:\s|$)|$)""",
     re.IGNORECASE | re.VERBOSE | re.DOTALL,
 )
 

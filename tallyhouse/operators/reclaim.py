@@ -24,10 +24,8 @@ def _candidate(path: str, names) -> Column:
 
 
 def _category(names: dict[str, str]) -> Column:
-    by_category = F.lit(None).cast("string")
-    for name, category in names.items():
-        by_category = F.when(base_name("path") == name, category).otherwise(by_category)
-    return by_category
+    pairs = ", ".join(f"'{part}'" for pair in names.items() for part in pair)
+    return F.expr(f"element_at(map({pairs}), substring_index(path, '/', -1))")
 
 
 def cleanup_targets(files: DataFrame, categories=None) -> DataFrame:

@@ -46,11 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(index, values):
-    chosen = F.lit(None).cast("string")
-    for i, value in enumerate(values):
-        chosen = F.when(index == i, F.lit(value)).otherwise(chosen)
-    return chosen
+def _pick(index: str, values):
+    """The value at position `index`, a SQL expression."""
+    texts = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return F.expr(f"elt(CAST({index} AS INT) + 1, {texts})")
 
 
 def file_rows(spark: SparkSession, sf_dir: str, ids=None) -> DataFrame:
@@ -66,15 +65,15 @@ def file_rows(spark: SparkSession, sf_dir: str, ids=None) -> DataFrame:
         .agg(F.max("l_extendedprice").alias("price"))
     )
     ok, ln, pk, sk = (F.col(c) for c in ("ok", "ln", "pk", "sk"))
-    folder = F.concat(F.lit("/vol/s"), sk.cast("string"), F.lit("/"), _pick(pk % 10, _FOLDERS))
-    name = F.concat(F.lit("f"), F.concat_ws("_", ok.cast("string"), ln.cast("string"), pk.cast("string")), _pick(ok % 7, _SUFFIXES))
+    folder = F.concat(F.lit("/vol/s"), sk.cast("string"), F.lit("/"), _pick("pk % 10", _FOLDERS))
+    name = F.concat(F.lit("f"), F.concat_ws("_", ok.cast("string"), ln.cast("string"), pk.cast("string")), _pick("ok % 7", _SUFFIXES))
     base = items.select(
         "ok",
         "ln",
         (sk % 4).alias("cls"),
         F.concat(folder, F.lit("/"), name).alias("path"),
         name.alias("name"),
-        _pick(ok % 7, _EXTENSIONS).alias("ext"),
+        _pick("ok % 7", _EXTENSIONS).alias("ext"),
         F.when(ok % 97 == 0, F.lit(0)).otherwise(F.floor("price")).cast("long").alias("size0"),
         F.when(ln % 5 == 0, F.lit(None).cast("long"))
         .when(ok % 89 == 0, F.lit(1))
