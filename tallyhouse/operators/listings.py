@@ -83,8 +83,8 @@ def stats(files: DataFrame, physical: bool = False) -> DataFrame:
 def with_scan_meta(stats_rows: DataFrame, meta: DataFrame) -> DataFrame:
     """Complete `stats` with what is known about the scan.
 
-    A scanned snapshot without entries gets zeros; a snapshot without scan data
-    counts as complete.  Both sides have one row per snapshot.
+    A snapshot without scan data counts as complete.  Both sides have one row
+    per snapshot, so the join is far below any broadcast threshold.
     """
     scans = meta.select(
         "snapshot_id",
@@ -93,10 +93,8 @@ def with_scan_meta(stats_rows: DataFrame, meta: DataFrame) -> DataFrame:
         "started_at",
         (~F.col("completed")).alias("partial"),
     )
-    counts = ("files", "dirs", "total_bytes", "largest_bytes", "avg_bytes")
-    return stats_rows.join(scans, "snapshot_id", "full_outer").select(
-        "snapshot_id",
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in counts),
+    return stats_rows.join(scans, "snapshot_id", "left").select(
+        *stats_rows.columns,
         F.coalesce("partial", F.lit(False)).alias("partial"),
         "scan_root",
         "scan_duration_s",

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
-from tallyhouse.functions.paths import base_name, contains_any, explode_ancestors, has_segment, parent_dir
-from tallyhouse.operators.usage import usage_rows
+from tallyhouse.functions.paths import base_name, contains_any, explode_ancestors, parent_dir
+from tallyhouse.operators.usage import dir_usage
 
 
 def category_names(categories=None) -> dict[str, str]:
@@ -19,10 +19,6 @@ def protected(path: Column | str) -> Column:
     return contains_any(path, S.PROTECTED_SUBSTRINGS)
 
 
-def _candidate(path: str, names) -> Column:
-    return base_name(path).isin(list(names)) & ~protected(path)
-
-
 def _category(names: dict[str, str]) -> Column:
     pairs = ", ".join(f"'{part}'" for pair in names.items() for part in pair)
     return F.expr(f"element_at(map({pairs}), substring_index(path, '/', -1))")
@@ -45,18 +41,23 @@ def outermost(targets: DataFrame) -> DataFrame:
 def cleanup_totals(files: DataFrame, categories=None, usage: DataFrame | None = None) -> DataFrame:
     """(category, path, bytes, files) of every candidate directory, empty ones included.
 
-    Each directory's usage is credited to the candidates above it, which turns
-    the prefix join of files and targets into one aggregation.  Only usage that
-    has a candidate name in its path is exploded.  A file in nested candidates
-    counts for each.
+    The usage of a directory is credited to the candidate names above it and
+    the candidates join in as rows of zero bytes, so that one aggregation takes
+    the place of the prefix join of files and targets; names that turn out not
+    to be candidates have no such row.  A file in nested candidates counts for
+    each.
     """
     names = category_names(categories)
     if not names:
         none = "category string, path string, bytes long, files long"
         return files.sparkSession.createDataFrame([], none)
-    usage = usage_rows(files) if usage is None else usage
-    inside = usage.where(has_segment("dir", names)).select("dir", "bytes", "files")
-    credits = explode_ancestors(inside, "dir", "path", include_self=True).where(_candidate("path", names))
+    if usage is None:
+        usage = dir_usage(files.where(contains_any("path", [f"{name}/" for name in names])))
+    else:
+        usage = usage.where(contains_any("dir", names))
+    inside = usage.select("dir", "bytes", "files")
+    above = explode_ancestors(inside, "dir", "path", include_self=True)
+    credits = above.where(base_name("path").isin(list(names)))
     targets = cleanup_targets(files, categories).select(
         "path", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("files"), F.lit(True).alias("listed")
     )

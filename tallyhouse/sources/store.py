@@ -69,14 +69,21 @@ def resolve(catalog: DataFrame, spec: str) -> DataFrame:
 
     `@latest` follows the order of ids, as file names do.
     """
-    back = re.fullmatch(r"@latest(?:~([0-9]+))?", spec)
-    if not back:
-        if spec.startswith("@"):
-            raise ValueError(f"not a snapshot reference: {spec!r}")
+    back = _steps_back(spec)
+    if back is None:
         return catalog.select("snapshot_id").where(F.col("snapshot_id") == spec)
-    steps = int(back[1] or 0)
     newest = catalog.select("snapshot_id").orderBy(F.desc("snapshot_id"))
-    return newest.offset(steps).limit(1)
+    return newest.offset(back).limit(1)
+
+
+def _steps_back(spec: str) -> int | None:
+    """0 for `@latest`, N for `@latest~N`, None for an id."""
+    if not spec.startswith("@"):
+        return None
+    back = re.fullmatch(r"@latest(?:~([0-9]+))?", spec)
+    if not back:
+        raise ValueError(f"not a snapshot reference: {spec!r}")
+    return int(back[1] or 0)
 
 
 def at_age(catalog: DataFrame, now: int, age_seconds: int) -> DataFrame:
@@ -177,7 +184,9 @@ class SnapshotStore:
         return self._read("meta", S.SCAN_META)
 
     def ids(self) -> list[str]:
-        return sorted(r[0] for r in self.meta().select("snapshot_id").collect())
+        """Committed snapshots in order, read off the folder names of `meta` without a job."""
+        folders = (re.search(r"/snapshot_id=([^/]+)/", file) for file in self.meta().inputFiles())
+        return sorted({found[1] for found in folders if found})
 
     def listing(self) -> DataFrame:
         """(id, path, bytes stored, created) of every committed snapshot, by id.
@@ -207,14 +216,25 @@ class SnapshotStore:
 
     def resolve(self, spec: str = "@latest") -> str:
         """The id behind `@latest`, `@latest~N`, an id or the path of a snapshot."""
+        return self._resolve(spec, self.ids())
+
+    def _resolve(self, spec: str, ids: list[str]) -> str:
         if "/" in spec:
             spec = spec.rstrip("/").rsplit("/", 1)[-1].removeprefix("snapshot_id=")
-        return self._one(resolve(catalog_from(self.meta()), spec), spec)
+        back = _steps_back(spec)
+        found = ids[len(ids) - 1 - back :] if back is not None and back < len(ids) else []
+        if back is None and spec in ids:
+            found = [spec]
+        if not found:
+            raise LookupError(f"snapshot not found: {spec} ({len(ids)} committed)")
+        return found[0]
 
     def at_age(self, duration_seconds: int, now: int | None = None) -> str:
         moment = int(time.time()) if now is None else now
-        found = at_age(catalog_from(self.meta()), moment, duration_seconds)
-        return self._one(found, f"{duration_seconds} s before {moment}")
+        found = at_age(catalog_from(self.meta()), moment, duration_seconds).collect()
+        if not found:
+            raise LookupError(f"no snapshot {duration_seconds} s before {moment}")
+        return found[0]["snapshot_id"]
 
     def last_n(self, n: int) -> list[tuple[str, int]]:
         """(id, second) of the `n` newest snapshots, oldest first."""
@@ -223,12 +243,6 @@ class SnapshotStore:
             raise LookupError(f"{n} snapshots wanted, {len(rows)} found")
         return rows
 
-    def _one(self, found: DataFrame, wanted: str) -> str:
-        rows = found.select("snapshot_id").collect()
-        if not rows:
-            raise LookupError(f"snapshot not found: {wanted}")
-        return rows[0][0]
-
     # -- reading ------------------------------------------------------------
 
     def files(self, *specs: str) -> DataFrame:
@@ -240,7 +254,8 @@ class SnapshotStore:
         return self._partitions("usage", self._named(specs))
 
     def _named(self, specs) -> list[str]:
-        return [self.resolve(s) for s in specs] if specs else self.ids()
+        ids = self.ids()
+        return [self._resolve(spec, ids) for spec in specs] if specs else ids
 
     def _partitions(self, table: str, ids) -> DataFrame:
         """Only the folders of `ids` are listed, however many snapshots exist."""
