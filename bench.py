@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import activity, compare, listings, reclaim, retention, shape, tree, trend
-from tallyhouse.operators.usage import usage_rows
+from tallyhouse.operators.usage import dir_usage, usage_rows
 from tallyhouse.plans import inventory as I
 from tallyhouse.session import local_session, working_folder
 from tallyhouse.sources.store import SnapshotStore
@@ -51,9 +51,9 @@ def headline(store: SnapshotStore) -> dict:
         "diff": lambda: compare.diff(store.files(a, b), a, b),
         "growth": lambda: compare.growth(usage_rows(store.files(a, b)), store.meta(), a, b),
         "growth_stored": lambda: compare.growth(store.usage(a, b), store.meta(), a, b),
-        "growth_over_n": lambda: trend.growth_over_n(usage_rows(store.files(*(one for one, _ in last))), last, fill_target=10**9),
+        "growth_over_n": lambda: trend.growth_over_n(dir_usage(store.files(*(one for one, _ in last))), last, fill_target=10**9),
         "growth_over_n_stored": lambda: trend.growth_over_n(all_usage(), last, fill_target=10**9),
-        "classify_stored": lambda: shape.classify_pattern(trend.dir_series(all_usage()), last).groupBy("pattern").count(),
+        "classify_stored": lambda: shape.classify_pattern(all_usage(), last).groupBy("pattern").count(),
         "predict_stored": lambda: trend.predict(store.meta(), 10**10),
         "cleanup_scan": lambda: reclaim.cleanup_scan(latest()),
         "cleanup_scan_stored": lambda: reclaim.cleanup_scan(latest(), usage=rolled_up()),
@@ -70,7 +70,7 @@ def main():
     spark = local_session(cores, **{"spark.sql.shuffle.partitions": cores})
     store = SnapshotStore(spark, working_folder(spark, "bench"))
     start = time.perf_counter()
-    store.write(I.file_rows(spark, sf_dir), root=I.ROOT, directories=True, dir_mtime=I.DIR_MTIME)
+    store.write(I.file_rows(spark, sf_dir), snapshot_ids=I.IDS, root=I.ROOT, directories=True, dir_mtime=I.DIR_MTIME)
     ingest = time.perf_counter() - start
     times, rows = {}, {}
     for name, build in headline(store).items():

@@ -28,12 +28,11 @@ def diff(files: DataFrame, a: str, b: str, limit: int | None = 100) -> DataFrame
         .agg(on(a).alias("a"), on(b).alias("b"), F.max("is_dir").alias("any_dir"))
         .where(~F.col("any_dir") & ~F.col("a").eqNullSafe(F.col("b")))
         .select("path", size_a.alias("size_a"), size_b.alias("size_b"))
-        .withColumn("delta", F.col("size_b") - F.col("size_a"))
     )
-    if limit is not None:
-        changed = changed.orderBy(F.desc(F.abs("delta")), "path").limit(limit)
     kind = file_change_kind(F.col("size_a"), F.col("size_b")).alias("kind")
-    return changed.select("path", kind, "size_a", "size_b", "delta")
+    delta = (F.col("size_b") - F.col("size_a")).alias("delta")
+    rows = changed.select("path", kind, "size_a", "size_b", delta)
+    return rows if limit is None else rows.orderBy(F.desc(F.abs("delta")), "path").limit(limit)
 
 
 def days_between(meta: DataFrame, a: str, b: str) -> DataFrame:
@@ -54,21 +53,26 @@ def growth(usage: DataFrame, meta: DataFrame, a: str, b: str, limit: int = 50) -
     def on(side):
         return F.coalesce(F.sum(F.when(F.col("snapshot_id") == side, F.col("bytes"))), F.lit(0))
 
-    top = (
+    changed = (
         usage.where(F.col("snapshot_id").isin(a, b))
         .groupBy(F.col("dir").alias("path"))
         .agg(on(a).alias("size_a"), on(b).alias("size_b"))
         .where(F.col("size_a") != F.col("size_b"))
-        .withColumn("delta_bytes", F.col("size_b") - F.col("size_a"))
+    )
+    days = days_between(meta, a, b).scalar()
+    delta = F.col("size_b") - F.col("size_a")
+    # All columns come before the limit: two projections behind one would turn
+    # the top-k into a full sort.
+    return (
+        changed.select(
+            "path",
+            dir_change_kind(F.col("size_a"), F.col("size_b")).alias("kind"),
+            "size_a",
+            "size_b",
+            delta.alias("delta_bytes"),
+            (delta / days).alias("rate_bytes_per_day"),
+            days.alias("days_between"),
+        )
         .orderBy(F.desc(F.abs("delta_bytes")), "path")
         .limit(limit)
     )
-    return top.withColumn("days_between", days_between(meta, a, b).scalar()).select(
-        "path",
-        dir_change_kind(F.col("size_a"), F.col("size_b")).alias("kind"),
-        "size_a",
-        "size_b",
-        "delta_bytes",
-        (F.col("delta_bytes") / F.col("days_between")).alias("rate_bytes_per_day"),
-        "days_between",
-    )

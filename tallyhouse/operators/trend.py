@@ -25,18 +25,40 @@ def timed(rows: DataFrame, snapshots) -> DataFrame:
     return rows.where(F.col("snapshot_id").isin([one for one, _ in snapshots])).withColumn("ts", second)
 
 
+#: Up to this many snapshots, samples are kept in one plain column each.
+WIDE_LIMIT = 64
+
+
 def directory_trends(series: DataFrame, snapshots) -> DataFrame:
-    """Moments and ordered samples per directory; x is days before the newest snapshot."""
+    """Moments and ordered samples per directory; x is days before the newest snapshot.
+
+    `series` has one row per (snapshot_id, dir).  A sample list is at most as
+    long as `snapshots`.  For a usual number of them the samples are gathered
+    as that many maxima, which keeps the whole aggregation in fixed-width hash
+    buffers; only longer histories collect lists.
+    """
     newest = snapshots[-1][1]
     days = (F.col("ts") - F.lit(newest)) / F.lit(float(S.SECONDS_PER_DAY))
+    seconds = sorted({ts for _, ts in snapshots})
+    wide = len(seconds) <= WIDE_LIMIT
+    if wide:
+        gathered = [F.max(F.when(F.col("ts") == ts, F.col("bytes"))).alias(f"_at{i}") for i, ts in enumerate(seconds)]
+        samples = F.filter(
+            F.array(*(F.struct(F.lit(ts).cast("long").alias("ts"), F.col(f"_at{i}").alias("bytes")) for i, ts in enumerate(seconds))),
+            lambda s: s["bytes"].isNotNull(),
+        )
+        latest = F.col(f"_at{len(seconds) - 1}")
+    else:
+        gathered = [
+            F.collect_list(F.struct("ts", "bytes")).alias("_samples"),
+            F.max(F.when(F.col("ts") == newest, F.col("bytes"))).alias("_latest"),
+        ]
+        samples, latest = F.sort_array("_samples"), F.col("_latest")
     return (
         timed(series, snapshots)
         .groupBy(F.col("dir").alias("path"))
-        .agg(
-            *fit.moments(F.col("bytes"), days),
-            F.max(F.when(F.col("ts") == newest, F.col("bytes"))).alias("latest_bytes"),
-            F.sort_array(F.collect_list(F.struct("ts", "bytes"))).alias("samples"),
-        )
+        .agg(*fit.moments(F.col("bytes"), days), *gathered)
+        .select("path", *fit.MOMENT_COLUMNS, latest.alias("latest_bytes"), samples.alias("samples"))
     )
 
 
@@ -48,6 +70,8 @@ def latest_only(trends: DataFrame) -> DataFrame:
 def growth_over_n(usage: DataFrame, snapshots, limit: int = 50, fill_target: int | None = None) -> DataFrame:
     """Fastest-growing directories over three or more snapshots.
 
+    `usage` has one row per (snapshot_id, dir): the stored roll-up, or
+    `dir_usage(files)`.
     `snapshots` are (id, second) pairs, oldest first.  A snapshot without the
     directory is a gap in its series, not a zero; directories with fewer than
     three samples or gone from the newest snapshot are left out.
@@ -55,7 +79,7 @@ def growth_over_n(usage: DataFrame, snapshots, limit: int = 50, fill_target: int
     if len(snapshots) < 3:
         raise ValueError(f"a trend needs at least 3 snapshots, got {len(snapshots)}")
     newest = snapshots[-1][1]
-    trends = directory_trends(dir_series(usage), snapshots)
+    trends = directory_trends(usage, snapshots)
     per_day = fit.slope()
     fill = fill_second(F.lit(newest), F.lit(fill_target).cast("long"), F.col("per_day"))
     return (

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.scalars import BUCKETS
 from tallyhouse.operators import compare, retention, shape, trend
-from tallyhouse.operators.usage import usage_rows
+from tallyhouse.operators.usage import dir_usage, usage_rows
 from tallyhouse.plans import inventory as I
 from tallyhouse.plans.ingest import PARENT
 from tallyhouse.plans.registry import entries, query, store
@@ -153,7 +153,7 @@ def _growth_n_row(rows):
 
 @query("growth_over_n", files_sql(_GROWTH_N, _SERIES, _TREND))
 def growth_over_n(spark, sf_dir):
-    return _growth_n_row(trend.growth_over_n(usage(spark, sf_dir), I.TIMES, fill_target=_FILL))
+    return _growth_n_row(trend.growth_over_n(dir_usage(entries(spark, sf_dir)), I.TIMES, fill_target=_FILL))
 
 
 @query("growth_over_n_stored", files_sql(_GROWTH_N, _SERIES, _TREND))

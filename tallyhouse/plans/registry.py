@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.plans.inventory import DIR_MTIME, ROOT, file_rows
+from tallyhouse.plans.inventory import DIR_MTIME, IDS, ROOT, file_rows
 from tallyhouse.session import working_folder
 from tallyhouse.sources.store import SnapshotStore
 
@@ -30,7 +30,7 @@ def store(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         made = SnapshotStore(spark, working_folder(spark, "store"))
-        made.write(file_rows(spark, sf_dir), root=ROOT, directories=True, dir_mtime=DIR_MTIME)
+        made.write(file_rows(spark, sf_dir), snapshot_ids=IDS, root=ROOT, directories=True, dir_mtime=DIR_MTIME)
         _STORES[key] = made
     return _STORES[key]
 

@@ -123,6 +123,7 @@ class SnapshotStore:
         files: DataFrame,
         snapshot_id: str | None = None,
         *,
+        snapshot_ids: list[str] | None = None,
         root: str | None = None,
         started_at: int | None = None,
         ended_at: int | None = None,
@@ -135,7 +136,8 @@ class SnapshotStore:
         """Commit `files` as new snapshots and return their ids.
 
         With `snapshot_id` all rows become that snapshot; otherwise they carry
-        their own.  Committed snapshots are immutable unless `replace` is set.
+        their own, and naming them in `snapshot_ids` saves a pass that looks for
+        them (rows of other snapshots are then left out).  Committed snapshots are immutable unless `replace` is set.
         `directories` adds the directory rows a flat listing lacks.
         `sort_by_path` range-partitions the rows by path, one extra shuffle that
         lets subtree reads skip most row groups.
@@ -146,6 +148,9 @@ class SnapshotStore:
         if snapshot_id is not None:
             files = files.withColumn("snapshot_id", F.lit(snapshot_id))
             ids = [snapshot_id]
+        elif snapshot_ids is not None:
+            files = files.where(F.col("snapshot_id").isin(snapshot_ids))
+            ids = sorted(snapshot_ids)
         else:
             ids = sorted(r[0] for r in files.select("snapshot_id").distinct().toLocalIterator())
         for one in ids:

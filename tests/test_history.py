@@ -72,7 +72,7 @@ def test_growth_over_n(entries):
         "gone": [1, 2, 3, 4, None],
         "short": [None, None, None, 5, 6],
     })
-    rows = {r["path"]: r for r in records(trend.growth_over_n(usage_rows(files), snapshots, fill_target=1048576))}
+    rows = {r["path"]: r for r in records(trend.growth_over_n(dir_usage(files), snapshots, fill_target=1048576))}
     assert set(rows) == {"/t/growing", "/t/stable", "/t/gap"}
     growing = rows["/t/growing"]
     assert growing["slope_bytes_per_day"] == 3686 and growing["r2"] > 0.8
@@ -82,9 +82,16 @@ def test_growth_over_n(entries):
     stable = rows["/t/stable"]
     assert (stable["slope_bytes_per_day"], stable["r2"], stable["projected_fill_date"]) == (0, 0.0, None)
     assert rows["/t/gap"]["n_snapshots"] == 3 and rows["/t/gap"]["slope_bytes_per_day"] == 10
-    assert records(trend.growth_over_n(usage_rows(files), snapshots))[0]["projected_fill_date"] is None
+    assert records(trend.growth_over_n(dir_usage(files), snapshots))[0]["projected_fill_date"] is None
     with pytest.raises(ValueError, match="at least 3"):
-        trend.growth_over_n(usage_rows(files), snapshots[:2])
+        trend.growth_over_n(dir_usage(files), snapshots[:2])
+
+
+def test_long_histories_give_the_same_trends(entries, monkeypatch):
+    files, snapshots = _five(entries, {"growing": [1024, 2048, 4096, 8192, 16384], "gap": [10, None, 30, None, 50]})
+    wide = records(trend.growth_over_n(dir_usage(files), snapshots))
+    monkeypatch.setattr(trend, "WIDE_LIMIT", 2)
+    assert records(trend.growth_over_n(dir_usage(files), snapshots)) == wide
 
 
 @pytest.mark.parametrize("points, slope, intercept, r2", [
