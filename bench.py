@@ -40,7 +40,7 @@ def headline(store: SnapshotStore) -> dict:
 
     return {
         "top_files": lambda: listings.top_files(latest()),
-        "top_dirs": lambda: listings.top_dirs(usage_rows(latest())),
+        "top_dirs": lambda: listings.top_dirs(dir_usage(latest())),
         "top_dirs_stored": lambda: listings.top_dirs(rolled_up()),
         "by_extension": lambda: listings.by_extension(latest()),
         "stats": lambda: listings.with_scan_meta(listings.stats(latest()), store.meta()),

@@ -56,13 +56,13 @@ def by_extension(files: DataFrame, limit: int = 30, physical: bool = False) -> D
 
 
 def top_dirs(usage: DataFrame, limit: int = 30, physical: bool = False) -> DataFrame:
-    """Directories by the bytes lying directly in them."""
-    return (
-        usage.groupBy(F.col("dir").alias("path"))
-        .agg(F.sum(bytes_column(physical)).alias("total_size"))
-        .orderBy(F.desc("total_size"), "path")
-        .limit(limit)
-    )
+    """Directories by the bytes lying directly in them.
+
+    `usage` has one row per directory of one snapshot: the stored roll-up, which
+    needs no shuffle at all, or `dir_usage(files)`.
+    """
+    sized = usage.select(F.col("dir").alias("path"), bytes_column(physical).alias("total_size"))
+    return sized.orderBy(F.desc("total_size"), "path").limit(limit)
 
 
 def stats(files: DataFrame, physical: bool = False) -> DataFrame:

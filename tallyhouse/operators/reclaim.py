@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tallyhouse import schema as S
 from tallyhouse.functions.paths import base_name, contains_any, explode_ancestors, parent_dir
 from tallyhouse.operators.usage import dir_usage
+from tallyhouse.session import written
 
 
 def category_names(categories=None) -> dict[str, str]:
@@ -34,6 +35,8 @@ def cleanup_targets(files: DataFrame, categories=None) -> DataFrame:
 def outermost(targets: DataFrame) -> DataFrame:
     """Targets that lie in no other target."""
     above = explode_ancestors(targets.select("path"), "path", "above")
+    # Common ancestors such as the root have no candidate name and go at once.
+    above = above.where(base_name("above").isin(list(category_names())))
     nested = above.join(targets.select(F.col("path").alias("above")), "above", "left_semi")
     return targets.join(nested.select("path").distinct(), "path", "left_anti")
 
@@ -99,10 +102,15 @@ def after_cleanup(files: DataFrame, hits: DataFrame) -> DataFrame:
     """The inventory as it would be without the trees in `hits`.
 
     Whether a row goes depends on its directory alone, so the ancestors of
-    distinct directories are looked up, not those of every file.
+    distinct directories are looked up, not those of every file.  The
+    directories to drop are written to a working folder first: their true size
+    then decides whether Spark broadcasts them, which leaves the files where
+    they are, or shuffles both sides.  That write is a job of its own.
     """
     own = F.when(F.col("is_dir"), F.col("path")).otherwise(parent_dir("path"))
     placed = files.withColumn("_own", own)
-    ancestors = explode_ancestors(placed.select("_own").distinct(), "_own", "path", include_self=True)
-    doomed = ancestors.join(hits.select("path"), "path", "left_semi").select("_own").distinct()
-    return placed.join(doomed, "_own", "left_anti").drop("_own")
+    above = explode_ancestors(placed.select("_own").distinct(), "_own", "path", include_self=True)
+    if "category" in hits.columns:
+        above = above.where(base_name("path").isin(list(category_names())))
+    doomed = above.join(hits.select("path"), "path", "left_semi").select("_own").distinct()
+    return placed.join(written(doomed, "doomed"), "_own", "left_anti").drop("_own")

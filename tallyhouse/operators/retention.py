@@ -87,6 +87,10 @@ def removed_bytes(plan: DataFrame) -> DataFrame:
 
 
 def retained_files(files: DataFrame, plan: DataFrame) -> DataFrame:
-    """Entries of the snapshots a plan does not drop."""
-    stays = plan.where(F.col("action") != "removed").select(F.col("id").alias("snapshot_id"))
-    return files.join(stays, "snapshot_id", "left_semi")
+    """Entries of the snapshots a plan does not drop.
+
+    The plan is run and its ids, one short text per snapshot, become a filter on
+    the partition column: dropped snapshots are not read and no file is shuffled.
+    """
+    stays = plan.where(F.col("action") != "removed").select("id")
+    return files.where(F.col("snapshot_id").isin([row["id"] for row in stays.collect()]))

@@ -1,9 +1,9 @@
 """Bytes per directory, the common input of every directory question.
 
-`usage_rows` and `dir_usage` have the same columns and the same totals; the
-first is a projection of files, the second is grouped.  Operators on usage sum
-again, so they accept either: straight from files they cost one shuffle, from
-the stored roll-up they never touch files at all.
+`dir_usage(files)` and the roll-up a store keeps have one row per directory and
+snapshot.  `usage_rows(files)` has the same columns ungrouped, one row per file,
+for operators that sum by directory anyway: they then need one shuffle from
+files, and from the roll-up never touch files at all.
 """
 
 from pyspark.sql import DataFrame

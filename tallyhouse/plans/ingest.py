@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.scalars import seconds_in
 from tallyhouse.operators import listings, sqlview
-from tallyhouse.operators.usage import usage_rows
+from tallyhouse.operators.usage import dir_usage, usage_rows
 from tallyhouse.plans import inventory as I
 from tallyhouse.plans.registry import entries, landing_folder, query, store
 from tallyhouse.session import working_folder
@@ -211,7 +211,7 @@ def envelope_json(spark, sf_dir):
     ),
 )
 def records_ndjson(spark, sf_dir):
-    rows = listings.top_dirs(usage_rows(entries(spark, sf_dir, "@latest")))
+    rows = listings.top_dirs(dir_usage(entries(spark, sf_dir, "@latest")))
     return envelope.records_ndjson(rows)
 
 
@@ -251,7 +251,7 @@ def envelope_read(spark, sf_dir):
 )
 def scan_bundle(spark, sf_dir):
     files = entries(spark, sf_dir, "@latest")
-    return listings.scan_bundle(files, usage_rows(files), top=10, dirs=10, ext=10)
+    return listings.scan_bundle(files, dir_usage(files), top=10, dirs=10, ext=10)
 
 
 @query(

@@ -6,7 +6,7 @@ from tallyhouse import schema as S
 from tallyhouse.functions.predicates import like
 from tallyhouse.functions.scalars import size_of
 from tallyhouse.operators import activity, ignore, listings, reclaim, tree
-from tallyhouse.operators.usage import dir_usage, usage_rows
+from tallyhouse.operators.usage import dir_usage
 from tallyhouse.plans import inventory as I
 from tallyhouse.plans.ingest import PARENT, L
 from tallyhouse.plans.registry import entries, query, store
@@ -288,12 +288,12 @@ def _top_dirs_sql(size):
 
 @query("top_dirs", _top_dirs_sql("size"))
 def top_dirs(spark, sf_dir):
-    return listings.top_dirs(usage_rows(latest(spark, sf_dir)))
+    return listings.top_dirs(dir_usage(latest(spark, sf_dir)))
 
 
 @query("top_dirs_physical", _top_dirs_sql(PHYSICAL))
 def top_dirs_physical(spark, sf_dir):
-    return listings.top_dirs(usage_rows(latest(spark, sf_dir)), physical=True)
+    return listings.top_dirs(dir_usage(latest(spark, sf_dir)), physical=True)
 
 
 def _stats_sql(size):

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def working_folder(spark: SparkSession, label: str) -> str:
@@ -20,6 +20,17 @@ def working_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/tallyhouse/{label}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """`rows` written to a new working folder and read back.
+
+    This cuts the lineage in a way that survives lost executors, and the planner
+    then knows the true size, which it only guesses for a computed result.
+    """
+    folder = working_folder(rows.sparkSession, label)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tallyhouse")

@@ -91,8 +91,11 @@ def _plain(value: Column, kind: T.DataType) -> Column:
         return value.cast("string")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(value.cast("timestamp"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        # Read as UTC whatever the session zone is.
+        return F.unix_micros(F.concat(value.cast("string"), F.lit("Z")).cast("timestamp"))
     if isinstance(kind, T.DateType):
         return F.unix_date(value)
     if isinstance(kind, T.BinaryType):

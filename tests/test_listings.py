@@ -2,7 +2,7 @@ import pytest
 from conftest import NOW, records
 
 from tallyhouse.operators import activity, listings, tree
-from tallyhouse.operators.usage import dir_usage, usage_rows
+from tallyhouse.operators.usage import dir_usage
 from tallyhouse.sources.store import scan_meta
 
 
@@ -43,8 +43,7 @@ def test_partial_scan_and_missing_scan_data(seeded):
 
 def test_top_dirs_counts_direct_children_only(entries):
     files = entries(("/a/x", 1), ("/a/b/y", 10), ("/a/b/z", 5), ("/top", 3))
-    for usage in (usage_rows(files), dir_usage(files)):
-        assert [tuple(r.values()) for r in records(listings.top_dirs(usage))] == [("/a/b", 15), ("", 3), ("/a", 1)]
+    assert [tuple(r.values()) for r in records(listings.top_dirs(dir_usage(files)))] == [("/a/b", 15), ("", 3), ("/a", 1)]
 
 
 def test_physical_falls_back_to_logical(spark, entries):
@@ -54,7 +53,7 @@ def test_physical_falls_back_to_logical(spark, entries):
         "physical_size", F.when(F.col("name") == "y", F.lit(4096).cast("long"))
     )
     assert [r["size"] for r in records(listings.top_files(files, physical=True))] == [4096, 100]
-    assert records(listings.top_dirs(usage_rows(files), physical=True))[0]["total_size"] == 4196
+    assert records(listings.top_dirs(dir_usage(files), physical=True))[0]["total_size"] == 4196
     assert records(listings.stats(files, physical=True))[0]["total_bytes"] == 4196
 
 
@@ -89,7 +88,7 @@ def test_churn(entries):
 
 
 def test_bundle_holds_only_what_was_asked_for(seeded):
-    rows = records(listings.scan_bundle(seeded, usage_rows(seeded), top=1, ext=2))
+    rows = records(listings.scan_bundle(seeded, dir_usage(seeded), top=1, ext=2))
     assert [r["section"] for r in rows] == ["stats", "top", "ext", "ext"]
     assert rows[0]["dirs"] == 2 and rows[1]["bytes"] == 16384
 

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import check_queries  # noqa: E402
 
 import __spark_entry__ as contract  # noqa: E402
-from tallyhouse.operators import compare, listings, reclaim, tree, trend  # noqa: E402
+from tallyhouse.operators import compare, listings, reclaim, retention, tree, trend  # noqa: E402
 from tallyhouse.operators.usage import dir_usage, usage_rows  # noqa: E402
 from tallyhouse.plans import inventory as I  # noqa: E402
 from tallyhouse.plans.registry import store  # noqa: E402
@@ -70,7 +70,7 @@ def test_trends_stay_in_hash_buffers(snaps):
 
 
 @pytest.mark.parametrize("build", [
-    lambda f: listings.top_dirs(usage_rows(f)),
+    lambda f: listings.top_dirs(dir_usage(f)),
     listings.by_extension,
     listings.stats,
     lambda f: tree.subtree_sizes(dir_usage(f)),
@@ -82,7 +82,7 @@ def test_aggregations_over_files_are_hash_based(snaps, build):
 
 
 def test_scans_read_only_what_they_need(snaps):
-    text = plan(listings.top_dirs(usage_rows(snaps.files("@latest"))))
+    text = plan(listings.top_dirs(dir_usage(snaps.files("@latest"))))
     assert "ReadSchema: struct<path:string,size:bigint,is_dir:boolean>" in text
     assert "EqualTo(is_dir,true)" in text.split("PushedFilters")[1]
     text = plan(listings.find_files(snaps.files("@latest"), "*.log"))
@@ -93,5 +93,16 @@ def test_scans_read_only_what_they_need(snaps):
     assert "StringStartsWith(path,/vol/s1/)" in text
 
 
+def test_roll_up_needs_no_shuffle_for_top_dirs(snaps):
+    assert "Exchange" not in plan(listings.top_dirs(snaps.usage("@latest")))
+
+
+def test_retained_files_are_found_by_partition(spark, snaps):
+    policy = retention.Policy(last=1, monthly=1)
+    kept = retention.retained_files(snaps.files(), retention.retention_plan(snaps.listing(), policy))
+    text = plan(kept)
+    assert "Join" not in text and re.search(rf"PartitionFilters: \[[^]]*snapshot_id#[0-9]+ = {I.LATEST}", text)
+
+
 def test_one_snapshot_lists_one_folder(snaps):
     assert len(set(re.findall(r"snapshot_id=([0-9_-]+)/", " ".join(snaps.files("@latest").inputFiles())))) == 1

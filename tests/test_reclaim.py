@@ -112,3 +112,26 @@ def test_ignore_filter(entries):
     files = entries(("/x/foo", 1), ("/x/myfoodir", None), ("/foo/bar", 1), ("/x/a.b", 2), ("/x/axb", 3))
     assert sorted(r["name"] for r in records(ignore.ignore_filter(files, ["foo", "a.b"]))) == ["axb", "bar"]
     assert ignore.ignore_filter(files, []).count() == 5
+
+
+def test_after_cleanup_with_one_hot_directory(spark, entries, monkeypatch):
+    """A directory with most rows, too large to broadcast: split, and nothing lost."""
+    rows = [(f"/hot/f{i}", 1) for i in range(3000)] + [(f"/p{i}/target/g", 1) for i in range(300)]
+    files = entries(*rows, *((f"/p{i}/target", None) for i in range(300))).repartition(8)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rest = reclaim.after_cleanup(files, reclaim.cleanup_totals(files))
+        assert {r["path"] for r in records(rest)} == {f"/hot/f{i}" for i in range(3000)}
+        assert "skew" in rest._jdf.queryExecution().executedPlan().toString().lower()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
