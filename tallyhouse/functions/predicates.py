@@ -52,6 +52,8 @@ def _value(text: str):
     size = bytes_in(text)
     if size is not None:
         return size
+    if re.fullmatch(r"[+-]?[0-9][0-9.]*\s*[KMGT]?I?B", text, re.IGNORECASE):
+        raise ValueError(f"not a size: {text!r} (whole numbers only)")
     return float(text) if re.fullmatch(r"[+-]?[0-9]+\.[0-9]+", text) else text
 
 

@@ -9,6 +9,7 @@ from tallyhouse.plans import inventory as I
 from tallyhouse.plans.ingest import PARENT
 from tallyhouse.plans.registry import entries, query, store
 from tallyhouse.plans.single import PHYSICAL, files_sql
+from tallyhouse.sources import envelope
 from tallyhouse.sources.store import scan_meta
 
 A, B = I.PREVIOUS, I.LATEST
@@ -318,6 +319,25 @@ def retention_plan(spark, sf_dir):
     return plan.withColumn("reasons", F.array_join("reasons", ","))
 
 
+@query(
+    "forget_json",
+    files_sql(
+        """SELECT CAST(to_json({'schema_version': 1, 'kind': 'forget', 'applied': false,
+          'kept': (SELECT list({'id': id, 'path': path, 'bytes': bytes, 'reasons': string_split(reasons, ',')} ORDER BY id DESC)
+            FROM plan WHERE action = 'kept'),
+          'removed': (SELECT list({'id': id, 'path': path, 'bytes': bytes, 'created': created} ORDER BY id DESC)
+            FROM plan WHERE action = 'removed'),
+          'skipped_unparseable': CAST([] AS VARCHAR[]),
+          'total_removed_bytes': (SELECT CAST(sum(bytes) AS BIGINT) FROM plan WHERE action = 'removed')}) AS VARCHAR) AS json""",
+        _CATALOG,
+        _KEPT,
+        _PLAN,
+    ),
+)
+def forget_json(spark, sf_dir):
+    return envelope.forget_json(retention.retention_plan(catalog(spark, sf_dir), _POLICY), limit=10_000)
+
+
 @query("removed_bytes", files_sql("SELECT CAST(sum(bytes) AS BIGINT) AS total_removed_bytes FROM plan WHERE action = 'removed'", _CATALOG, _KEPT, _PLAN))
 def removed_bytes(spark, sf_dir):
     return retention.removed_bytes(retention.retention_plan(catalog(spark, sf_dir), _POLICY))

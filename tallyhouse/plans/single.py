@@ -10,6 +10,7 @@ from tallyhouse.operators.usage import dir_usage
 from tallyhouse.plans import inventory as I
 from tallyhouse.plans.ingest import PARENT, L
 from tallyhouse.plans.registry import entries, query, store
+from tallyhouse.sources import envelope
 from tallyhouse.sources.store import scan_meta
 
 MTIME = "strftime(make_timestamp(mtime * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS mtime"
@@ -246,6 +247,24 @@ def cleanup_summary(spark, sf_dir):
     return reclaim.cleanup_summary(reclaim.cleanup_scan(latest(spark, sf_dir)), total=True)
 
 
+@query(
+    "cleanup_json",
+    I.inventory_sql(
+        """SELECT CAST(to_json({'schema_version': 1, 'kind': 'cleanup', 'applied': false, 'removed': CAST([] AS VARCHAR[]),
+          'records': (SELECT list({'category': category, 'path': path, 'bytes': bytes, 'files': files} ORDER BY bytes DESC, path) FROM top),
+          'summary': (SELECT list({'category': category, 'paths': paths, 'bytes': bytes, 'files': files} ORDER BY bytes DESC, category) FROM sums),
+          'total_bytes': (SELECT CAST(sum(bytes) AS BIGINT) FROM top)}) AS VARCHAR) AS json""",
+        _TARGETS,
+        _CREDITED,
+        "top AS (SELECT * FROM credited ORDER BY bytes DESC, path LIMIT 100)",
+        """sums AS (SELECT category, count(*) AS paths, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(files) AS BIGINT) AS files
+          FROM top GROUP BY category)""",
+    ),
+)
+def cleanup_json(spark, sf_dir):
+    return envelope.cleanup_json(reclaim.cleanup_scan(latest(spark, sf_dir)))
+
+
 @query(
     "after_cleanup",
     I.inventory_sql(

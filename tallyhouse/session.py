@@ -24,7 +24,8 @@ def written(rows: DataFrame, label: str) -> DataFrame:
     """`rows` written to a new working folder and read back.
 
     This cuts the lineage in a way that survives lost executors, and the planner
-    then knows the true size, which it only guesses for a computed result.
+    then knows the true size, which it only guesses for a computed result.  Like
+    checkpoint files, the folder is left to the owner of `spark.checkpoint.dir`.
     """
     folder = working_folder(rows.sparkSession, label)
     rows.write.parquet(folder)

@@ -13,6 +13,26 @@ def _json(value: Column, keep_nulls: bool) -> Column:
     return F.to_json(value, {"ignoreNullFields": str(not keep_nulls).lower()})
 
 
+def _document(kind: str, parts: dict, keep_nulls: bool = False) -> Column:
+    """{schema_version, kind, ...} as JSON text; parts are columns or plain values."""
+    columns = [F.lit(S.SCHEMA_VERSION).alias("schema_version"), F.lit(kind).alias("kind")]
+    for name, value in parts.items():
+        column = value if isinstance(value, Column) else F.lit(value)
+        columns.append((column.cast("string") if value is None else column).alias(name))
+    return _json(F.struct(*columns), keep_nulls).alias("json")
+
+
+def records_list(rows: DataFrame, order_by, limit: int) -> DataFrame:
+    """One row, one column `records`: the first `limit` rows by `order_by` as an ordered list."""
+    first = rows.orderBy(*order_by).limit(limit)
+    placed = first.select(
+        F.row_number().over(Window.orderBy(*order_by)).alias("_at"),
+        F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_record"),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_record")))
+    return placed.agg(F.transform(ordered, lambda r: r["_record"]).alias("records"))
+
+
 def envelope_json(
     rows: DataFrame, kind: str, order_by, limit: int, extra: dict | None = None, keep_nulls: bool = False
 ) -> DataFrame:
@@ -22,17 +42,73 @@ def envelope_json(
     makes a single document possible, so larger results go to `records_ndjson`.
     NULL fields are left out unless `keep_nulls` is set.
     """
-    first = rows.orderBy(*order_by).limit(limit)
-    placed = first.select(
-        F.row_number().over(Window.orderBy(*order_by)).alias("_at"),
-        F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_record"),
-    )
-    records = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_record"))), lambda r: r["_record"])
-    head = [F.lit(S.SCHEMA_VERSION).alias("schema_version"), F.lit(kind).alias("kind")]
-    middle = [F.lit(value).alias(name) for name, value in (extra or {}).items()]
-    return placed.agg(records.alias("records")).select(
-        _json(F.struct(*head, *middle, "records"), keep_nulls).alias("json")
+    listed = records_list(rows, order_by, limit)
+    return listed.select(_document(kind, {**(extra or {}), "records": F.col("records")}, keep_nulls))
+
+
+def cleanup_json(hits: DataFrame, limit: int = 100) -> DataFrame:
+    """The document of a cleanup preview: hits, totals per category, and their sum.
+
+    The totals are taken over the listed hits, so the hits are computed once.
+    """
+    listed = records_list(hits, [F.desc("bytes"), F.asc("path")], limit)
+
+    def total(items, field):
+        return F.aggregate(items, F.lit(0).cast("long"), lambda acc, r: acc + r[field])
+
+    def of_category(category):
+        own = F.filter("records", lambda r: r["category"] == category)
+        return F.struct(
+            category.alias("category"),
+            F.size(own).cast("long").alias("paths"),
+            total(own, "bytes").alias("bytes"),
+            total(own, "files").alias("files"),
+        )
+
+    categories = F.array_sort(F.array_distinct(F.transform("records", lambda r: r["category"])))
+    by_bytes = F.array_sort(
+        F.transform(categories, of_category),
+        lambda a, b: F.when(a["bytes"] > b["bytes"], -1).when(a["bytes"] < b["bytes"], 1).otherwise(0),
     )
+    parts = {
+        "applied": False,
+        "removed": F.array().cast("array<string>"),
+        "records": F.col("records"),
+        "summary": by_bytes,
+        "total_bytes": total(F.col("records"), "bytes"),
+    }
+    return listed.select(_document("cleanup", parts))
+
+
+def forget_json(plan: DataFrame, limit: int) -> DataFrame:
+    """The document of a retention plan; `limit` bounds the snapshots it may list."""
+    listed = records_list(plan, [F.desc("id")], limit)
+
+    def with_action(action, *fields):
+        chosen = F.filter("records", lambda r: r["action"] == action)
+        return F.transform(chosen, lambda r: F.struct(*(r[f].alias(f) for f in fields)))
+
+    skipped = F.filter("records", lambda r: r["action"] == "skipped")
+    removed = with_action("removed", "id", "path", "bytes", "created")
+    parts = {
+        "applied": False,
+        "kept": with_action("kept", "id", "path", "bytes", "reasons"),
+        "removed": removed,
+        "skipped_unparseable": F.transform(skipped, lambda r: r["id"]),
+        "total_removed_bytes": F.aggregate(removed, F.lit(0).cast("long"), lambda acc, r: acc + r["bytes"]),
+    }
+    return listed.select(_document("forget", parts))
+
+
+def predict_json(prediction: DataFrame) -> DataFrame:
+    """The document of a prediction: one record, NULLs included except for the reason."""
+    named = [c for c in prediction.columns if c != "reason"]
+
+    def with_record(*fields):
+        return _document("predict", {"record": F.struct(*fields)}, keep_nulls=True)
+
+    text = F.when(F.col("reason").isNull(), with_record(*named)).otherwise(with_record(*named, "reason"))
+    return prediction.select(text.alias("json"))
 
 
 def records_ndjson(rows: DataFrame, keep_nulls: bool = False) -> DataFrame:

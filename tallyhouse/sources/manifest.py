@@ -1,11 +1,16 @@
 """Listings in, typed `files` rows out."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
 from tallyhouse.functions import paths
 
+#: Scheme and authority in front of a path, as in `s3a://bucket/key`.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
 FILES_COLUMNS = [field.name for field in S.FILES.fields]
 
 
@@ -84,7 +89,7 @@ def ingest_manifest(
 
 
 def ingest_listing(spark: SparkSession, root: str, snapshot_id: str) -> DataFrame:
-    """List a folder through the file source; file contents are never read.
+    """List a folder, given by its absolute path, through the file source; contents are never read.
 
     Spark holds such a listing on the driver and skips names that begin with
     `_` or `.`, so manifests are the way to ingest a large store.
@@ -95,11 +100,12 @@ def ingest_listing(spark: SparkSession, root: str, snapshot_id: str) -> DataFram
         .load(root)
         .select(
             F.lit(snapshot_id).alias("snapshot_id"),
-            F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "").alias("path"),
+            F.regexp_replace("path", _SCHEME, "").alias("path"),
             F.col("length").alias("size"),
             F.lit(None).cast("long").alias("physical_size"),
             F.unix_timestamp("modificationTime").alias("mtime"),
             F.lit(False).alias("is_dir"),
         )
     )
-    return derive_directories(derive_columns(entries, root), root)
+    inside = re.sub(_SCHEME, "", root)
+    return derive_directories(derive_columns(entries, inside), inside)

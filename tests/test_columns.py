@@ -146,7 +146,7 @@ def test_filter_conditions(spark, where, kept):
     assert [r["path"] for r in df.where(all_of(df, where)).collect()] == kept
 
 
-@pytest.mark.parametrize("text", ["just words", "size >", "= 5", "size > 1 AND", "AND size > 1 AND AND"])
+@pytest.mark.parametrize("text", ["just words", "size >", "= 5", "size > 1 AND", "AND size > 1 AND AND", "size > 1.5GB"])
 def test_bad_conditions(text):
     with pytest.raises(ValueError):
         conditions(text)

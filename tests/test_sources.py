@@ -5,7 +5,8 @@ from conftest import records
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
-from tallyhouse.operators import listings, sqlview, trend
+from tallyhouse.operators import listings, reclaim, sqlview, trend
+from tallyhouse.operators.retention import Policy, retention_plan
 from tallyhouse.operators.usage import dir_usage
 from tallyhouse.sources import envelope, manifest
 from tallyhouse.sources.store import SnapshotStore, new_snapshot_id
@@ -45,7 +46,7 @@ def test_listing_of_a_folder(spark, tmp_path):
     (tmp_path / "sub" / "inner").mkdir(parents=True)
     (tmp_path / "big.bin").write_bytes(b"0" * 16384)
     (tmp_path / "sub" / "inner" / "nested.png").write_bytes(b"0" * 8192)
-    files = manifest.ingest_listing(spark, str(tmp_path), "2026-05-15_10-00")
+    files = manifest.ingest_listing(spark, f"file://{tmp_path}/", "2026-05-15_10-00")
     rows = {r["path"].removeprefix(str(tmp_path)): r for r in records(files)}
     assert set(rows) == {"", "/big.bin", "/sub", "/sub/inner", "/sub/inner/nested.png"}
     assert (rows["/sub/inner/nested.png"]["size"], rows["/sub/inner/nested.png"]["depth"]) == (8192, 3)
@@ -115,6 +116,41 @@ def test_envelope(spark, seeded):
     assert json.loads(none.first()["json"])["records"] == []
 
 
+def test_cleanup_document(entries):
+    files = entries(
+        ("/p1/node_modules", None), ("/p1/node_modules/a", 4096), ("/p2/node_modules", None), ("/p2/node_modules/b", 1024),
+        ("/p1/target", None), ("/p1/target/c", 8192), ("/p3/venv", None),
+    )
+    document = json.loads(envelope.cleanup_json(reclaim.cleanup_scan(files)).first()["json"])
+    assert (document["kind"], document["applied"], document["removed"]) == ("cleanup", False, [])
+    assert [h["path"] for h in document["records"]] == ["/p1/target", "/p1/node_modules", "/p2/node_modules", "/p3/venv"]
+    assert document["summary"][:2] == [
+        {"category": "target", "paths": 1, "bytes": 8192, "files": 1},
+        {"category": "node_modules", "paths": 2, "bytes": 5120, "files": 2},
+    ]
+    assert document["total_bytes"] == 13312
+    empty = json.loads(envelope.cleanup_json(reclaim.cleanup_scan(files, ["gradle"])).first()["json"])
+    assert (empty["records"], empty["summary"], empty["total_bytes"]) == ([], [], 0)
+
+
+def test_forget_document(spark):
+    catalog = spark.createDataFrame(
+        [("2026-05-13_10-00", "/s/13", 10), ("2026-05-14_10-00", "/s/14", 20), ("manual", "/s/m", 5)], "id string, path string, bytes long"
+    )
+    document = json.loads(envelope.forget_json(retention_plan(catalog, Policy(last=1)), 100).first()["json"])
+    assert [k["id"] for k in document["kept"]] == ["2026-05-14_10-00"] and document["kept"][0]["reasons"] == ["last"]
+    assert [(r["id"], r["created"]) for r in document["removed"]] == [("2026-05-13_10-00", "2026-05-13T10:00:00Z")]
+    assert (document["skipped_unparseable"], document["total_removed_bytes"]) == (["manual"], 10)
+
+
+def test_predict_document(spark):
+    totals = spark.createDataFrame([("2026-05-01_00-00", 100), ("2026-05-02_00-00", 200)], "snapshot_id string, bytes long")
+    record = json.loads(envelope.predict_json(trend.predict(totals, 1000)).first()["json"])["record"]
+    assert record["fill_at"] == "2026-05-12T00:00:00Z" and "reason" not in record
+    record = json.loads(envelope.predict_json(trend.predict(totals)).first()["json"])["record"]
+    assert record["fill_at"] is None and record["free_bytes_now"] is None and record["reason"]
+
+
 def test_null_fields_are_left_out(entries):
     df = envelope.records_ndjson(listings.empty_files(entries(("/x", 0, None))))
     assert json.loads(df.first()["value"]) == {"path": "/x", "size": 0}
@@ -159,7 +195,7 @@ def test_any_result_as_json(spark):
 
 def test_free_sql(spark, snaps, seeded):
     snaps.write(seeded, "2026-05-15_10-00")
-    df = sqlview.sql_query(spark, "SELECT name, root FROM files CROSS JOIN scan_meta ORDER BY size DESC", snaps.files(), snaps.meta(), 2)
+    df = sqlview.sql_query(spark, "SELECT name, root FROM files JOIN scan_meta USING (snapshot_id) ORDER BY size DESC", snaps.files(), snaps.meta(), 2)
     assert [r["name"] for r in df.collect()] == ["big.bin", "other.bin"]
     assert not spark.catalog.tableExists("files")
 
