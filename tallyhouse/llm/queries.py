@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import line_dedup, sharding
-from tallyhouse.llm.tables import table
+from tallyhouse.llm import licenses, line_dedup, quality, sharding
+from tallyhouse.llm.tables import fold, table
 from tallyhouse.session import written
 
 QUERIES = {}
@@ -51,3 +51,19 @@ GROUP BY doc_id
 def op8_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, min_docs=10).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_licenses")
+def op10_licenses(spark, sf_dir):
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), by=["doc_id"])
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    return quality.judge(docs, labels, by=["doc_id"], strata=["lang"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("rejected_by", ",").alias("rejected_by"),
+    )
