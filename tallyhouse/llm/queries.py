@@ -1,8 +1,9 @@
 """One query for each operator, on the whole of its table, and SQL where SQL can say it."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import licenses, line_dedup, quality, sharding
+from tallyhouse.llm import licenses, line_dedup, packing, quality, sharding
 from tallyhouse.llm.tables import fold, table
 from tallyhouse.session import written
 
@@ -67,3 +68,9 @@ def op6_quality(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.array_join("rejected_by", ",").alias("rejected_by"),
     )
+
+
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), by=["doc_id"])
