@@ -107,12 +107,15 @@ PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apach
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: What every document with a phrase or a detection has in its raw text.
-GATE = (
-    r"(?i)licen[sc]|\bcc0?\b|gpl|\bgnu\b|apache|bsd|mozilla|\bmpl\b|\bepl\b|\bcddl\b|\bcpl\b|eupl|artistic|gfdl|odbl|\bodc\b|pddl|\bofl\b"
-    r"|\bms[^0-9a-z]+[pr]l\b|\bosl\b|\bafl\b|\basl\b|sspl|\bbusl\b|openrail|wtfpl|creative[^0-9a-z]+commons|creativecommons|spdx|permission"
-    r"|redistribut|public[^0-9a-z]+domain|proprietary|rights[^0-9a-z]+reserved|unencumbered|warranty|you[^0-9a-z]+just|opensource"
-)
+#: One of these stands in every document with a phrase or a detection, some as a whole word only.
+GATE_PARTS = (
+    "licen", "apache", "mozilla", "creative", "spdx", "permission", "redistribut", "public", "proprietary",
+    "reserved", "unencumbered", "warranty", "opensource", "openrail", "wtfpl", "artistic", "gplv",
+)
+GATE_WORDS = (
+    "cc", "cc0", "gpl", "lgpl", "agpl", "gnu", "bsd", "0bsd", "mpl", "epl", "cddl", "cpl", "eupl", "gfdl", "odbl", "odc", "pddl",
+    "ofl", "ms", "osl", "afl", "asl", "sspl", "busl", "lgplv2", "just",
+)
 
 
 @dataclass(frozen=True)
@@ -171,6 +174,27 @@ def normal(text: Column) -> Column:
     return F.concat(F.lit(" "), F.call_function("btrim", F.regexp_replace(ascii_lower(text), WORD_GAP, " ")), F.lit(" "))
 
 
+def gated(text: str) -> Column:
+    """Whether the text may hold a phrase or a detection.
+
+    Substrings first, as they are looked for byte by byte; a short keyword must also
+    stand between other characters than letters and digits.  lower() changes more than
+    A to Z, but never one of these into something else.
+    """
+
+    def any_of(low: Column) -> Column:
+        found = F.lit(False)
+        for part in GATE_PARTS:
+            found = found | F.contains(low, F.lit(part))
+        for word in GATE_WORDS:
+            gap = f"(?<![0-9a-z\\x{{80}}-\\x{{10FFFF}}]){word}(?![0-9a-z\\x{{80}}-\\x{{10FFFF}}])"
+            found = found | (F.contains(low, F.lit(word)) & F.rlike(low, F.lit(gap)))
+        return found
+
+    # a one-element array so that the text is lower-cased once
+    return F.coalesce(F.transform(F.array(F.lower(text)), any_of)[0], F.lit(False))
+
+
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -182,7 +206,7 @@ def detections(docs: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     rank; of two on the same words the better rank, then the earlier rule stands.
     Rows equal in `by` and text give their detections once.  A null text has none.
     """
-    source = docs.where(F.rlike(text, F.lit(GATE))).select(*by, F.xxhash64(text).alias("text_hash"), normal(F.col(text)).alias("norm"))
+    source = docs.where(gated(text)).select(*by, F.xxhash64(text).alias("text_hash"), normal(F.col(text)).alias("norm"))
     source = source.dropDuplicates([*by, "text_hash"])
     words = sorted({r.keyword for r in rules()})
     found = F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(F.col("norm"), k))
@@ -246,8 +270,7 @@ def scan_licenses(docs: DataFrame, by: list[str], text: str = "text") -> DataFra
         .agg(F.collect_set("label").alias("more"), F.max(best).alias("sure"))
         .withColumnsRenamed({c: f"{c}_found" for c in (*by, "text_hash")})
     )
-    gated = F.rlike(text, F.lit(GATE))
-    rows = docs.select(*by, F.xxhash64(text).alias("text_hash"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(gated, normal(F.col(text))).alias("norm"))
+    rows = docs.select(*by, F.xxhash64(text).alias("text_hash"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(gated(text), normal(F.col(text))).alias("norm"))
     places, first, last, labels = phrase_counts(F.col("norm"), F.col("n_words"))
     rows = rows.select(*by, "text_hash", "n_words", F.coalesce(places, F.lit(0)).cast("long").alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), F.coalesce(labels, F.array().cast("array<string>")).alias("base_labels"))
     same = rows["text_hash"] == found["text_hash_found"]
