@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import licenses, line_dedup, packing, quality, sharding
+from tallyhouse.llm import langid, licenses, line_dedup, packing, quality, sharding
 from tallyhouse.llm.tables import fold, table
 from tallyhouse.session import written
 
@@ -74,3 +74,10 @@ def op6_quality(spark, sf_dir):
 def op7_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), by=["doc_id"])
+
+
+@query("op9_language")
+def op9_language(spark, sf_dir):
+    held_out = fold(F.col("doc_id"), 4) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"), (~held_out).alias("teaches"))
+    return langid.identify(docs, "teaches", ["doc_id", "held_out"])
