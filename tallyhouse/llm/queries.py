@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import langid, licenses, line_dedup, packing, quality, sharding
+from tallyhouse.llm import langid, licenses, line_dedup, packing, quality, sharding, toxicity
 from tallyhouse.llm.tables import fold, table
 from tallyhouse.session import written
 
@@ -81,3 +81,11 @@ def op9_language(spark, sf_dir):
     held_out = fold(F.col("doc_id"), 4) == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"), (~held_out).alias("teaches"))
     return langid.identify(docs, "teaches", ["doc_id", "held_out"])
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0), by="doc_id")
+    rows = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return toxicity.score_toxicity(rows, model).drop("text")
