@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import langid, licenses, line_dedup, packing, quality, sharding, toxicity
+from tallyhouse.llm import langid, licenses, line_dedup, neardup, packing, quality, sharding, toxicity
 from tallyhouse.llm.tables import fold, table
 from tallyhouse.session import written
 
@@ -89,3 +89,8 @@ def op2_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0), by="doc_id")
     rows = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return toxicity.score_toxicity(rows, model).drop("text")
+
+
+@query("op5_neardup")
+def op5_neardup(spark, sf_dir):
+    return neardup.join_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), by="doc_id").drop("node", "twins")

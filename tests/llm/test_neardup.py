@@ -1,0 +1,124 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tallyhouse.llm import neardup
+from tallyhouse.llm.queries import QUERIES
+
+
+def brute_set(text):
+    words = re.findall(r"\w+", (text or "").lower())
+    size = min(5, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+def brute(docs, threshold=0.8):
+    """{position: (class_id, n_links, n_copies)} for rows (id, text)."""
+    texts = {}
+    for i, t in docs:
+        texts.setdefault(t or "", []).append(i)
+    names = list(texts)
+    sets = {t: brute_set(t) for t in names}
+    holder = {}
+    for t in names:
+        for s in sets[t]:
+            holder.setdefault(s, []).append(t)
+    root = {t: t for t in names}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    links = dict.fromkeys(names, 0)
+    for a in names:
+        common = {}
+        for s in sets[a]:
+            for b in holder[s]:
+                common[b] = common.get(b, 0) + 1
+        for b, n in common.items():
+            if b != a and n >= threshold * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+                links[a] += 1
+                root[find(a)] = find(b)
+    least = {}
+    for t in names:
+        for i in texts[t]:
+            r = find(t)
+            if i is not None and (r not in least or i < least[r]):
+                least[r] = i
+    return [(i, least.get(find(t or "")), links[t or ""], len(texts[t or ""])) for i, t in docs]
+
+
+def order(rows):
+    return sorted(rows, key=repr)
+
+
+def found(df):
+    return order((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in df.collect())
+
+
+def varied(seed, n_groups=12):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(300)]
+    docs = []
+    for _ in range(n_groups):
+        words = rng.choices(vocabulary, k=rng.choice([4, 9, 40, 120]))
+        for _ in range(rng.randint(1, 9)):
+            own = list(words)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            docs.append((len(docs), " ".join(own)))
+    return docs
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_agrees_with_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "GROUP_ROWS", 20)
+    docs = varied(1) + [(900, None), (901, ""), (902, "..."), (903, "a b"), (904, "A, b!"), (None, "a b"), (905, "x " * 20000), (905, "x " * 20000)]
+    df = spark.createDataFrame([(*d, 1, "n") for d in docs], "doc_id long, text string, n_links int, node string")
+    assert found(neardup.join_texts(df, by="doc_id")) == order(brute(docs))
+
+
+def test_one_keeper_in_each_class(spark):
+    docs = varied(2)
+    df = spark.createDataFrame(docs + docs[:5], "doc_id long, text string")
+    rows = neardup.join_texts(df, by="doc_id").collect()
+    keepers = [r for r in rows if r["keeper"]]
+    assert {r["class_id"] for r in rows} == {r["doc_id"] for r in keepers}
+    for r in keepers:
+        assert r["twins"] == sum(k["class_id"] == r["class_id"] for k in keepers)
+
+
+def test_chain_of_links_is_one_class(spark):
+    words = [f"w{i}" for i in range(100)]
+    docs = [(i, " ".join([f"v{k}" for k in range(i)] + words[i:])) for i in range(0, 60, 2)]
+    assert found(neardup.join_texts(spark.createDataFrame(docs, "doc_id long, text string"), by="doc_id")) == order(brute(docs))
+
+
+def test_forest_depth_meets_the_recall():
+    depth = neardup.prefix_depth()
+    assert 1 - (1 - 0.8**depth) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** neardup.TREES
+    assert neardup.prefix_depth(0.05) == 1
+
+
+def test_prefixes_meet_as_often_as_the_similarity_says():
+    rng, known = np.random.default_rng(0), 0
+    for _ in range(400):
+        base = rng.integers(0, 1 << 63, 180, np.uint64)
+        a, b = np.sort(base[:140]), np.sort(base[40:])
+        known += (neardup.prefixes(a, 8, 1) == neardup.prefixes(b, 8, 1)).sum()
+    assert abs(known / 3200 - 100 / 180) < 0.04
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert neardup.join_texts(df, by="doc_id").count() == 0
+
+
+def test_query_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert found(QUERIES["op5_neardup"](spark, sf)) == order(brute(docs))
