@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import langid, licenses, line_dedup, neardup, packing, quality, sharding, toxicity
+from tallyhouse.llm import decontaminate, langid, licenses, line_dedup, neardup, packing, quality, sharding, toxicity
 from tallyhouse.llm.tables import fold, table
 from tallyhouse.session import written
 
@@ -94,3 +94,9 @@ def op2_toxicity(spark, sf_dir):
 @query("op5_neardup")
 def op5_neardup(spark, sf_dir):
     return neardup.join_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), by="doc_id").drop("node", "twins")
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.overlaps(docs, items, by="doc_id", item="item_id").drop("text_hash")
