@@ -230,7 +230,7 @@ def pack(docs: DataFrame, path: str, by: list[str], text: str = "text", window:
 
     # the residual stream
     fills = solved.groupBy("sequence").agg(F.sum("rest").alias("filled")).where(F.col("filled") < window)
-    gaps = running(fills, "lo", F.lit(window) - F.col("filled"), F.floor(F.col("sequence") / 20_000), ["sequence"])
+    gaps = running(fills, "lo", F.lit(window) - F.col("filled"), F.floor(F.col("sequence") / 4_000), ["sequence"])
     gaps = gaps.select((F.col("sequence") + first).alias("sequence_id"), "filled", "lo", (F.col("lo") + window - F.col("filled")).alias("hi"))
     n_gap = fills.agg(F.coalesce(F.sum(F.lit(window) - F.col("filled")), F.lit(0))).first()[0]
     residual = placed.where("sequence IS NULL").select(*keys, "doc_tokens", "rest")
@@ -279,8 +279,11 @@ def _into_windows(stream: DataFrame, keys: list[str], n_gap: int, n_rest: int, f
         F.sequence(F.floor((F.col("at") - n_gap) / window), F.floor((F.col("hi") - 1 - n_gap) / window)),
         lambda i: F.struct((i * window + n_gap).alias("a"), F.least((i + 1) * window + n_gap, F.lit(n_gap + full * window)).alias("b"), (i + first).alias("s")),
     )
-    tail = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(s).cast("long").alias("s")) for a, b, s in ends])
-    spans = F.concat(wide, tail) if ends else wide
+    spans = wide
+    if ends:
+        # the few documents that reach into the powers of two see those as well
+        tail = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(s).cast("long").alias("s")) for a, b, s in ends])
+        spans = F.when(F.col("hi") > n_gap + full * window, F.concat(wide, tail)).otherwise(wide)
     lo, hi = F.greatest("at", "w.a"), F.least("hi", "w.b")
     return (
         left.select("*", F.explode(spans).alias("w"))

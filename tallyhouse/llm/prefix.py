@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that one task sorts, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def hash_bucket(keys: list[str], rows: int) -> Column:
