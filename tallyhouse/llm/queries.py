@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, langid, licenses, line_dedup, neardup, packing, quality, sharding, toxicity
+from tallyhouse.llm import decontaminate, html_text, langid, licenses, line_dedup, neardup, packing, quality, sharding, toxicity
 from tallyhouse.llm.tables import fold, table
 from tallyhouse.session import written
 
@@ -100,3 +100,8 @@ def op5_neardup(spark, sf_dir):
 def op1_decontamination(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.overlaps(docs, items, by="doc_id", item="item_id").drop("text_hash")
+
+
+@query("op3_html_text")
+def op3_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
