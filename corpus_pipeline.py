@@ -26,7 +26,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document all of whose lines go stays with an empty text.
     """
     wrapped = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"))
-    kept = line_dedup.dedup_lines(wrapped).where("n_dropped > 0 OR doc.text IS NULL OR doc.text = text")
+    kept = line_dedup.dedup_lines(wrapped)
     changed = F.col("n_dropped") > 0
     text = F.when(changed, F.col("text")).otherwise(F.col("doc.text"))
     new = {"text": text, "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))}
@@ -36,12 +36,13 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the smallest id."""
     node = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
-    classes = neardup.join_texts(docs.select("doc_id", "text"), by="doc_id")
-    classes = written(classes.where("keeper").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "twins").distinct(), "keepers")
-    kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["_id"]) & (node == classes["_node"])).drop("_id")
-    once = kept.where("twins = 1")
+    classes = neardup.join_texts(docs.select("doc_id", "text"), by="doc_id").where("keeper")
+    named = classes.select(F.col("doc_id").alias("_keeper_id"), F.col("node").alias("_keeper_node"), F.col("twins").alias("_keeper_twins"))
+    named = written(named.distinct(), "keepers")
+    kept = docs.join(named, docs["doc_id"].eqNullSafe(named["_keeper_id"]) & (node == named["_keeper_node"]))
+    once = kept.where("_keeper_twins = 1")
     # rows with the same id and text
-    again = kept.where("twins > 1").dropDuplicates(["_node"])
+    again = kept.where("_keeper_twins > 1").dropDuplicates(["_keeper_node"])
     return once.unionByName(again).select(*docs.columns)
 
 
