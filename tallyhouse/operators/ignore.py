@@ -38,10 +38,14 @@ def ignore_patterns(lines: DataFrame) -> DataFrame:
     )
 
 
-def ignore_filter(files: DataFrame, patterns=S.DEFAULT_IGNORES) -> DataFrame:
-    """Entries whose name holds none of `patterns` as a substring.
+def ignore_filter(files: DataFrame, patterns=(), defaults: bool = True, subtrees: bool = False, root: str = "") -> DataFrame:
+    """Entries whose name holds none of `patterns`, nor of the default ones, as a substring.
 
-    `patterns` is a short list on the driver, so the test is one column and
-    needs no join.
+    With `subtrees` an ignored directory takes all below it along: a pattern
+    without a slash that is in the path below `root` is in the name of the entry
+    or of a directory above.  The patterns are a short list on the driver, so the
+    test is one column and needs no join.
     """
-    return files.where(~contains_any("name", patterns))
+    unwanted = [*(S.DEFAULT_IGNORES if defaults else ()), *patterns]
+    tested = F.substr("path", F.lit(len(root.rstrip("/")) + 1)) if subtrees else F.col("name")
+    return files.where(~contains_any(tested, unwanted)) if unwanted else files

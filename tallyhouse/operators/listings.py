@@ -89,7 +89,8 @@ def with_scan_meta(stats_rows: DataFrame, meta: DataFrame) -> DataFrame:
     scans = meta.select(
         "snapshot_id",
         F.col("root").alias("scan_root"),
-        F.greatest(F.col("ended_at") - F.col("started_at"), F.lit(0)).alias("scan_duration_s"),
+        # greatest() alone would make a scan without an end last 0 seconds
+        F.when(F.col("ended_at").isNotNull(), F.greatest(F.col("ended_at") - F.col("started_at"), F.lit(0))).alias("scan_duration_s"),
         "started_at",
         (~F.col("completed")).alias("partial"),
     )

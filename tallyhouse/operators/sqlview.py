@@ -1,18 +1,33 @@
 """Free SQL over a snapshot."""
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def sql_query(spark: SparkSession, sql: str, files: DataFrame, meta: DataFrame, limit: int = 1000) -> DataFrame:
-    """At most `limit` rows of a Spark SQL query over the views `files` and `scan_meta`.
+    """At most `limit` rows of a Spark SQL query over `files` and `scan_meta`.
 
-    The views are resolved while the query is analysed and dropped again.
+    The query is put behind two common table expressions of those names, which
+    hide the session's own tables of the same name and leave them alone; they
+    read views with names of their own that are dropped again.  Only queries are
+    accepted.  Of `meta` the snapshots that `files` holds are seen.
     """
-    views = {"files": files, "scan_meta": meta}
-    for name, rows in views.items():
-        rows.createOrReplaceTempView(name)
+    body = sql.strip().rstrip(";")
+    recursive, rest = "", body
+    if start := re.match(r"with\b(\s+recursive\b)?", body, re.I):
+        recursive, rest = start[1] or "", body[start.end() :]
+    elif not re.match(r"(select|values|from|table)\b|\(", body, re.I):
+        raise ValueError("only queries are accepted")
+    held = meta.join(files.select(F.col("snapshot_id")).distinct(), "snapshot_id", "left_semi")
+    views = {name: f"tallyhouse_{uuid.uuid4().hex}" for name in ("files", "scan_meta")}
+    for name, rows in (("files", files), ("scan_meta", held)):
+        rows.createOrReplaceTempView(views[name])
+    heads = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
     try:
-        return spark.sql(sql).limit(limit)
+        return spark.sql(f"WITH{recursive} {heads}{',' + rest if rest is not body else ' ' + body}").limit(limit)
     finally:
-        for name in views:
-            spark.catalog.dropTempView(name)
+        for view in views.values():
+            spark.catalog.dropTempView(view)

@@ -4,7 +4,7 @@ A directory's series has one sample per snapshot, so it is at most as long as
 the list of snapshots; sums per (snapshot, directory) come first.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
@@ -25,41 +25,37 @@ def timed(rows: DataFrame, snapshots) -> DataFrame:
     return rows.where(F.col("snapshot_id").isin([one for one, _ in snapshots])).withColumn("ts", second)
 
 
-#: Up to this many snapshots, samples are kept in one plain column each.
-WIDE_LIMIT = 64
+def in_order(snapshots) -> list[tuple[str, int]]:
+    """(id, second) pairs by second, then id; the last one is the newest."""
+    return sorted(snapshots, key=lambda pair: (pair[1], pair[0]))
+
+
+def _by_directory(series: DataFrame, snapshots):
+    return timed(series, snapshots).groupBy(F.col("dir").alias("path"))
+
+
+def _moments(snapshots) -> list[Column]:
+    """Moments and newest bytes, all in fixed-width buffers; x is days before the newest snapshot."""
+    newest_id, newest = snapshots[-1]
+    days = (F.col("ts") - F.lit(newest)) / F.lit(float(S.SECONDS_PER_DAY))
+    latest = F.max(F.when(F.col("snapshot_id") == newest_id, F.col("bytes"))).alias("latest_bytes")
+    return [*fit.moments(F.col("bytes"), days), latest]
+
+
+def _samples() -> Column:
+    """The samples of a directory in order, as an aggregate."""
+    gathered = F.sort_array(F.collect_list(F.struct("ts", "snapshot_id", "bytes")))
+    return F.transform(gathered, lambda s: F.struct(s["ts"].alias("ts"), s["bytes"].alias("bytes"))).alias("samples")
 
 
 def directory_trends(series: DataFrame, snapshots) -> DataFrame:
-    """Moments and ordered samples per directory; x is days before the newest snapshot.
+    """Moments, newest bytes and ordered samples per directory.
 
-    `series` has one row per (snapshot_id, dir).  A sample list is at most as
-    long as `snapshots`.  For a usual number of them the samples are gathered
-    as that many maxima, which keeps the whole aggregation in fixed-width hash
-    buffers; only longer histories collect lists.
+    `series` has one row per (snapshot_id, dir); snapshots of the same second are
+    samples of their own.  A sample list is at most as long as `snapshots`.
     """
-    newest = snapshots[-1][1]
-    days = (F.col("ts") - F.lit(newest)) / F.lit(float(S.SECONDS_PER_DAY))
-    seconds = sorted({ts for _, ts in snapshots})
-    wide = len(seconds) <= WIDE_LIMIT
-    if wide:
-        gathered = [F.max(F.when(F.col("ts") == ts, F.col("bytes"))).alias(f"_at{i}") for i, ts in enumerate(seconds)]
-        samples = F.filter(
-            F.array(*(F.struct(F.lit(ts).cast("long").alias("ts"), F.col(f"_at{i}").alias("bytes")) for i, ts in enumerate(seconds))),
-            lambda s: s["bytes"].isNotNull(),
-        )
-        latest = F.col(f"_at{len(seconds) - 1}")
-    else:
-        gathered = [
-            F.collect_list(F.struct("ts", "bytes")).alias("_samples"),
-            F.max(F.when(F.col("ts") == newest, F.col("bytes"))).alias("_latest"),
-        ]
-        samples, latest = F.sort_array("_samples"), F.col("_latest")
-    return (
-        timed(series, snapshots)
-        .groupBy(F.col("dir").alias("path"))
-        .agg(*fit.moments(F.col("bytes"), days), *gathered)
-        .select("path", *fit.MOMENT_COLUMNS, latest.alias("latest_bytes"), samples.alias("samples"))
-    )
+    snapshots = in_order(snapshots)
+    return _by_directory(series, snapshots).agg(*_moments(snapshots), _samples())
 
 
 def latest_only(trends: DataFrame) -> DataFrame:
@@ -70,20 +66,21 @@ def latest_only(trends: DataFrame) -> DataFrame:
 def growth_over_n(usage: DataFrame, snapshots, limit: int = 50, fill_target: int | None = None) -> DataFrame:
     """Fastest-growing directories over three or more snapshots.
 
-    `usage` has one row per (snapshot_id, dir): the stored roll-up, or
-    `dir_usage(files)`.
-    `snapshots` are (id, second) pairs, oldest first.  A snapshot without the
-    directory is a gap in its series, not a zero; directories with fewer than
-    three samples or gone from the newest snapshot are left out.
+    `usage` is the stored roll-up, `dir_usage(files)` or `usage_rows(files)`.
+    `snapshots` are (id, second) pairs.  A snapshot without the directory is a
+    gap in its series, not a zero; directories with fewer than three samples or
+    gone from the newest snapshot are left out.
+
+    The moments of all directories decide which `limit` are listed; only those
+    have their samples gathered.
     """
     if len(snapshots) < 3:
         raise ValueError(f"a trend needs at least 3 snapshots, got {len(snapshots)}")
-    newest = snapshots[-1][1]
-    trends = directory_trends(usage, snapshots)
+    snapshots = in_order(snapshots)
+    series = dir_series(usage)
     per_day = fit.slope()
-    fill = fill_second(F.lit(newest), F.lit(fill_target).cast("long"), F.col("per_day"))
-    return (
-        latest_only(trends)
+    top = (
+        latest_only(_by_directory(series, snapshots).agg(*_moments(snapshots)))
         .where(F.col("_n") >= 3)
         .select(
             "path",
@@ -92,12 +89,25 @@ def growth_over_n(usage: DataFrame, snapshots, limit: int = 50, fill_target: int
             fit.r2().alias("r2"),
             "latest_bytes",
             F.col("_n").alias("n_snapshots"),
-            F.col("samples").alias("sample_paths_ts"),
         )
         .orderBy(F.desc("slope_bytes_per_day"), "path")
         .limit(limit)
-        .withColumn("projected_fill_date", rfc3339(fill))
-        .drop("per_day")
+    )
+    # at most `limit` rows
+    chosen = series.join(F.broadcast(top.select(F.col("path").alias("dir"))), "dir", "left_semi")
+    fill = fill_second(F.lit(snapshots[-1][1]), F.lit(fill_target).cast("long"), F.col("per_day"))
+    return (
+        top.join(F.broadcast(_by_directory(chosen, snapshots).agg(_samples())), "path")
+        .orderBy(F.desc("slope_bytes_per_day"), "path")
+        .select(
+            "path",
+            "slope_bytes_per_day",
+            "r2",
+            "latest_bytes",
+            "n_snapshots",
+            F.col("samples").alias("sample_paths_ts"),
+            rfc3339(fill).alias("projected_fill_date"),
+        )
     )
 
 

@@ -335,7 +335,7 @@ def retention_plan(spark, sf_dir):
     ),
 )
 def forget_json(spark, sf_dir):
-    return envelope.forget_json(retention.retention_plan(catalog(spark, sf_dir), _POLICY), limit=10_000)
+    return envelope.forget_json(retention.retention_plan(catalog(spark, sf_dir), _POLICY))
 
 
 @query("removed_bytes", files_sql("SELECT CAST(sum(bytes) AS BIGINT) AS total_removed_bytes FROM plan WHERE action = 'removed'", _CATALOG, _KEPT, _PLAN))

@@ -43,6 +43,15 @@ SCAN_META = T.StructType(
     ]
 )
 
+#: What a store knows of a snapshot: the scan and the data files it takes.
+STORED_META = T.StructType(
+    [
+        *SCAN_META.fields,
+        T.StructField("stored_bytes", T.LongType(), True),
+        T.StructField("stored_files", T.LongType(), True),
+    ]
+)
+
 #: Bytes and files lying directly in one directory of one snapshot.
 USAGE = T.StructType(
     [

@@ -80,9 +80,13 @@ def cleanup_json(hits: DataFrame, limit: int = 100) -> DataFrame:
     return listed.select(_document("cleanup", parts))
 
 
-def forget_json(plan: DataFrame, limit: int) -> DataFrame:
-    """The document of a retention plan; `limit` bounds the snapshots it may list."""
-    listed = records_list(plan, [F.desc("id")], limit)
+def forget_json(plan: DataFrame) -> DataFrame:
+    """The document of a retention plan: all its snapshots, newest id first.
+
+    One row per snapshot is what a single document can hold; nothing is cut.
+    """
+    fields = ("id", "path", "bytes", "created", "reasons", "action")
+    listed = plan.agg(F.sort_array(F.collect_list(F.struct(*fields)), asc=False).alias("records"))
 
     def with_action(action, *fields):
         chosen = F.filter("records", lambda r: r["action"] == action)
@@ -100,6 +104,14 @@ def forget_json(plan: DataFrame, limit: int) -> DataFrame:
     return listed.select(_document("forget", parts))
 
 
+def growth_n_json(rows: DataFrame, n_snapshots: int, limit: int, fill_target: int | None = None) -> DataFrame:
+    """The document of `growth_over_n`, each sample a pair of second and bytes."""
+    pairs = F.transform("sample_paths_ts", lambda s: F.array(s["ts"], s["bytes"]))
+    extra = {"n_snapshots": n_snapshots, "fill_target": fill_target}
+    order = [F.desc("slope_bytes_per_day"), F.asc("path")]
+    return envelope_json(rows.withColumn("sample_paths_ts", pairs), "growth_n", order, limit, extra, keep_nulls=True)
+
+
 def predict_json(prediction: DataFrame) -> DataFrame:
     """The document of a prediction: one record, NULLs included except for the reason."""
     named = [c for c in prediction.columns if c != "reason"]
@@ -123,7 +135,7 @@ def envelope_read(
 
     There is one document per line, or per file with `whole_files`.  Reading
     fails on anything that is no such document, has another schema version or
-    a kind not in `kinds`.
+    a kind not in `kinds`, and on any record that does not fit `record_schema`.
     """
     texts = spark.read.text(path, wholetext=whole_files).where(F.trim("value") != "")
     return parse_envelopes(texts, "value", record_schema, kinds)
@@ -135,7 +147,8 @@ def parse_envelopes(texts: DataFrame, column: str, record_schema, kinds=INPUT_KI
         [
             T.StructField("schema_version", T.LongType()),
             T.StructField("kind", T.StringType()),
-            T.StructField("records", T.ArrayType(record)),
+            # as text first: one record that does not fit must not take its neighbours along
+            T.StructField("records", T.ArrayType(T.StringType())),
         ]
     )
     parsed = texts.select(F.from_json(column, shape).alias("doc"))
@@ -148,13 +161,15 @@ def parse_envelopes(texts: DataFrame, column: str, record_schema, kinds=INPUT_KI
     )
     # The check sits inside the exploded value, so no plan can skip it.
     checked = F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.col("doc.records"))
-    return parsed.select(kind.alias("kind"), F.explode(checked).alias("record")).select("kind", "record.*")
+    texts = parsed.select(kind.alias("kind"), F.explode(checked).alias("text"))
+    fitted = F.from_json("text", record, {"mode": "FAILFAST"})
+    return texts.select("kind", fitted.alias("record")).select("kind", "record.*")
 
 
 def rows_as_json(rows: DataFrame) -> DataFrame:
     """Any result as one JSON object per row, column `value`, NULLs included.
 
-    Decimals become strings, timestamps microseconds, dates days, binary a size
+    Decimals become strings, timestamps and times microseconds, dates days, binary a size
     note, maps lists of {key, value}, intervals {months, days, nanos}, and
     floating numbers without a JSON form NULL.
     """
@@ -174,6 +189,8 @@ def _plain(value: Column, kind: T.DataType) -> Column:
         return F.unix_micros(F.concat(value.cast("string"), F.lit("Z")).cast("timestamp"))
     if isinstance(kind, T.DateType):
         return F.unix_date(value)
+    if isinstance(kind, T.TimeType):
+        return (value.cast("decimal(20,6)") * 1_000_000).cast("long")
     if isinstance(kind, T.BinaryType):
         return F.concat(F.lit("<blob:"), F.octet_length(value).cast("string"), F.lit(" bytes>"))
     if isinstance(kind, T.ArrayType):

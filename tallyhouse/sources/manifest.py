@@ -40,13 +40,13 @@ def derive_columns(listing: DataFrame, root: str = "/") -> DataFrame:
 
 
 def missing_directories(files: DataFrame, root: str = "/", mtime: int | None = None) -> DataFrame:
-    """Directory rows a flat listing lacks: every ancestor of a file, from `root` down.
+    """Directory rows a flat listing lacks: every ancestor of an entry, from `root` down.
 
     Directories are made distinct before their ancestors are exploded, so the
     explosion costs directories times depth rather than files times depth.
     Directories that are listed already are left out.
     """
-    own = files.where(~F.col("is_dir")).select("snapshot_id", paths.parent_dir("path").alias("path"))
+    own = files.select("snapshot_id", paths.parent_dir("path").alias("path"))
     found = paths.explode_ancestors(own.distinct(), "path", "path", include_self=True)
     top = root.rstrip("/")
     if top:

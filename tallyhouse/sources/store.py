@@ -12,7 +12,7 @@ import re
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
@@ -54,9 +54,14 @@ def scan_meta(
     )
 
 
+def duration() -> Column:
+    """Seconds from start to end, never negative; NULL without an end."""
+    return F.when(F.col("ended_at").isNotNull(), F.greatest(F.col("ended_at") - F.col("started_at"), F.lit(0)))
+
+
 def with_duration(meta: DataFrame) -> DataFrame:
     """Add `duration_s`, never negative, NULL for a scan without an end."""
-    return meta.withColumn("duration_s", F.greatest(F.col("ended_at") - F.col("started_at"), F.lit(0)))
+    return meta.withColumn("duration_s", duration())
 
 
 def catalog_from(meta: DataFrame) -> DataFrame:
@@ -137,7 +142,11 @@ class SnapshotStore:
 
         With `snapshot_id` all rows become that snapshot; otherwise they carry
         their own, and naming them in `snapshot_ids` saves a pass that looks for
-        them (rows of other snapshots are then left out).  Committed snapshots are immutable unless `replace` is set.
+        them.  The write fails on rows of snapshots that are not named, and on
+        named snapshots without rows.  Committed snapshots are immutable unless
+        `replace` is set; that takes the commit mark away first, so that a reader
+        sees the old snapshot, none, or the new one.  Replacing by an empty listing
+        leaves none.
         `directories` adds the directory rows a flat listing lacks.
         `sort_by_path` range-partitions the rows by path, one extra shuffle that
         lets subtree reads skip most row groups.
@@ -149,30 +158,68 @@ class SnapshotStore:
             files = files.withColumn("snapshot_id", F.lit(snapshot_id))
             ids = [snapshot_id]
         elif snapshot_ids is not None:
-            files = files.where(F.col("snapshot_id").isin(snapshot_ids))
-            ids = sorted(snapshot_ids)
+            other = F.raise_error(F.concat(F.lit("row of a snapshot that is not named: "), F.coalesce("snapshot_id", F.lit("NULL"))))
+            named = F.when(F.col("snapshot_id").isin(snapshot_ids), F.col("snapshot_id")).otherwise(other)
+            files = files.withColumn("snapshot_id", named)
+            ids = sorted(set(snapshot_ids))
         else:
             ids = sorted(r[0] for r in files.select("snapshot_id").distinct().toLocalIterator())
         for one in ids:
             if not re.fullmatch(r"[A-Za-z0-9._-]+", one):
                 raise ValueError(f"snapshot id {one!r} may hold letters, digits, '.', '_' and '-' only")
-        taken = set() if replace else set(ids) & set(self.ids())
-        if taken:
+        taken = set(ids) & set(self.ids())
+        if taken and not replace:
             raise ValueError(f"snapshots exist and are immutable: {sorted(taken)}")
+        for table in ("meta", "files", "usage"):
+            for one in taken:
+                self._remove(table, one)
         if sort_by_path:
             files = files.repartitionByRange("snapshot_id", "path").sortWithinPartitions(
                 "snapshot_id", "path"
             )
         self._put("files", files.select([f.name for f in S.FILES.fields]))
+        found = [one for one in ids if self._exists("files", one)]
+        if snapshot_ids is not None and found != ids:
+            raise LookupError(f"no rows for {sorted(set(ids) - set(found))}; nothing is committed")
+        if not found:
+            return []
         # The rest is computed from what was stored, not from `files` again: the
         # stored columns are cheap to re-read, the source may not be.
         if directories:
-            lacking = missing_directories(self._partitions("files", ids), root or "/", dir_mtime)
+            lacking = missing_directories(self._partitions("files", found), root or "/", dir_mtime)
             self._put("files", lacking, mode="append")
-        stored = self._partitions("files", ids)
-        self._put("usage", dir_usage(stored))
-        self._put("meta", scan_meta(stored, root, started_at, ended_at, completed).coalesce(1))
-        return ids
+        stored = self._partitions("files", found)
+        meta = scan_meta(stored, root, started_at, ended_at, completed)
+        # A snapshot without files has one row, its root, so that no partition is missing.
+        bare = stored.groupBy("snapshot_id").agg(F.count_if(~F.col("is_dir")).alias("n")).where("n = 0")
+        none = [F.lit(0).cast("long").alias(c) for c in ("files", "bytes", "physical_bytes")]
+        bare = bare.select("snapshot_id", F.lit(root or "/").alias("dir"), *none)
+        self._put("usage", dir_usage(stored).unionByName(bare))
+        self._put("meta", meta.join(self._stored_sizes(found), "snapshot_id", "left").coalesce(1))
+        return found
+
+    def _folder(self, table: str, one: str):
+        """Hadoop's file system and path of a partition; a job cannot remove a folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/snapshot_id={one}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, table: str, one: str) -> bool:
+        system, path = self._folder(table, one)
+        return system.exists(path)
+
+    def _remove(self, table: str, one: str) -> None:
+        system, path = self._folder(table, one)
+        system.delete(path, True)
+
+    def _stored_sizes(self, ids: list[str]) -> DataFrame:
+        """Bytes and number of the data files of new snapshots; none is opened."""
+        data = (
+            self.spark.read.format("binaryFile")
+            .option("pathGlobFilter", "*.parquet")
+            .load([f"{self.root}/files/snapshot_id={one}" for one in ids])
+            .select(F.regexp_extract("path", r"/snapshot_id=([^/]+)/", 1).alias("snapshot_id"), "length")
+        )
+        return data.groupBy("snapshot_id").agg(F.sum("length").alias("stored_bytes"), F.count(F.lit(1)).alias("stored_files"))
 
     def _put(self, table: str, rows: DataFrame, mode: str = "overwrite") -> None:
         (
@@ -194,28 +241,15 @@ class SnapshotStore:
         return sorted({found[1] for found in folders if found})
 
     def listing(self) -> DataFrame:
-        """(id, path, bytes stored, created) of every committed snapshot, by id.
-
-        The sizes come from a listing of the data files; none is opened.
-        """
-        if not self.ids():
-            return self.spark.createDataFrame([], "id string, path string, bytes long, created string")
-        data = (
-            self.spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.parquet")
-            .load(f"{self.root}/files")
+        """(id, path, bytes stored, created) of every committed snapshot, by id, from the scan records alone."""
+        return (
+            self._read("meta", S.STORED_META)
             .select(
-                F.regexp_extract("path", r"/snapshot_id=([^/]+)/", 1).alias("snapshot_id"),
-                F.regexp_extract("path", r"^(.*/snapshot_id=[^/]+)/", 1).alias("path"),
-                "length",
+                F.col("snapshot_id").alias("id"),
+                F.concat(F.lit(f"{self.root}/files/snapshot_id="), "snapshot_id").alias("path"),
+                F.col("stored_bytes").alias("bytes"),
+                rfc3339(snapshot_ts("snapshot_id")).alias("created"),
             )
-        )
-        return (
-            data.join(self.meta().select("snapshot_id"), "snapshot_id", "left_semi")
-            .groupBy(F.col("snapshot_id").alias("id"))
-            .agg(F.min("path").alias("path"), F.sum("length").alias("bytes"))
-            .withColumn("created", rfc3339(snapshot_ts("id")))
             .orderBy("id")
         )
 
@@ -263,17 +297,21 @@ class SnapshotStore:
         return [self._resolve(spec, ids) for spec in specs] if specs else ids
 
     def _partitions(self, table: str, ids) -> DataFrame:
-        """Only the folders of `ids` are listed, however many snapshots exist."""
+        """Only the folders of `ids` are listed, however many snapshots exist; each must be there."""
         schema = {"files": S.FILES, "usage": S.USAGE}[table]
-        return self._read(table, schema, "/snapshot_id={%s}" % ",".join(dict.fromkeys(ids)))
+        if not ids:
+            return self.spark.createDataFrame([], schema)
+        return self._read(table, schema, [f"/snapshot_id={one}" for one in dict.fromkeys(ids)])
 
-    def _read(self, table: str, schema, folders: str = "") -> DataFrame:
+    def _read(self, table: str, schema, folders: list[str] | None = None) -> DataFrame:
         base = f"{self.root}/{table}"
         try:
-            return self.spark.read.schema(schema).option("basePath", base).parquet(base + folders)
+            return self.spark.read.schema(schema).option("basePath", base).parquet(*(base + f for f in folders or [""]))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            if folders:
+                raise LookupError(f"the store is damaged, {table} of a snapshot is missing: {error}") from error
             return self.spark.createDataFrame([], schema)
 
 

@@ -1,6 +1,8 @@
 import pytest
 from conftest import records
+from pyspark.sql import functions as F
 
+from tallyhouse import schema as S
 from tallyhouse.operators import compare, shape, trend
 from tallyhouse.operators.usage import dir_usage, usage_rows
 from tallyhouse.sources.store import at_age, catalog_from, last_n, resolve, scan_meta
@@ -87,11 +89,22 @@ def test_growth_over_n(entries):
         trend.growth_over_n(dir_usage(files), snapshots[:2])
 
 
-def test_long_histories_give_the_same_trends(entries, monkeypatch):
-    files, snapshots = _five(entries, {"growing": [1024, 2048, 4096, 8192, 16384], "gap": [10, None, 30, None, 50]})
-    wide = records(trend.growth_over_n(dir_usage(files), snapshots))
-    monkeypatch.setattr(trend, "WIDE_LIMIT", 2)
-    assert records(trend.growth_over_n(dir_usage(files), snapshots)) == wide
+@pytest.mark.parametrize("n", [3, 64, 65, 200])
+def test_histories_of_any_length_are_treated_alike(spark, n):
+    snapshots = [(f"s{i:03d}", 1700000000 + i // 2 * DAY) for i in range(n)]
+    usage = spark.createDataFrame([(one, "/d", 1, 100 + i, 100 + i) for i, (one, _) in enumerate(snapshots)], S.USAGE)
+    for given in (snapshots, snapshots[::-1]):
+        (row,) = records(trend.growth_over_n(usage, given))
+        assert (row["n_snapshots"], row["latest_bytes"]) == (n, 99 + n)
+        assert [(s["ts"], s["bytes"]) for s in row["sample_paths_ts"]] == [(ts, 100 + i) for i, (_, ts) in enumerate(snapshots)]
+        (whole,) = records(trend.directory_trends(usage, given))
+        assert whole["samples"] == row["sample_paths_ts"] and whole["latest_bytes"] == 99 + n
+
+
+def test_growth_over_n_sums_rows_of_files(entries):
+    files, snapshots = _five(entries, {"growing": [1024, 2048, 4096, 8192, 16384]})
+    twice = files.unionByName(files.withColumn("path", F.regexp_replace("path", "f$", "g")))
+    assert records(trend.growth_over_n(usage_rows(twice), snapshots)) == records(trend.growth_over_n(dir_usage(twice), snapshots))
 
 
 @pytest.mark.parametrize("points, slope, intercept, r2", [

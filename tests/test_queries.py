@@ -26,7 +26,8 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_agrees_with_sql(spark, duck, name):
-    assert name in contract.oracle_sql()
+    if name not in contract.oracle_sql():
+        pytest.skip("not SQL: tests/llm compares it with brute force")
     rows, _, problem = check_queries.compare(spark, duck, SF_DIR, name)
     assert problem is None and rows > 0
 
@@ -63,10 +64,11 @@ def test_comparisons_have_no_join_and_one_shuffle(snaps):
         assert "SortAggregate" not in text and "Sort [" not in text
 
 
-def test_trends_stay_in_hash_buffers(snaps):
+def test_trends_gather_samples_of_the_listed_directories_only(snaps):
     text = plan(trend.growth_over_n(snaps.usage(), I.TIMES))
-    assert "ObjectHashAggregate" not in text and "SortAggregate" not in text
-    assert text.count("Exchange hashpartitioning") == 1
+    assert "SortAggregate" not in text and "SortMergeJoin" not in text
+    # the only lists are built above the join with the listed directories
+    assert "TakeOrderedAndProject" in text and text.index("ObjectHashAggregate") < text.index("LeftSemi")
 
 
 @pytest.mark.parametrize("build", [

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from conftest import records
@@ -92,14 +93,15 @@ def test_references_into_the_store(snaps, entries):
     assert snaps.resolve() == "2026-05-15_10-00" and snaps.resolve("@latest~4") == "2026-05-11_10-00"
     assert [one for one, _ in snaps.last_n(3)] == [f"2026-05-{d}_10-00" for d in (13, 14, 15)]
     assert snaps.at_age(86400, now=1778846400) == "2026-05-14_10-00"
-    assert records(snaps.usage("0-manual")) == []
+    # a snapshot without files has its root only
+    assert [(r["dir"], r["files"]) for r in records(snaps.usage("0-manual"))] == [("/", 0)]
     for call in (lambda: snaps.resolve("@latest~9"), lambda: snaps.resolve("nope"), lambda: snaps.last_n(9), lambda: snaps.at_age(10**9, 1778846400)):
         with pytest.raises(LookupError):
             call()
     # Only the folders asked for are read, and the roll-up equals the files.
     pair = snaps.files("@latest", "@latest~1")
     assert len({f.rsplit("/", 2)[-2] for f in pair.inputFiles()}) == 2
-    assert sorted(map(tuple, snaps.usage().collect())) == sorted(map(tuple, dir_usage(snaps.files()).select(snaps.usage().columns).collect()))
+    assert sorted(map(tuple, snaps.usage().where("files > 0").collect())) == sorted(map(tuple, dir_usage(snaps.files()).select(snaps.usage().columns).collect()))
     assert records(trend.predict(snaps.meta(), 100))[0]["samples"] == 5
 
 
@@ -137,12 +139,85 @@ def test_forget_document(spark):
     catalog = spark.createDataFrame(
         [("2026-05-13_10-00", "/s/13", 10), ("2026-05-14_10-00", "/s/14", 20), ("manual", "/s/m", 5)], "id string, path string, bytes long"
     )
-    document = json.loads(envelope.forget_json(retention_plan(catalog, Policy(last=1)), 100).first()["json"])
+    document = json.loads(envelope.forget_json(retention_plan(catalog, Policy(last=1))).first()["json"])
     assert [k["id"] for k in document["kept"]] == ["2026-05-14_10-00"] and document["kept"][0]["reasons"] == ["last"]
     assert [(r["id"], r["created"]) for r in document["removed"]] == [("2026-05-13_10-00", "2026-05-13T10:00:00Z")]
     assert (document["skipped_unparseable"], document["total_removed_bytes"]) == (["manual"], 10)
 
 
+def test_forget_document_of_many_snapshots_is_whole(spark):
+    rows = [(f"2024-01-01_{i // 60 % 24:02d}-{i % 60:02d}", f"/s/{i}", 100) for i in range(1440)]
+    catalog = spark.createDataFrame(rows, "id string, path string, bytes long")
+    document = json.loads(envelope.forget_json(retention_plan(catalog, Policy(last=1))).first()["json"])
+    assert (len(document["removed"]), document["total_removed_bytes"]) == (1439, 143900)
+    assert [r["id"] for r in document["removed"]] == sorted((r[0] for r in rows[:-1]), reverse=True)
+
+
+@pytest.mark.parametrize("odd", ['1', '{"path":"/x","size":"many"}', '{"path":"/x","size":99999999999999999999}', '[]'])
+def test_a_record_that_does_not_fit_fails(spark, odd):
+    good = '{"path":"/b","size":2}'
+    texts = spark.createDataFrame([(f'{{"schema_version":1,"kind":"top","records":[{good},{odd}]}}',)], "value string")
+    with pytest.raises(Exception, match="MALFORMED_RECORD|CANNOT_PARSE"):
+        envelope.parse_envelopes(texts, "value", "path string, size long").collect()
+    texts = spark.createDataFrame([(f'{{"schema_version":1,"kind":"top","records":[{good},{good}]}}',)], "value string")
+    assert [tuple(r) for r in envelope.parse_envelopes(texts, "value", "path string, size long").collect()] == [("top", "/b", 2)] * 2
+
+
+def test_times_are_microseconds(spark):
+    df = spark.sql("SELECT TIME'01:02:03.5' AS t, nullif(TIME'01:00:00', TIME'01:00:00') AS n, array(TIME'00:00:01') AS a")
+    assert json.loads(envelope.rows_as_json(df).first()["value"]) == {"t": 3723500000, "n": None, "a": [1000000]}
+
+
+def test_an_unfinished_scan_has_no_duration(spark, seeded):
+    from tallyhouse.sources.store import scan_meta, with_duration
+
+    for end, wanted in ((None, None), (5, 0), (1800000000, 21157200)):
+        meta = scan_meta(seeded, started_at=1778842800, ended_at=end)
+        assert with_duration(meta).first()["duration_s"] == wanted
+        assert listings.with_scan_meta(listings.stats(seeded), meta).first()["scan_duration_s"] == wanted
+
+
+def test_ancestors_of_listed_directories_are_derived(spark):
+    listing = spark.createDataFrame([("s", "/vol/a/b", 0, None, None, True)], S.MANIFEST)
+    found = manifest.derive_directories(manifest.derive_columns(listing, "/vol"), "/vol")
+    assert sorted(r["path"] for r in found.collect()) == ["/vol", "/vol/a", "/vol/a/b"]
+
+
+def test_the_store_hides_no_rows(spark, snaps, seeded, tmp_path):
+    import shutil
+
+    snaps.write(seeded, "2026-05-15_10-00")
+    snaps.write(seeded, "2026-05-15_11-00")
+    both = seeded.withColumn("snapshot_id", F.lit("2026-05-16_10-00")).unionByName(seeded.withColumn("snapshot_id", F.lit("2026-05-17_10-00")))
+    with pytest.raises(Exception, match="not named"):
+        snaps.write(both, snapshot_ids=["2026-05-16_10-00"])
+    with pytest.raises(LookupError, match="2026-05-18_10-00"):
+        snaps.write(both, snapshot_ids=["2026-05-16_10-00", "2026-05-17_10-00", "2026-05-18_10-00"])
+    assert snaps.ids() == ["2026-05-15_10-00", "2026-05-15_11-00"]
+    listed = {r["id"]: r for r in snaps.listing().collect()}
+    for one, row in listed.items():
+        folder = snaps.root.removeprefix("file:") + f"/files/snapshot_id={one}"
+        assert row["path"].endswith(f"/files/snapshot_id={one}")
+        assert row["bytes"] == sum(os.path.getsize(f"{folder}/{x}") for x in os.listdir(folder) if x.endswith(".parquet"))
+    shutil.move(snaps.root.removeprefix("file:") + "/files/snapshot_id=2026-05-15_10-00", str(tmp_path / "moved"))
+    with pytest.raises(LookupError, match="damaged"):
+        snaps.files()
+
+
+def test_replacing_by_nothing_leaves_nothing(snaps, seeded):
+    snaps.write(seeded, "2026-05-15_10-00")
+    assert snaps.write(seeded.limit(0), "2026-05-15_10-00", replace=True) == []
+    assert snaps.ids() == [] and snaps.files().count() == 0
+    snaps.write(seeded, "2026-05-15_10-00")
+    assert snaps.write(seeded.limit(2), "2026-05-15_10-00", replace=True) == ["2026-05-15_10-00"]
+    assert snaps.files("@latest").count() == 2 and snaps.meta().first()["entries"] == 2
+
+
+def test_the_catalog_opens_no_data_files(snaps, seeded):
+    snaps.write(seeded, "2026-05-15_10-00")
+    assert "binaryFile" not in snaps.listing()._jdf.queryExecution().executedPlan().toString()
+
+
 def test_predict_document(spark):
     totals = spark.createDataFrame([("2026-05-01_00-00", 100), ("2026-05-02_00-00", 200)], "snapshot_id string, bytes long")
     record = json.loads(envelope.predict_json(trend.predict(totals, 1000)).first()["json"])["record"]
@@ -200,6 +275,20 @@ def test_free_sql(spark, snaps, seeded):
     assert not spark.catalog.tableExists("files")
 
 
+def test_free_sql_leaves_the_views_of_the_session_alone(spark, snaps, seeded):
+    snaps.write(seeded, "2026-05-15_10-00")
+    snaps.write(seeded, "2026-05-16_10-00")
+    spark.range(3).createOrReplaceTempView("files")
+    try:
+        one = sqlview.sql_query(spark, "WITH n AS (SELECT count(*) AS n FROM scan_meta) SELECT n, path FROM files CROSS JOIN n;", snaps.files("@latest"), snaps.meta())
+        assert {r["n"] for r in one.collect()} == {1} and one.count() == seeded.count()
+        assert spark.table("files").count() == 3
+        with pytest.raises(ValueError, match="only queries"):
+            sqlview.sql_query(spark, "DROP VIEW files", snaps.files("@latest"), snaps.meta())
+    finally:
+        spark.catalog.dropTempView("files")
+
+
 def test_streaming(spark, listing, tmp_path):
     source, landing, progress = (str(tmp_path / n) for n in ("in", "landing", "progress"))
 
