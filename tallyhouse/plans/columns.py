@@ -4,12 +4,11 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import paths, scalars
 from tallyhouse.operators.listings import files_only
-from tallyhouse.operators.tree import subtree_sizes
 from tallyhouse.operators.usage import dir_usage, usage_rows
 from tallyhouse.plans import inventory as I
-from tallyhouse.plans.ingest import PARENT, L
+from tallyhouse.plans.ingest import PARENT
 from tallyhouse.plans.registry import entries, query
-from tallyhouse.plans.single import CHURN_CUTOFF, _CHURN, files_sql, latest
+from tallyhouse.plans.single import CHURN_CUTOFF, files_sql
 
 
 @query("parent_dir", I.inventory_sql(f"SELECT snapshot_id, {PARENT} AS parent, count(*) AS entries FROM inv GROUP BY 1, 2"))
@@ -18,9 +17,9 @@ def parent_dir(spark, sf_dir):
     return rows.groupBy("snapshot_id", paths.parent_dir("path").alias("parent")).agg(F.count("*").alias("entries"))
 
 
-@query("base_name", I.inventory_sql(f"SELECT path, regexp_replace(path, '^.*/', '') AS name FROM inv WHERE {L}"))
+@query("base_name", I.inventory_sql("SELECT snapshot_id, path, regexp_replace(path, '^.*/', '') AS name FROM inv"))
 def base_name(spark, sf_dir):
-    return latest(spark, sf_dir).select("path", paths.base_name("path").alias("name"))
+    return entries(spark, sf_dir).select("snapshot_id", "path", paths.base_name("path").alias("name"))
 
 
 @query(
@@ -35,12 +34,12 @@ def extension(spark, sf_dir):
 
 @query(
     "rfc3339",
-    files_sql(f"""SELECT strftime(make_timestamp(mtime * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS text, count(*) AS files
-      FROM inv_files WHERE {L} GROUP BY 1"""),
+    files_sql("""SELECT snapshot_id, strftime(make_timestamp(mtime * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS text, count(*) AS files
+      FROM inv_files GROUP BY 1, 2"""),
 )
 def rfc3339(spark, sf_dir):
-    rows = files_only(latest(spark, sf_dir)).select(scalars.rfc3339("mtime").alias("text"))
-    return rows.groupBy("text").agg(F.count("*").alias("files"))
+    rows = files_only(entries(spark, sf_dir)).select("snapshot_id", scalars.rfc3339("mtime").alias("text"))
+    return rows.groupBy("snapshot_id", "text").agg(F.count("*").alias("files"))
 
 
 def _unit(key, units):
@@ -95,26 +94,23 @@ _HUMAN = """CASE WHEN bytes < 1024 THEN bytes || ' B'
 @query(
     "human_size",
     I.inventory_sql(
-        f"SELECT path, bytes, {_HUMAN} AS shown FROM sums UNION ALL SELECT path, size, {_HUMAN.replace('bytes', 'size')} FROM inv_files WHERE {L}",
-        f"""sums AS (SELECT d.path, CAST(sum(f.size) AS BIGINT) AS bytes
-          FROM (SELECT path FROM inv WHERE {L} AND is_dir) d
-          JOIN (SELECT path, size FROM inv_files WHERE {L}) f ON f.path >= d.path || '/' AND f.path < d.path || '0'
-          GROUP BY d.path)""",
+        f"SELECT snapshot_id, path, bytes, {_HUMAN} AS shown FROM sums UNION ALL SELECT snapshot_id, path, size, {_HUMAN.replace('bytes', 'size')} FROM inv_files",
+        f"""sums AS (SELECT snapshot_id, {PARENT} AS path, CAST(sum(size) AS BIGINT) AS bytes FROM inv_files GROUP BY 1, 2)""",
     ),
 )
 def human_size(spark, sf_dir):
-    files = files_only(latest(spark, sf_dir))
-    sums = subtree_sizes(dir_usage(files)).select("path", "bytes")
-    both = sums.unionByName(files.select("path", F.col("size").alias("bytes")))
+    files = files_only(entries(spark, sf_dir))
+    sums = dir_usage(files).select("snapshot_id", F.col("dir").alias("path"), "bytes")
+    both = sums.unionByName(files.select("snapshot_id", "path", F.col("size").alias("bytes")))
     return both.withColumn("shown", scalars.human_size("bytes"))
 
 
 @query(
     "truncate_path",
-    I.inventory_sql(f"SELECT path, CASE WHEN length(path) <= 30 THEN path ELSE '...' || right(path, 27) END AS shown FROM inv WHERE {L}"),
+    I.inventory_sql("SELECT snapshot_id, path, CASE WHEN length(path) <= 30 THEN path ELSE '...' || right(path, 27) END AS shown FROM inv"),
 )
 def truncate_path(spark, sf_dir):
-    return latest(spark, sf_dir).select("path", scalars.truncate_path("path", 30).alias("shown"))
+    return entries(spark, sf_dir).select("snapshot_id", "path", scalars.truncate_path("path", 30).alias("shown"))
 
 
 _ID_TEXT = """strftime(o_orderdate, '%Y-%m-%d') || '_' || lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0')
@@ -140,24 +136,25 @@ def snapshot_ts(spark, sf_dir):
     return rows.select("id", scalars.snapshot_ts("id").alias("ts"))
 
 
-@query("file_stem", files_sql(f"SELECT path, regexp_replace(name, '^(.+)\\.[^.]*$', '\\1') AS stem FROM inv_files WHERE {L}"))
+@query("file_stem", files_sql("SELECT snapshot_id, path, regexp_replace(name, '^(.+)\\.[^.]*$', '\\1') AS stem FROM inv_files"))
 def file_stem(spark, sf_dir):
-    return files_only(latest(spark, sf_dir)).select("path", scalars.file_stem("path").alias("stem"))
+    return files_only(entries(spark, sf_dir)).select("snapshot_id", "path", scalars.file_stem("path").alias("stem"))
 
 
 @query(
     "safe_ratio",
     files_sql(
-        "SELECT path, round(CASE WHEN total_bytes > 0 THEN CAST(recent_bytes AS DOUBLE) / total_bytes ELSE 0.0 END, 9) AS ratio FROM churned",
-        _CHURN,
+        f"""SELECT snapshot_id, {PARENT} AS path, round(CASE WHEN sum(size) > 0 THEN
+            CAST(sum(CASE WHEN mtime > {CHURN_CUTOFF} THEN size ELSE 0 END) AS DOUBLE) / CAST(sum(size) AS DOUBLE) ELSE 0.0 END, 9) AS ratio
+          FROM inv_files GROUP BY 1, 2""",
     ),
 )
 def safe_ratio(spark, sf_dir):
     recent = F.sum(F.when(F.col("mtime") > CHURN_CUTOFF, F.col("size")).otherwise(0))
-    rows = files_only(latest(spark, sf_dir)).groupBy(paths.parent_dir("path").alias("path")).agg(
+    rows = files_only(entries(spark, sf_dir)).groupBy("snapshot_id", paths.parent_dir("path").alias("path")).agg(
         recent.alias("recent"), F.sum("size").alias("total")
     )
-    return rows.select("path", F.round(scalars.safe_ratio("recent", "total"), 9).alias("ratio"))
+    return rows.select("snapshot_id", "path", F.round(scalars.safe_ratio("recent", "total"), 9).alias("ratio"))
 
 
 _BUDGET = 50_000_000_000
@@ -165,11 +162,11 @@ _BUDGET = 50_000_000_000
 
 @query(
     "fill_date",
-    files_sql(f"""SELECT path, CASE WHEN bytes > 0 THEN strftime(make_timestamp(
+    files_sql(f"""SELECT snapshot_id, path, CASE WHEN bytes > 0 THEN strftime(make_timestamp(
           CAST(trunc(1706810400 + CAST({_BUDGET} AS DOUBLE) / bytes * 86400) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS fill_at
-      FROM (SELECT {PARENT} AS path, CAST(sum(size) AS BIGINT) AS bytes FROM inv_files WHERE {L} GROUP BY 1)"""),
+      FROM (SELECT snapshot_id, {PARENT} AS path, CAST(sum(size) AS BIGINT) AS bytes FROM inv_files GROUP BY 1, 2)"""),
 )
 def fill_date(spark, sf_dir):
-    rows = usage_rows(files_only(latest(spark, sf_dir))).groupBy(F.col("dir").alias("path")).agg(F.sum("bytes").alias("bytes"))
+    rows = usage_rows(files_only(entries(spark, sf_dir))).groupBy("snapshot_id", F.col("dir").alias("path")).agg(F.sum("bytes").alias("bytes"))
     second = scalars.fill_second(F.lit(I.TIMES[-1][1]), F.lit(_BUDGET), F.col("bytes"))
-    return rows.select("path", scalars.rfc3339(second).alias("fill_at"))
+    return rows.select("snapshot_id", "path", scalars.rfc3339(second).alias("fill_at"))

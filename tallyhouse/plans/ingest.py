@@ -76,13 +76,12 @@ def ingest_listing(spark, sf_dir):
 @query(
     "derive_columns",
     I.inventory_sql(
-        f"SELECT path, name, ext, size, physical_size, mtime, is_dir, depth FROM inv_files WHERE {L}",
+        "SELECT snapshot_id, path, name, ext, size, physical_size, mtime, is_dir, depth FROM inv_files",
         files_only=True,
     ),
 )
 def derive_columns(spark, sf_dir):
-    listing = I.listing_export(spark, sf_dir, [I.LATEST])
-    return manifest.derive_columns(listing, I.ROOT).drop("snapshot_id")
+    return manifest.derive_columns(I.listing_export(spark, sf_dir), I.ROOT)
 
 
 @query(
@@ -106,6 +105,21 @@ def scan_meta(spark, sf_dir):
     return snapshots.with_duration(snapshots.scan_meta(files, ended_at=1706800000))
 
 
+@query(
+    "scan_meta_unfinished",
+    I.inventory_sql(f"""SELECT snapshot_id, '/vol' AS root, snap_ts AS started_at,
+        CASE WHEN NOT {L} THEN CAST(1706800000 AS BIGINT) END AS ended_at, NOT {L} AS completed, count(*) AS entries,
+        CAST(sum(CASE WHEN size > 0 THEN size ELSE 0 END) AS BIGINT) AS bytes,
+        CASE WHEN NOT {L} THEN CAST(greatest(1706800000 - snap_ts, 0) AS BIGINT) END AS duration_s
+      FROM inv GROUP BY snapshot_id, snap_ts"""),
+)
+def scan_meta_unfinished(spark, sf_dir):
+    """The newest scan has no end yet."""
+    done = snapshots.scan_meta(entries(spark, sf_dir, *I.IDS[:-1]), ended_at=1706800000)
+    running = snapshots.scan_meta(entries(spark, sf_dir, I.LATEST), completed=False)
+    return snapshots.with_duration(done.unionByName(running))
+
+
 @query("snapshot_write", I.inventory_sql(profile_sql("inv")))
 def snapshot_write(spark, sf_dir):
     return profile(store(spark, sf_dir).files())
@@ -312,7 +326,7 @@ def sql_query(spark, sf_dir):
 )
 def stream_ingest(spark, sf_dir):
     """Take an export of several files in several batches, then count what landed."""
-    folder = landing_folder(spark, I.listing_export(spark, sf_dir), "parquet", partitions=4)
+    folder = landing_folder(spark, I.listing_export(spark, sf_dir), "parquet")
     landing, checkpoint = working_folder(spark, "landing"), working_folder(spark, "progress")
     arriving = streaming.stream_manifest(spark, folder, root=I.ROOT, files_per_trigger=2)
     streaming.stream_ingest(arriving, landing, checkpoint).awaitTermination()

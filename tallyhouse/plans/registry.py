@@ -40,11 +40,9 @@ def entries(spark: SparkSession, sf_dir: str, *ids: str) -> DataFrame:
     return store(spark, sf_dir).files(*ids)
 
 
-def landing_folder(spark: SparkSession, rows: DataFrame, fmt: str, partitions: int | None = None) -> str:
+def landing_folder(spark: SparkSession, rows: DataFrame, fmt: str) -> str:
     """Write `rows` to a new shared folder and return it."""
     folder = working_folder(spark, f"export-{uuid.uuid4().hex[:8]}")
-    if partitions:
-        rows = rows.repartition(partitions)
     writer = rows.write.format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
