@@ -144,11 +144,19 @@ def fit(docs: DataFrame, labels: DataFrame, by: str, text: str = "text", rows: i
 
     counts = made.select("found").mapInPandas(tally, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     common = counts.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "hash").limit(MAX_FEATURES).select("hash")
-    vocabulary = np.sort(common.toPandas()["hash"].to_numpy()).astype(np.uint32)
+
+    def packed(batches):
+        hashes = [frame["hash"].to_numpy().astype(np.uint32) for frame in batches]
+        yield pd.DataFrame({"hashes": [np.sort(np.concatenate([np.zeros(0, np.uint32), *hashes])).tobytes()]})
+
+    # a task picks and packs the features: the driver gets four bytes for each, not rows to order
+    vocabulary = np.frombuffer(b"".join(r["hashes"] for r in common.mapInPandas(packed, "hashes binary").collect()), np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     n_rows, positive = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     rate = min(max((positive + 0.5) / (n_rows + 1), 1e-6), 1 - 1e-6)
 
     def index(batches):
+        vocabulary = shared.value
         for frame in batches:
             out = []
             for x in frame.pop("found"):
@@ -159,13 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, by: str, text: str = "text", rows: i
             yield frame
 
     def train(batches):
+        vocabulary = shared.value
         learner = Ftrl(len(vocabulary), rate, n_rows)
         for frame in batches:
             for at, label in zip(frame["at"], frame["label"]):
                 learner.learn(np.frombuffer(at, np.int32), label)
         weights = learner.weights(slice(None))
         some = np.flatnonzero(weights[:-1])
-        yield pd.DataFrame({"hash": [*vocabulary[some].astype(np.int64).tolist(), -1], "weight": [*weights[some].tolist(), float(weights[-1])]})
+        yield pd.DataFrame({"hashes": [vocabulary[some].tobytes()], "weights": [weights[some].tobytes()], "bias": [float(weights[-1])]})
 
     seen = (
         made.mapInPandas(index, "_order long, label double, at binary")
@@ -174,10 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, by: str, text: str = "text", rows: i
         .repartition(1)
         .sortWithinPartitions("epoch", "_order", "label", "at")
     )
-    learned = seen.mapInPandas(train, "hash long, weight double").toPandas()
-    hashes, weights = learned["hash"].to_numpy(), learned["weight"].to_numpy()
-    bias = weights[hashes < 0].sum() if len(hashes) else 0.0
-    return Model(hashes[hashes >= 0], weights[hashes >= 0], bias)
+    learned = seen.mapInPandas(train, "hashes binary, weights binary, bias double").first()
+    if learned is None:
+        return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0)
+    return Model(np.frombuffer(learned["hashes"], np.uint32), np.frombuffer(learned["weights"], np.float64), learned["bias"])
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
