@@ -3,9 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import decontaminate, html_text, langid, licenses, line_dedup, neardup, packing, quality, sharding, toxicity
+from tallyhouse.llm import decontaminate, html_text, langid, licenses, line_dedup, neardup, packing, quality, runs, sharding, spelling, toxicity, warc
 from tallyhouse.llm.tables import fold, table
-from tallyhouse.session import written
+from tallyhouse.session import working_folder, written
 
 QUERIES = {}
 ORACLES = {}
@@ -105,3 +105,50 @@ def op1_decontamination(spark, sf_dir):
 @query("op3_html_text")
 def op3_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    """Every tenth text or so repeats itself from some word on, as the contract plants it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    docs = docs.withColumns({"n": n, "a": (g % F.when(n > 0, n)).cast("int"), "eighth": (g % 8).cast("int")})
+    left = F.col("n") - F.col("a")
+    docs = docs.withColumn("p", (F.floor(left / (F.col("eighth") + 3)) + 1).cast("int"))
+    copies = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(copies, F.lit(1), left)), " ")
+    text = F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text")
+    return runs.periodic_runs(docs.select("doc_id", text), collapsed=False)
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark, sf_dir):
+    """Every 97th or so pair of document and run of letters loses a letter, as the contract plants it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(spelling.runs_of_letters("text")).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run"))
+    docs = docs.withColumn("h", h)
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    word = F.when(F.col("h") % 97 == 0, cut).otherwise(F.col("run"))
+    return spelling.group_variants(spelling.vocabulary_of(docs, F.array(word)))
+
+
+_RECORDS = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+  CASE WHEN bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query("op12_warc", _RECORDS)
+def op12_warc(spark, sf_dir):
+    folder = working_folder(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder, by="page_id", uri="url", payload="html")
+    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return warc.read_archive(spark, folder, payload=False).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
+    )

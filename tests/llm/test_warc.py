@@ -1,0 +1,146 @@
+import gzip
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from tallyhouse.llm import warc
+
+BIG = 2**53 + 1
+
+
+def page(seed, size):
+    rng = random.Random(seed)
+    return "<p>" + "".join(rng.choices("abcdefghij ü<>", k=size)) + "</p>"
+
+
+def archived(spark, tmp_path, rows, schema="page_id long, url string, html string", **options):
+    folder = str(tmp_path / "archive")
+    warc.write_archive(spark.createDataFrame(rows, schema).repartition(3), folder, "page_id", "url", "html", **options)
+    return folder
+
+
+def expected(rows):
+    first = {}
+    for i, _, html in rows:
+        body = (html or "").encode()
+        if i is not None and len(body) >= 100:
+            first[body] = min(first.get(body, i), i)
+    out = []
+    for i, _, html in rows:
+        body = (html or "").encode()
+        copy = body in first and first[body] != i
+        out.append((f"urn:row:{'' if i is None else i}", "revisit" if copy else "response", f"urn:row:{first[body]}" if copy else None, hashlib.sha256(body).hexdigest(), len(body), None if copy else body))
+    return sorted(out, key=repr)
+
+
+def read(spark, folder, **options):
+    found = warc.read_archive(spark, folder, **options)
+    return sorted((tuple(r) for r in found.select("record_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload").collect()), key=repr)
+
+
+ROWS = [(i, f"http://x/{i}", page(i % 23, 20 + 40 * (i % 23))) for i in range(150)] + [
+    (BIG, "http://x/a b\r\nWARC-Type: revisit", page(1, 60)), (None, None, page(1, 60)), (200, "u", None), (201, "u", ""), (202, "ü", ""),
+    (203, None, page(99, 400)), (203, None, page(99, 400)), (204, None, page(99, 400)), (205, "u", "\x1f\u008b\x08\x00" * 300), (206, "u", page(7, 300_000)),
+]
+
+
+@pytest.mark.parametrize("range_bytes", [37, 1000, 1 << 20])
+def test_round_trip_in_any_ranges(spark, tmp_path, range_bytes):
+    some = ROWS if range_bytes >= 1000 else ROWS[:12] + ROWS[150:158]
+    folder = archived(spark, tmp_path, some)
+    assert read(spark, folder, range_bytes=range_bytes) == expected(some)
+
+
+def test_groups_beyond_the_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 4)
+    assert read(spark, archived(spark, tmp_path, ROWS)) == expected(ROWS)
+
+
+def test_other_readers_see_plain_members(spark, tmp_path):
+    folder = archived(spark, tmp_path, ROWS[:5])
+    files = [p for p in (tmp_path / "archive").iterdir() if not p.name.startswith(".")]
+    assert all(p.name.endswith(".warc.gz") for p in files)
+    content = b"".join(gzip.decompress(p.read_bytes()) for p in files)
+    assert content.count(b"WARC/1.1\r\n") == 5 and content.count(b"WARC-Target-URI: http://x/") == 5
+    assert warc.read_archive(spark, folder, payload=False).where("payload IS NOT NULL").count() == 0
+
+
+def test_header_values_stay_on_their_line(spark, tmp_path):
+    folder = archived(spark, tmp_path, [(BIG, "http://x/a b\r\nWARC-Type: revisit", "x")])
+    row = warc.read_archive(spark, folder).first()
+    assert row["record_type"] == "response" and row["uri"] == "http://x/a%20b%0D%0AWARC-Type:%20revisit" and row["record_id"] == f"urn:row:{BIG}"
+
+
+def test_binary_payloads_extra_columns_and_nothing(spark, tmp_path):
+    body = bytes(range(256)) * 3
+    folder = archived(spark, tmp_path, [(1, "u", bytearray(body), "x"), (2, "u", bytearray(body), "y")], "page_id long, url string, html binary, payload string")
+    assert read(spark, folder) == expected([(1, "u", body.decode("latin-1")), (2, "u", body.decode("latin-1"))])[:0] + [
+        ("urn:row:1", "response", None, hashlib.sha256(body).hexdigest(), len(body), body),
+        ("urn:row:2", "revisit", "urn:row:1", hashlib.sha256(body).hexdigest(), len(body), None),
+    ]
+    empty = str(tmp_path / "none")
+    warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), empty, "page_id", "url", "html")
+    assert warc.read_archive(spark, empty).count() == 0
+
+
+def test_files_are_closed_at_their_size(tmp_path):
+    batch = warc.pa.RecordBatch.from_pylist(
+        [{"record_id": str(i), "record_type": "response", "uri": None, "date": "d", "refers_to": None, "payload_digest": hashlib.sha256(b"x" * i).hexdigest(), "payload_bytes": i, "payload": b"x" * i} for i in range(9)]
+    )
+    writer = warc.WarcWriter(str(tmp_path / "a"), file_bytes=600)
+    message = writer.write(iter([batch]))
+    assert len(message.files) > 2
+    # a task that was repeated: its first files do not count
+    writer.write(iter([batch]))
+    writer.commit([message])
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == sorted(message.files)
+
+
+class Blob:
+    def __init__(self, data):
+        self.data, self.place = data, 0
+
+    def seek(self, place):
+        self.place = place
+
+    def read(self, n):
+        out = self.data[self.place : self.place + n]
+        self.place += len(out)
+        return out
+
+
+def record(i, payload):
+    return warc.member({"record_id": f"r{i}", "record_type": "response", "uri": None, "date": "d", "refers_to": None, "payload_digest": hashlib.sha256(payload).hexdigest(), "payload_bytes": len(payload), "payload": payload})
+
+
+def test_false_magic_is_no_record_wherever_a_range_begins(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 64)
+    rng = random.Random(8)
+    # payloads that cannot be compressed, with magics and whole members in them
+    noise = lambda: rng.randbytes(200) + warc.MAGIC + rng.randbytes(100) + gzip.compress(b"no record " * 9) + rng.randbytes(50)
+    members = []
+    for i in range(12):
+        stored = zlib.compressobj(0, wbits=31)
+        members.append(stored.compress(gzip.decompress(record(i, noise()))) + stored.flush())
+    data = b"".join(members)
+    starts = [sum(map(len, members[:i])) for i in range(12)]
+    assert data.count(warc.MAGIC) > 30
+    for cut in range(0, len(data), 7):
+        source = lambda: warc.Bytes(Blob(data), len(data))
+        left = [p for p, _ in warc.records(source(), 0, cut)]
+        right = [p for p, _ in warc.records(source(), cut, len(data))]
+        assert left + right == starts, cut
+
+
+def test_damage_is_told():
+    good = record(1, b"x" * 500)
+    for data in (good[:-9], good + b"junk", good + gzip.compress(b"not a record"), good[:60] + b"\0\0" + good[62:]):
+        with pytest.raises(warc.Damaged):
+            list(warc.records(warc.Bytes(Blob(data), len(data)), 0, len(data)))
+    wrong = zlib.compressobj(wbits=31)
+    body = gzip.decompress(good).replace(b"xxxx", b"yxxx", 1)
+    data = wrong.compress(body) + wrong.flush()
+    with pytest.raises(warc.Damaged):
+        list(warc.records(warc.Bytes(Blob(data), len(data)), 0, len(data)))
