@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.llm.tables import answered
+
 from tallyhouse.llm.html_pages import labelled_pages
 
 #: Labelled pages learned from, at most.
@@ -347,12 +349,13 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html", model: Model
     answered one by one; an empty table stays empty.
     """
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())
-    source = pages.select(*keep, F.col(html).alias("_html"))
-    schema = T.StructType([f for f in source.schema.fields if f.name != "_html"]).add("text", "string").add("n_chars", "long")
+    source = pages.select(*keep, F.col(html).alias("__html"))
+
+    def start():
+        def work(batch):
+            texts = main_text(batch.column(batch.num_columns - 1).to_pylist(), held.value)
+            return texts, [len(t) for t in texts]
 
-    def run(batches):
-        for frame in batches:
-            texts = main_text(frame.pop("_html").to_list(), held.value)
-            yield frame.assign(text=texts, n_chars=[len(t) for t in texts])
+        return work
 
-    return source.mapInPandas(run, schema)
+    return answered(source, T.StructType().add("text", "string").add("n_chars", "long"), start, drop=1)

@@ -9,11 +9,12 @@ lines up in these arrays; no line is joined with another.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.llm.tables import ascii_lower, strip_blank
+from tallyhouse.llm.tables import answered, ascii_lower, strip_blank, unused
 from tallyhouse.session import written
 
 #: Keys in a shard, about; also the bound on what one task builds.
@@ -174,78 +175,78 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", broadca
     return _probe_shards(docs, text, written(index, "line-index"), shards)
 
 
-def _hashes(text: str) -> dict[str, Column]:
+def _hashes(text: str) -> list[Column]:
     """Hashes of the keys of all lines; empty keys have some too, which no index holds."""
     keys = F.transform(F.split(text, "\n"), line_key)
-    return {
-        "_key": F.transform(keys, lambda k: F.xxhash64(k)),
-        "_print": F.transform(keys, lambda k: F.xxhash64(k, F.lit(1))),
-    }
+    return [F.transform(keys, lambda k: F.xxhash64(k)), F.transform(keys, lambda k: F.xxhash64(k, F.lit(1)))]
 
 
-def _kept_schema(docs: DataFrame) -> T.StructType:
-    return T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+def _results(text: str) -> T.StructType:
+    return T.StructType().add(text, "string").add("n_lines", "long").add("n_dropped", "long")
 
 
-def _drop(frame: pd.DataFrame, text: str, flags: list) -> pd.DataFrame:
-    """A batch without the lines flagged, `flags` being one array per row."""
-    texts, lines, gone = [], [], []
-    for value, dropped in zip(frame[text], flags):
-        n = int(dropped.sum())
-        if n:
-            value = "\n".join(x for x, d in zip(value.split("\n"), dropped) if not d)
-        texts.append(value)
-        lines.append(len(dropped))
-        gone.append(n)
-    return frame.assign(**{text: texts, "n_lines": lines, "n_dropped": gone})
+def _without(texts: pa.Array, flags: list[np.ndarray]) -> tuple:
+    """(texts without the lines flagged, lines, lines dropped), `flags` being one array per text."""
+    gone = [int(f.sum()) for f in flags]
+    if any(gone):
+        texts = [
+            "\n".join(x for x, d in zip(t.as_py().split("\n"), f) if not d) if n else t.as_py() for t, f, n in zip(texts, flags, gone)
+        ]
+    return texts, [len(f) for f in flags], gone
 
 
 def _probe_broadcast(docs: DataFrame, text: str, held) -> DataFrame:
-    names = docs.columns
+    at = docs.columns.index(text)
 
-    def probe(batches):
+    def start():
         index = Index(*held.value)
-        for frame in batches:
-            if len(frame):
-                ends = np.cumsum([len(x) for x in frame["_key"]])[:-1]
-                n = index.count(np.concatenate(frame["_key"].to_list()), np.concatenate(frame["_print"].to_list()))
-                yield _drop(frame[names], text, np.split(n > 0, ends))
 
-    return docs.withColumns(_hashes(text)).mapInPandas(probe, _kept_schema(docs))
+        def work(batch):
+            keys, prints = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            n = index.count(keys.flatten().to_numpy(), prints.flatten().to_numpy())
+            return _without(batch.column(at), np.split(n > 0, np.cumsum(keys.value_lengths().to_numpy())[:-1]) if len(keys) else [])
+
+        return work
+
+    names = [unused(f"__hash{i}", docs.columns) for i in range(2)]
+    hashed = docs.withColumns(dict(zip(names, _hashes(text))))
+    return answered(hashed, _results(text), start, drop=2)
 
 
 def _probe_shards(docs: DataFrame, text: str, index: DataFrame, shards: int) -> DataFrame:
     """Lookups go to their shard; a shard with many is copied to several tasks."""
-    names, kept = docs.columns, _kept_schema(docs)
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    hashed = docs.select("_row", *(c.alias(n) for n, c in _hashes(text).items()))
+    at, row, lost = docs.columns.index(text), unused("__row", docs.columns), unused("__gone", docs.columns)
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hashed = docs.select(F.col(row).alias("row"), F.arrays_zip(*(c.alias(n) for n, c in zip(("key", "print"), _hashes(text)))).alias("lines"))
     lookups = (
-        hashed.select("_row", F.posexplode(F.arrays_zip("_key", "_print")).alias("pos", "line"))
-        .select("_row", "pos", F.col("line._key").alias("key"), F.col("line._print").alias("print"))
+        hashed.select("row", F.posexplode("lines").alias("pos", "line"))
+        .select("row", "pos", "line.key", "line.print")
         .withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
     )
     copies = lookups.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBE_ROWS).cast("int").alias("copies"))
-    left = lookups.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("_row", "pos"), F.col("copies")).cast("int"))
+    left = lookups.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("row", "pos"), F.col("copies")).cast("int"))
     right = index.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
 
     def find(asked: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(arrays):
-            return pd.DataFrame({"_row": [], "pos": []}, dtype="int64")
+            return pd.DataFrame({"row": [], "pos": []}, dtype="int64")
         held = Index(shards, arrays[["shard", "sizes", "bits", "prints", "counts", "extra"]].itertuples(index=False))
-        return asked.loc[held.count(asked["key"].to_numpy(), asked["print"].to_numpy()) > 0, ["_row", "pos"]]
+        return asked.loc[held.count(asked["key"].to_numpy(), asked["print"].to_numpy()) > 0, ["row", "pos"]]
 
     by = ["shard", "copy"]
-    hits = left.drop("copies").groupBy(*by).cogroup(right.drop("copies").groupBy(*by)).applyInPandas(find, "_row long, pos int")
-    gone = hits.groupBy("_row").agg(F.collect_list("pos").alias("_gone"))
+    hits = left.drop("copies").groupBy(*by).cogroup(right.drop("copies").groupBy(*by)).applyInPandas(find, "row long, pos int")
+    gone = hits.groupBy(F.col("row").alias(row)).agg(F.collect_list("pos").alias(lost))
 
-    def drop(batches):
-        for frame in batches:
+    def start():
+        def work(batch):
             flags = []
-            for value, gone in zip(frame[text], frame["_gone"]):
-                flag = np.zeros(value.count("\n") + 1, bool)
-                if gone is not None:
-                    flag[np.asarray(gone, np.int64)] = True
+            for value, gone in zip(batch.column(at), batch.column(batch.num_columns - 1)):
+                flag = np.zeros(value.as_py().count("\n") + 1, bool)
+                flag[gone.as_py() or []] = True
                 flags.append(flag)
-            yield _drop(frame[names], text, flags)
+            return _without(batch.column(at), flags)
+
+        return work
 
-    return docs.join(gone, "_row", "left").select(*names, "_gone").mapInPandas(drop, kept)
+    names = [c for c in docs.columns if c != row]
+    return answered(docs.join(gone, row, "left").select(*(F.col(f"`{c}`") for c in names), lost), _results(text), start, drop=1)

@@ -12,11 +12,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.llm.prefix import hash_bucket, running
+from tallyhouse.llm.tables import answered
 from tallyhouse.llm.tokens import tokenizer
 from tallyhouse.session import written
 
@@ -133,48 +135,38 @@ def _ids(path: str, text: str | None) -> bytes:
 
 def token_counts(docs: DataFrame, by: list[str], text: str, path: str, window: int = WINDOW) -> DataFrame:
     """`by`, text_hash, doc_tokens, the checksums of the whole windows, and length and checksum of the rest."""
-    source = docs.select(*by, F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
-    schema = T.StructType([f for f in source.schema.fields if f.name != "_text"])
-    for name, kind in (("doc_tokens", T.LongType()), ("whole_crc", T.ArrayType(T.LongType())), ("rest", T.LongType()), ("rest_crc", T.LongType())):
-        schema = schema.add(name, kind)
+    source = docs.select(*by, F.xxhash64(text).alias("text_hash"), F.col(text).alias("__text"))
+    answers = T.StructType().add("doc_tokens", "long").add("whole_crc", T.ArrayType(T.LongType())).add("rest", "long").add("rest_crc", "long")
 
-    def run(batches):
-        for frame in batches:
-            made = []
-            for value in frame.pop("_text"):
-                ids = memoryview(_ids(path, value))
-                n = len(ids) // 4
-                cut = n // window * window
-                made.append((n, [zlib.crc32(ids[4 * i : 4 * (i + window)]) for i in range(0, cut, window)], n - cut, zlib.crc32(ids[4 * cut :])))
-            yield frame.assign(**{name: [m[i] for m in made] for i, name in enumerate(("doc_tokens", "whole_crc", "rest", "rest_crc"))})
+    def work(batch):
+        made = []
+        for value in batch.column(batch.num_columns - 1):
+            ids = memoryview(_ids(path, value.as_py()))
+            n = len(ids) // 4
+            cut = n // window * window
+            made.append((n, [zlib.crc32(ids[4 * i : 4 * (i + window)]) for i in range(0, cut, window)], n - cut, zlib.crc32(ids[4 * cut :])))
+        return [[m[i] for m in made] for i in range(4)]
 
-    return source.mapInPandas(run, schema)
+    return answered(source, answers, lambda: work, drop=1)
 
 
 def _assigned(rests: DataFrame, runs: pd.DataFrame) -> DataFrame:
     """`rests` (with bin and rank) with sequence and slot, null for the residual ones."""
     key = (runs["bin"].to_numpy() << 44) + runs["lo"].to_numpy()
     held = [runs[c].to_numpy() for c in ("lo", "hi", "each", "first", "slot", "bin")]
-    schema = T.StructType([f for f in rests.schema.fields if f.name not in ("bin", "rank")]).add("sequence", "long").add("slot", "long")
-
-    def run(batches):
+    def work(batch):
         lo, hi, each, first, slot, bins = held
-        for frame in batches:
-            b, rank = frame.pop("bin").to_numpy(), frame.pop("rank").to_numpy()
-            at = np.searchsorted(key, (b << 44) + rank, side="right") - 1
-            if len(key):
-                ok = (at >= 0) & (bins[at] == b) & (rank < hi[at])
-                at = np.where(ok, at, 0)
-                within = rank - lo[at]
-                sequence, place = first[at] + within // each[at], slot[at] + within % each[at]
-            else:
-                ok, sequence, place = np.zeros(len(frame), bool), rank, rank
-            for name, value in (("sequence", sequence), ("slot", place)):
-                frame[name] = pd.array(np.where(ok, value, 0), "Int64")
-                frame.loc[~ok, name] = pd.NA
-            yield frame
-
-    return rests.mapInPandas(run, schema)
+        b, rank = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+        if not len(key):
+            return pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())
+        at = np.searchsorted(key, (b << 44) + rank, side="right") - 1
+        ok = (at >= 0) & (bins[at] == b) & (rank < hi[at])
+        at = np.where(ok, at, 0)
+        within = rank - lo[at]
+        return pa.array(first[at] + within // each[at], mask=~ok), pa.array(slot[at] + within % each[at], mask=~ok)
+
+    source = rests.select(*(c for c in rests.columns if c not in ("bin", "rank")), "bin", "rank")
+    return answered(source, T.StructType().add("sequence", "long").add("slot", "long"), lambda: work, drop=2)
 
 
 def pack(docs: DataFrame, path: str, by: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -303,18 +295,20 @@ def _checksums(pieces: DataFrame, docs: DataFrame, by: list[str], text: str, pat
         same = same & texts[k].eqNullSafe(wanted[f"_{k}"])
     # rows that repeat have their pieces in one list: one copy of the text is enough
     found = texts.join(wanted, same).dropDuplicates(keys).select(*[texts[k] for k in by], "doc_tokens", "pieces", F.col(text).alias("_text"))
-    schema = T.StructType([docs.schema[k] for k in by])
-    for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):
-        schema = schema.add(name, "long")
+    names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    schema = T.StructType([*(docs.schema[k] for k in by), *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches):
-        for frame in batches:
-            out = []
-            for row in frame.itertuples(index=False):
-                ids = memoryview(_ids(path, row[-1]))
-                for p in row[-2]:
-                    out.append((*row[: len(by)], p["start"], p["length"], zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])]), row[-3], p["sequence_id"], p["offset"]))
-            made = pd.DataFrame(out, columns=[f.name for f in schema])
-            yield made.astype({k: frame[k].dtype for k in by}) if len(made) else made
-
-    return found.mapInPandas(run, schema)
+        for batch in batches:
+            owner, out = [], []
+            tokens, wanted, text = (batch.column(len(by) + i) for i in range(3))
+            for x in range(batch.num_rows):
+                ids = memoryview(_ids(path, text[x].as_py()))
+                for p in wanted[x].as_py():
+                    owner.append(x)
+                    crc = zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])])
+                    out.append((p["start"], p["length"], crc, tokens[x].as_py(), p["sequence_id"], p["offset"]))
+            keys = [c.take(pa.array(owner, pa.int64())) for c in batch.columns[: len(by)]]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array([r[i] for r in out], pa.int64()) for i in range(6))], names=schema.names)
+
+    return found.mapInArrow(run, schema)

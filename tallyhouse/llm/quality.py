@@ -15,7 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyhouse.llm.tables import answered
 from tallyhouse.session import written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,15 +76,14 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """`keep` and the measures of each text; a null text measures as an empty one."""
-    source = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text"), *(f"{m} long" for m in MEASURES)])
+    source = docs.select(*keep, F.col(text).alias("__text"))
+    answers = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
 
-    def run(batches):
-        for frame in batches:
-            found = [measure(x) for x in frame.pop("_text")]
-            yield frame.assign(**{m: [x[i] for x in found] for i, m in enumerate(MEASURES)})
+    def work(batch):
+        found = [measure(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+        return [[x[i] for x in found] for i in range(len(MEASURES))]
 
-    return source.mapInPandas(run, schema)
+    return answered(source, answers, lambda: work, drop=1)
 
 
 def rules() -> dict[str, Column]:
@@ -159,7 +160,7 @@ def judge(docs: DataFrame, labels: DataFrame, by: list[str], strata: list[str],
     """Per row of `docs`: `by`, `strata`, the measures, the levels, base_failed, rejected_by (array), kept.
 
     `labels` has the columns `by` and quality (1: good); rows without a label or with a
-    null one teach nothing, and a label given twice counts twice.  The base check fails
+    null one teach nothing, and a label given twice counts once.  The base check fails
     texts of fewer than 20 words and texts of which more than 30 % are repeated words.
     Good documents that pass it calibrate the rules of their stratum; a stratum with
     too few of them has no cutoffs and rejects nothing.  A null stratum is a stratum of
@@ -169,7 +170,7 @@ def judge(docs: DataFrame, labels: DataFrame, by: list[str], strata: list[str],
     rows = measured(docs, [*by, *[s for s in strata if s not in by]], text)
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = written(rows.withColumns(rules()).withColumn("base_failed", base), "quality-measures")
-    good = rows.where(~F.col("base_failed")).join(labels.where("quality = 1").select(*by), by)
+    good = rows.where(~F.col("base_failed")).join(labels.where("quality = 1").select(*by).distinct(), by)
     cuts = calibrate(good, strata)
     cuts = cuts.withColumnsRenamed({s: f"_{s}" for s in strata})
     known = written(cuts, "quality-cutoffs")

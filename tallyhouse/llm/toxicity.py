@@ -1,7 +1,7 @@
 """Toxicity by logistic regression over hashed word n-grams, learned by FTRL-proximal.
 
 Features of a text are its distinct words, their stems, pairs of neighbours and pairs
-with one word between, hashed to 32 bits.  FTRL-proximal gives each coordinate a rate of
+with one word between, hashed to 2^24 coordinates.  FTRL-proximal gives each coordinate a rate of
 its own and keeps most weights at exactly zero, so that the model is two short sorted
 arrays, which are broadcast.
 """
@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.llm.tables import answered
 from tallyhouse.session import written
 
 #: Labelled rows learned from at most, the first by the hash of their id.
 SAMPLE_ROWS = 10_000
-#: Rows of the sample that a feature must be in, and features with a weight at most.
+#: Rows of the sample that a feature must be in.
 LEAST_ROWS = 3
-MAX_FEATURES = 1 << 19
+#: Bits of a feature's hash: there are so many coordinates, whatever the sample holds.
+COORDINATE_BITS = 24
 EPOCHS = 6
 ALPHA, BETA, L2 = 0.5, 1.0, 0.1
 #: L1 grows with the rows learned from, between these, so that a few rows can still move a weight.
@@ -47,7 +49,7 @@ class _Hashes(dict):
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(32)).astype(np.uint32)
+    return (x >> np.uint64(64 - COORDINATE_BITS)).astype(np.uint32)
 
 
 def features(text: str | None, known: dict) -> np.ndarray:
@@ -117,11 +119,11 @@ class Ftrl:
 
 
 def fit(docs: DataFrame, labels: DataFrame, by: str, text: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """A model of at most MAX_FEATURES weights from at most `rows` labelled rows.
+    """A model of at most a weight for each coordinate from at most `rows` labelled rows.
 
     `labels` has `by` and toxic; null labels teach nothing, repeated ones count again.
     The rows of the sample are seen in the order of a hash, once per epoch, by one task
-    that holds two numbers per feature; their features are made by many.
+    that holds two numbers for each coordinate in use; their features are made by many.
     """
     chosen = labels.where("toxic IS NOT NULL").select(F.col(by).alias("_id"), F.col("toxic").cast("double").alias("label"))
     chosen = chosen.withColumn("_order", F.xxhash64("_id", F.lit("order"))).orderBy("_order", "_id", "label").limit(rows)
@@ -143,14 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, by: str, text: str = "text", rows: i
                 yield pd.DataFrame({"hash": hashes.astype(np.int64), "n": n})
 
     counts = made.select("found").mapInPandas(tally, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    common = counts.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "hash").limit(MAX_FEATURES).select("hash")
+    common = counts.where(F.col("n") >= LEAST_ROWS).select("hash")
 
     def packed(batches):
-        hashes = [frame["hash"].to_numpy().astype(np.uint32) for frame in batches]
-        yield pd.DataFrame({"hashes": [np.sort(np.concatenate([np.zeros(0, np.uint32), *hashes])).tobytes()]})
+        for frame in batches:
+            yield pd.DataFrame({"hashes": [frame["hash"].to_numpy().astype(np.uint32).tobytes()]})
 
-    # a task picks and packs the features: the driver gets four bytes for each, not rows to order
-    vocabulary = np.frombuffer(b"".join(r["hashes"] for r in common.mapInPandas(packed, "hashes binary").collect()), np.uint32)
+    # the driver gets four bytes for each coordinate in use
+    vocabulary = np.sort(np.frombuffer(b"".join(r["hashes"] for r in common.mapInPandas(packed, "hashes binary").collect()), np.uint32))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     n_rows, positive = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     rate = min(max((positive + 0.5) / (n_rows + 1), 1e-6), 1 - 1e-6)
@@ -196,14 +198,16 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     score of the bias; rows that repeat get equal scores; an empty table stays empty.
     """
     docs = docs.drop("score", "predicted")
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
-    def run(batches):
+    def start():
         known, model = _Hashes(), held.value
         sieve = model.sieve()
-        for frame in batches:
-            score = np.array([model.score(features(t, known), sieve) for t in frame[text]])
-            yield frame.assign(score=score, predicted=(score >= 0.5).astype(np.int32))
 
-    return docs.mapInPandas(run, schema)
+        def work(batch):
+            score = np.array([model.score(features(t.as_py(), known), sieve) for t in batch.column(at)], np.float64)
+            return score, (score >= 0.5).astype(np.int32)
+
+        return work
+
+    return answered(docs, T.StructType().add("score", "double").add("predicted", "integer"), start)
