@@ -9,6 +9,10 @@ from tallyhouse.llm.tables import fold, table
 from tallyhouse.session import written
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model predicts to be toxic.
 
@@ -16,8 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
     model = toxicity.fit(docs, labels, by="doc_id")
-    scored = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"))
-    return toxicity.score_toxicity(scored, model).where("predicted = 0").select("doc.*")
+    # numbered names: a column may be called score or predicted itself
+    text = f"c{docs.columns.index('text')}"
+    return toxicity.score_toxicity(_numbered(docs), model, text).where("predicted = 0").drop("score", "predicted").toDF(*docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +30,16 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A document all of whose lines go stays with an empty text.
     """
-    wrapped = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"))
-    kept = line_dedup.dedup_lines(wrapped)
-    changed = F.col("n_dropped") > 0
-    text = F.when(changed, F.col("text")).otherwise(F.col("doc.text"))
-    new = {"text": text, "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))}
-    return kept.select(*(new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: F.col(n) for c, n in zip(docs.columns, names)}
+    source = _numbered(docs)
+    text = names[docs.columns.index("text")]
+    kept = line_dedup.dedup_lines(source.withColumn("no_text", F.col(text).isNull()), text=text)
+    new = {
+        "text": F.when(~F.col("no_text"), at["text"]),
+        "n_chars": F.when(F.col("n_dropped") > 0, F.length(text).cast("long")).otherwise(at["n_chars"]),
+    }
+    return kept.select(*(new.get(c, at[c]).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +51,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = docs.join(named, docs["doc_id"].eqNullSafe(named["_keeper_id"]) & (node == named["_keeper_node"]))
     once = kept.where("_keeper_twins = 1")
     # rows with the same id and text
-    again = kept.where("_keeper_twins > 1").dropDuplicates(["_keeper_node"])
-    return once.unionByName(again).select(*docs.columns)
+    row = F.struct(*(docs[c] for c in docs.columns))
+    again = kept.where("_keeper_twins > 1").groupBy("_keeper_node").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return once.select(*docs.columns).unionByName(again.select("row.*"))
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
