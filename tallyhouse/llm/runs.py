@@ -16,11 +16,12 @@ proportion to the words, and nothing is missed.
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.llm.tables import answered
+
 #: Periods below this are scanned directly; the first scale starts here.
 FIRST_PERIOD = 8
 LEAST_LENGTH = 12
@@ -173,7 +174,6 @@ RESULT = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("n_runs", "start", "length", "period", "exponent_milli")]
     + [T.StructField(c, T.StringType()) for c in ("runs_sha256", "collapsed_sha256", "collapsed")]
 )
-_ARROW = [pa.int64()] * 5 + [pa.string()] * 3
 
 
 def _answers(texts: list[list[bytes]]) -> list[tuple]:
@@ -228,20 +228,17 @@ def periodic_runs(docs: DataFrame, text: str = "text", keep: list[str] | None =
     names = {f.name for f in answers}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names and (keep is not None or c != text)]
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("binary").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *answers])
-
-    def run(batches):
-        for batch in batches:
-            out, some, n = [], [], 0
-            for value in batch.column(batch.num_columns - 1):
-                # bytes.split() cuts at x20 and x09 to x0D exactly
-                some.append((value.as_py() or b"").split())
-                n += len(some[-1])
-                if n >= CHUNK_WORDS:
-                    out += _answers(some)
-                    some, n = [], 0
-            out += _answers(some)
-            made = [pa.array([r[i] for r in out], t) for i, (t, f) in enumerate(zip(_ARROW, RESULT)) if f.name in names]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[f.name for f in schema])
-
-    return source.mapInArrow(run, schema)
+
+    def work(batch):
+        out, some, n = [], [], 0
+        for value in batch.column(batch.num_columns - 1):
+            # bytes.split() cuts at x20 and x09 to x0D exactly
+            some.append((value.as_py() or b"").split())
+            n += len(some[-1])
+            if n >= CHUNK_WORDS:
+                out += _answers(some)
+                some, n = [], 0
+        out += _answers(some)
+        return [[r[i] for r in out] for i, f in enumerate(RESULT) if f.name in names]
+
+    return answered(source, T.StructType(answers), lambda: work, drop=1)
