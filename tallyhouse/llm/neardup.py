@@ -28,7 +28,7 @@ BLOCK = 512
 GROUP_ROWS = 1500
 BROADCAST_BYTES = 32 << 20
 #: Words remembered by a worker.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -192,8 +192,8 @@ def join_texts(docs: DataFrame, by: str, text: str = "text", threshold: float =
         known = _Hashes()
         for batch in batches:
             keys = []
-            for value in batch.column("text").to_pylist():
-                found = shingles(value, known, size)
+            for value in batch.column("text"):
+                found = shingles(value.as_py(), known, size)
                 keys.append(prefixes(found, TREES, depth).view(np.int64) if len(found) else None)
             yield pa.record_batch([batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
@@ -217,7 +217,7 @@ def join_texts(docs: DataFrame, by: str, text: str = "text", threshold: float =
     def collect(batches):
         known = _Hashes()
         for batch in batches:
-            found = [shingles(value, known, size).tobytes() for value in batch.column("text").to_pylist()]
+            found = [shingles(value.as_py(), known, size).tobytes() for value in batch.column("text")]
             yield pa.record_batch([batch.column("node"), pa.array(found, pa.binary())], ["node", "found"])
 
     sets = chosen.mapInArrow(collect, "node binary, found binary").dropDuplicates(["node"]).join(signed, "node")

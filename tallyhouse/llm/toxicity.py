@@ -30,7 +30,7 @@ ALPHA, BETA, L2 = 0.5, 1.0, 0.1
 L1_LEAST, L1_MOST, L1_ROWS = 1.0, 5.0, 2000
 STEMS = (4, 5)
 #: Words remembered by a worker.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _SIEVE = 1 << 20
 
