@@ -51,15 +51,15 @@ def headline(store: SnapshotStore) -> dict:
         "diff": lambda: compare.diff(store.files(a, b), a, b),
         "growth": lambda: compare.growth(usage_rows(store.files(a, b)), store.meta(), a, b),
         "growth_stored": lambda: compare.growth(store.usage(a, b), store.meta(), a, b),
-        "growth_over_n": lambda: trend.growth_over_n(dir_usage(store.files(*(one for one, _ in last))), last, fill_target=10**9),
+        "growth_over_n": lambda: trend.growth_over_n(usage_rows(store.files(*(one for one, _ in last))), last, fill_target=10**9),
         "growth_over_n_stored": lambda: trend.growth_over_n(all_usage(), last, fill_target=10**9),
         "classify_stored": lambda: shape.classify_pattern(all_usage(), last).groupBy("pattern").count(),
         "predict_stored": lambda: trend.predict(store.meta(), 10**10),
         "cleanup_scan": lambda: reclaim.cleanup_scan(latest()),
-        "cleanup_scan_stored": lambda: reclaim.cleanup_scan(latest(), usage=rolled_up()),
+        "cleanup_scan_stored": lambda: reclaim.cleanup_scan(latest(), tree=store.tree(b)),
         "after_cleanup": lambda: listings.stats(reclaim.after_cleanup(latest(), reclaim.cleanup_scan(latest(), usage=rolled_up()))),
-        "subtree_sizes_stored": lambda: tree.subtree_sizes(rolled_up()).orderBy(F.desc("bytes"), "path").limit(100),
-        "children": lambda: tree.children(latest(), I.ROOT),
+        "subtree_sizes_stored": lambda: tree.tree_sizes(store.tree(b)).orderBy(F.desc("bytes"), "path").limit(100),
+        "children": lambda: tree.tree_children(store.tree(b), latest(), I.ROOT),
         "retention_plan": plan,
     }
 
@@ -70,7 +70,7 @@ def main():
     spark = local_session(cores, **{"spark.sql.shuffle.partitions": cores})
     store = SnapshotStore(spark, working_folder(spark, "bench"))
     start = time.perf_counter()
-    store.write(I.file_rows(spark, sf_dir), snapshot_ids=I.IDS, root=I.ROOT, directories=True, dir_mtime=I.DIR_MTIME)
+    store.write(I.file_rows(spark, sf_dir), snapshot_ids=I.IDS, root=I.ROOT, directories=True, dir_mtime=I.DIR_MTIME, tree=True)
     ingest = time.perf_counter() - start
     times, rows = {}, {}
     for name, build in headline(store).items():

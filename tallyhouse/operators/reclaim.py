@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
 from tallyhouse.functions.paths import base_name, contains_any, explode_ancestors, parent_dir
-from tallyhouse.operators.usage import dir_usage
 from tallyhouse.session import written
 
 
@@ -55,10 +54,8 @@ def cleanup_totals(files: DataFrame, categories=None, usage: DataFrame | None =
         none = "category string, path string, bytes long, files long"
         return files.sparkSession.createDataFrame([], none)
     if usage is None:
-        usage = dir_usage(files.where(contains_any("path", [f"{name}/" for name in names])))
-    else:
-        usage = usage.where(contains_any("dir", names))
-    inside = usage.select("dir", "bytes", "files")
+        return _totals_of_files(files, names)
+    inside = usage.where(contains_any("dir", names)).select("dir", "bytes", "files")
     above = explode_ancestors(inside, "dir", "path", include_self=True)
     credits = above.where(base_name("path").isin(list(names)))
     targets = cleanup_targets(files, categories).select(
@@ -74,15 +71,56 @@ def cleanup_totals(files: DataFrame, categories=None, usage: DataFrame | None =
     )
 
 
+def _totals_of_files(files: DataFrame, names: dict[str, str]) -> DataFrame:
+    """`cleanup_totals` in one read of the entries.
+
+    A file stands for its directory, a directory row for itself; sums per directory come
+    first, so that only directories are exploded, into the candidate names above them.
+    """
+    target = F.col("is_dir") & F.col("name").isin(list(names)) & ~protected("path")
+    inside = ~F.col("is_dir") & contains_any("path", [f"{name}/" for name in names])
+    zero = F.lit(0).cast("long")
+    own = (
+        files.where(target | inside)
+        .groupBy(F.when(F.col("is_dir"), F.col("path")).otherwise(parent_dir("path")).alias("dir"))
+        .agg(
+            F.sum(F.when(F.col("is_dir"), zero).otherwise(F.col("size"))).alias("bytes"),
+            F.count_if(~F.col("is_dir")).alias("files"),
+            F.max("is_dir").alias("target"),
+        )
+    )
+    credits = explode_ancestors(own, "dir", "path", include_self=True).where(base_name("path").isin(list(names)))
+    return (
+        credits.select("path", "bytes", "files", (F.col("target") & (F.col("path") == F.col("dir"))).alias("listed"))
+        .groupBy("path")
+        .agg(F.sum("bytes").alias("bytes"), F.sum("files").alias("files"), F.max("listed").alias("listed"))
+        .where("listed")
+        .select(_category(names).alias("category"), "path", "bytes", "files")
+    )
+
+
+def tree_targets(tree: DataFrame, categories=None) -> DataFrame:
+    """(category, path, bytes, files) of every candidate directory, read off its row in the numbered tree."""
+    names = category_names(categories)
+    if not names:
+        return tree.sparkSession.createDataFrame([], "category string, path string, bytes long, files long")
+    named = tree.where(F.col("depth").isNotNull() & base_name("path").isin(list(names)) & ~protected("path"))
+    return named.select(_category(names).alias("category"), "path", "bytes", "files")
+
+
 def cleanup_scan(
     files: DataFrame,
     categories=None,
     limit: int = 100,
     usage: DataFrame | None = None,
     outermost_only: bool = False,
+    tree: DataFrame | None = None,
 ) -> DataFrame:
-    """The candidate directories that hold the most bytes."""
-    hits = cleanup_totals(files, categories, usage)
+    """The candidate directories that hold the most bytes.
+
+    Given the numbered `tree` of the snapshot, neither files nor usage are read.
+    """
+    hits = cleanup_totals(files, categories, usage) if tree is None else tree_targets(tree, categories)
     if outermost_only:
         hits = outermost(hits)
     return hits.orderBy(F.desc("bytes"), "path").limit(limit).select("category", "path", "bytes", "files")

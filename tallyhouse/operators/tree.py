@@ -3,7 +3,60 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.paths import base_name, explode_ancestors
+from tallyhouse.functions.paths import base_name, explode_ancestors, parent_dir
+from tallyhouse.operators.sweep import path_sweep
+
+_SUMS = ("files", "bytes", "physical_bytes")
+
+
+def directory_tree(usage: DataFrame, files: DataFrame) -> DataFrame:
+    """The numbered directory tree of each snapshot, one row per directory, empty ones included.
+
+    `usage` is the roll-up of the snapshots, `files` their entries, of which only the
+    directory rows are read.  Columns: snapshot_id, path, depth (NULL for a directory
+    that holds files but has no row), pre and last (the places of the first and the last
+    directory of its subtree in path order: another directory lies below it exactly if
+    its pre is between them), own_files, own_bytes, own_physical_bytes of the files
+    directly in it, and files, bytes, physical_bytes of all below it.
+    """
+    none = [F.lit(0).cast("long").alias(c) for c in _SUMS]
+    listed = files.where("is_dir").select("snapshot_id", "path", "depth", *none)
+    own = usage.select("snapshot_id", F.col("dir").alias("path"), F.lit(None).cast("int").alias("depth"), *_SUMS)
+    rows = listed.unionByName(own).groupBy("snapshot_id", "path").agg(
+        F.max("depth").alias("depth"), *(F.sum(c).alias(c) for c in _SUMS), F.lit(1).alias("dirs"), F.lit(True).alias("opens")
+    )
+    # depths are carried as a measure of their own that starts at 1
+    rows = rows.withColumn("level", F.coalesce(F.col("depth") + 1, F.lit(0)))
+    swept = path_sweep(rows, ["dirs", "level", *_SUMS])
+    return swept.select(
+        "snapshot_id",
+        "path",
+        F.when(F.col("own_level") > 0, F.col("own_level") - 1).cast("int").alias("depth"),
+        "pre",
+        (F.col("pre") + F.col("dirs") - 1).alias("last"),
+        *(f"own_{c}" for c in _SUMS),
+        *_SUMS,
+    )
+
+
+def tree_sizes(tree: DataFrame, physical: bool = False) -> DataFrame:
+    """What `subtree_sizes` tells, and snapshot_id, read off the numbered tree without an aggregation.
+
+    Directories without any file below them are left out, as there.
+    """
+    size = F.col("physical_bytes" if physical else "bytes")
+    return tree.where("files > 0").select("snapshot_id", "path", size.alias("bytes"), "files")
+
+
+def tree_children(tree: DataFrame, files: DataFrame, parent: str, limit: int | None = 500) -> DataFrame:
+    """What `children` tells, from the numbered tree; of `files` only those directly in `parent` count."""
+    base = parent.rstrip("/")
+    below = F.startswith("path", F.lit(f"{base}/")) & (F.col("path") != f"{base}/")
+    direct = F.substring_index("path", "/", base.count("/") + 2) == F.col("path")
+    dirs = tree.where(below & direct & F.col("depth").isNotNull()).select("path", F.lit(True).alias("is_dir"), "depth", F.col("bytes").alias("size"))
+    own = files.where(below & ~F.col("is_dir") & (parent_dir("path") == (base or "/") if base else direct)).select("path", "is_dir", "depth", "size")
+    rows = dirs.unionByName(own).select("path", base_name("path").alias("name"), "is_dir", "size", "depth").orderBy(F.desc("size"), "path")
+    return rows if limit is None else rows.limit(limit)
 
 
 def subtree_sizes(usage: DataFrame, physical: bool = False) -> DataFrame:

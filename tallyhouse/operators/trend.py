@@ -4,6 +4,9 @@ A directory's series has one sample per snapshot, so it is at most as long as
 the list of snapshots; sums per (snapshot, directory) come first.
 """
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from tallyhouse.functions import fit
 from tallyhouse.functions.scalars import fill_second, rfc3339, size_of, snapshot_ts
 from tallyhouse.operators.usage import bytes_column
 
+#: Up to so many snapshots their bytes are columns of one aggregation.
+WIDE_SNAPSHOTS = 64
+
 
 def dir_series(usage: DataFrame, physical: bool = False) -> DataFrame:
     """(snapshot_id, dir, bytes), one row for each directory of each snapshot."""
@@ -63,6 +69,35 @@ def latest_only(trends: DataFrame) -> DataFrame:
     return trends.where(F.col("latest_bytes").isNotNull())
 
 
+def _wide_trends(usage: DataFrame, snapshots, limit: int) -> DataFrame:
+    """The `limit` steepest directories with their samples, from a column of bytes for each of `snapshots`."""
+    places = range(len(snapshots))
+    own = [F.sum(F.when(F.col("snapshot_id") == one, F.col("bytes"))).alias(f"_y{i}") for i, (one, _) in enumerate(snapshots)]
+    kept = usage.where(F.col("snapshot_id").isin([one for one, _ in snapshots]))
+    wide = kept.groupBy(F.col("dir").alias("path")).agg(*own).where(F.col(f"_y{places[-1]}").isNotNull())
+    days = [F.lit((ts - snapshots[-1][1]) / float(S.SECONDS_PER_DAY)) for _, ts in snapshots]
+
+    def total(value):
+        return reduce(add, (F.when(F.col(f"_y{i}").isNotNull(), value(i)).otherwise(F.lit(0)) for i in places))
+
+    wide = wide.withColumn("_n", total(lambda i: F.lit(1)).cast("long")).where(F.col("_n") >= 3)
+    wide = wide.withColumns({"_mean_x": total(lambda i: days[i]) / F.col("_n"), "_mean_y": total(lambda i: F.col(f"_y{i}").cast("double")) / F.col("_n")})
+    x, y = (lambda i: days[i] - F.col("_mean_x")), (lambda i: F.col(f"_y{i}") - F.col("_mean_y"))
+    wide = wide.withColumns({"_sxx": total(lambda i: x(i) * x(i)), "_sxy": total(lambda i: x(i) * y(i)), "_syy": total(lambda i: y(i) * y(i))})
+    samples = F.array(*(F.when(F.col(f"_y{i}").isNotNull(), F.struct(F.lit(ts).alias("ts"), F.col(f"_y{i}").alias("bytes"))) for i, (_, ts) in enumerate(snapshots)))
+    top = wide.withColumn("per_day", fit.slope()).withColumn("slope_bytes_per_day", F.col("per_day").cast("long"))
+    top = top.orderBy(F.desc("slope_bytes_per_day"), "path").limit(limit)
+    return top.select(
+        "path",
+        "per_day",
+        "slope_bytes_per_day",
+        fit.r2().alias("r2"),
+        F.col(f"_y{places[-1]}").alias("latest_bytes"),
+        F.col("_n").alias("n_snapshots"),
+        F.array_compact(samples).alias("samples"),
+    )
+
+
 def growth_over_n(usage: DataFrame, snapshots, limit: int = 50, fill_target: int | None = None) -> DataFrame:
     """Fastest-growing directories over three or more snapshots.
 
@@ -71,12 +106,16 @@ def growth_over_n(usage: DataFrame, snapshots, limit: int = 50, fill_target: int
     gap in its series, not a zero; directories with fewer than three samples or
     gone from the newest snapshot are left out.
 
-    The moments of all directories decide which `limit` are listed; only those
-    have their samples gathered.
+    One aggregation holds a directory's bytes in each snapshot, and the fit is taken
+    from those columns: one scan, one shuffle, whether given files or the roll-up.
+    Beyond WIDE_SNAPSHOTS the moments of all directories decide which `limit` are
+    listed, and only those have their samples gathered.
     """
     if len(snapshots) < 3:
         raise ValueError(f"a trend needs at least 3 snapshots, got {len(snapshots)}")
     snapshots = in_order(snapshots)
+    if len(snapshots) <= WIDE_SNAPSHOTS:
+        return _dated(_wide_trends(usage, snapshots, limit), snapshots, fill_target)
     series = dir_series(usage)
     per_day = fit.slope()
     top = (
@@ -95,10 +134,14 @@ def growth_over_n(usage: DataFrame, snapshots, limit: int = 50, fill_target: int
     )
     # at most `limit` rows
     chosen = series.join(F.broadcast(top.select(F.col("path").alias("dir"))), "dir", "left_semi")
+    return _dated(top.join(F.broadcast(_by_directory(chosen, snapshots).agg(_samples())), "path"), snapshots, fill_target)
+
+
+def _dated(top: DataFrame, snapshots, fill_target: int | None) -> DataFrame:
+    """The listed directories in order, with the date at which they reach `fill_target`."""
     fill = fill_second(F.lit(snapshots[-1][1]), F.lit(fill_target).cast("long"), F.col("per_day"))
     return (
-        top.join(F.broadcast(_by_directory(chosen, snapshots).agg(_samples())), "path")
-        .orderBy(F.desc("slope_bytes_per_day"), "path")
+        top.orderBy(F.desc("slope_bytes_per_day"), "path")
         .select(
             "path",
             "slope_bytes_per_day",

@@ -157,7 +157,7 @@ def _growth_n_row(rows):
 
 @query("growth_over_n", files_sql(_GROWTH_N, _SERIES, _TREND))
 def growth_over_n(spark, sf_dir):
-    return _growth_n_row(trend.growth_over_n(dir_usage(entries(spark, sf_dir)), I.TIMES, fill_target=_FILL))
+    return _growth_n_row(trend.growth_over_n(usage_rows(entries(spark, sf_dir)), I.TIMES, fill_target=_FILL))
 
 
 @query("growth_over_n_stored", files_sql(_GROWTH_N, _SERIES, _TREND))

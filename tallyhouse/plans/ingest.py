@@ -313,7 +313,8 @@ _FREE_SQL = """SELECT ext, count(*) AS n, max(depth) AS deepest, max(entries) AS
 )
 def sql_query(spark, sf_dir):
     snaps = store(spark, sf_dir)
-    return sqlview.sql_query(spark, _FREE_SQL, snaps.files("@latest"), snaps.meta())
+    newest = snaps.resolve("@latest")
+    return sqlview.sql_query(spark, _FREE_SQL, snaps.files(newest), snaps.meta(), snapshot_ids=[newest])
 
 
 @query(

@@ -30,7 +30,7 @@ def store(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         made = SnapshotStore(spark, working_folder(spark, "store"))
-        made.write(file_rows(spark, sf_dir), snapshot_ids=IDS, root=ROOT, directories=True, dir_mtime=DIR_MTIME)
+        made.write(file_rows(spark, sf_dir), snapshot_ids=IDS, root=ROOT, directories=True, dir_mtime=DIR_MTIME, tree=True)
         _STORES[key] = made
     return _STORES[key]
 

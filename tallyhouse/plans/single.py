@@ -221,6 +221,16 @@ def cleanup_scan_stored(spark, sf_dir):
     return reclaim.cleanup_scan(snaps.files("@latest"), categories, usage=snaps.usage("@latest"))
 
 
+@query(
+    "cleanup_scan_tree",
+    I.inventory_sql("SELECT * FROM credited ORDER BY bytes DESC, path LIMIT 1000", _TARGETS, _CREDITED),
+)
+def cleanup_scan_tree(spark, sf_dir):
+    """From the rows of the candidates in the numbered tree alone."""
+    snaps = store(spark, sf_dir)
+    return reclaim.cleanup_scan(snaps.files("@latest"), limit=1000, tree=snaps.tree("@latest"))
+
+
 @query(
     "cleanup_outermost",
     I.inventory_sql(
@@ -396,6 +406,39 @@ def children(spark, sf_dir):
     return tree.children(latest(spark, sf_dir), "/vol/s7")
 
 
+@query("children_tree", I.inventory_sql("SELECT path, name, is_dir, size, depth FROM child ORDER BY size DESC, path LIMIT 500", _CHILDREN))
+def children_tree(spark, sf_dir):
+    snaps = store(spark, sf_dir)
+    return tree.tree_children(snaps.tree("@latest"), snaps.files("@latest"), "/vol/s7")
+
+
+@query(
+    "directory_tree",
+    I.inventory_sql(
+        """SELECT d.snapshot_id, d.path, d.depth,
+          row_number() OVER (PARTITION BY d.snapshot_id ORDER BY replace(d.path, '/', chr(1))) - 1 AS pre,
+          row_number() OVER (PARTITION BY d.snapshot_id ORDER BY replace(d.path, '/', chr(1))) - 2 + b.dirs AS last,
+          COALESCE(o.files, 0) AS own_files, CAST(COALESCE(o.bytes, 0) AS BIGINT) AS own_bytes,
+          CAST(COALESCE(t.files, 0) AS BIGINT) AS files, CAST(COALESCE(t.bytes, 0) AS BIGINT) AS bytes
+        FROM (SELECT * FROM inv WHERE is_dir) d
+        JOIN below b ON b.snapshot_id = d.snapshot_id AND b.path = d.path
+        LEFT JOIN own o ON o.snapshot_id = d.snapshot_id AND o.dir = d.path
+        LEFT JOIN total t ON t.snapshot_id = d.snapshot_id AND t.path = d.path""",
+        f"own AS (SELECT snapshot_id, {PARENT} AS dir, count(*) AS files, sum(size) AS bytes FROM inv_files GROUP BY 1, 2)",
+        """up AS (SELECT snapshot_id, dir, files, bytes, array_to_string(parts[1:k], '/') AS path
+          FROM (SELECT *, string_split(dir, '/') AS parts, unnest(range(2, len(string_split(dir, '/')) + 1)) AS k FROM own))""",
+        "total AS (SELECT snapshot_id, path, sum(files) AS files, sum(bytes) AS bytes FROM up GROUP BY 1, 2)",
+        """below AS (SELECT snapshot_id, path, count(*) AS dirs
+          FROM (SELECT snapshot_id, array_to_string(parts[1:k], '/') AS path
+            FROM (SELECT snapshot_id, string_split(path, '/') AS parts, unnest(range(2, len(string_split(path, '/')) + 1)) AS k
+              FROM inv WHERE is_dir)) GROUP BY 1, 2)""",
+    ),
+)
+def directory_tree(spark, sf_dir):
+    """All snapshots: places and totals of every directory."""
+    return store(spark, sf_dir).tree().drop("own_physical_bytes", "physical_bytes")
+
+
 @query("root_total", I.inventory_sql(f"SELECT '/vol' AS root, CAST(sum(size) AS BIGINT) AS total_bytes FROM inv WHERE {L} AND NOT is_dir"))
 def root_total(spark, sf_dir):
     return tree.root_total(latest(spark, sf_dir))

@@ -63,6 +63,18 @@ USAGE = T.StructType(
     ]
 )
 
+TREE = T.StructType(
+    [
+        T.StructField("snapshot_id", T.StringType(), False),
+        T.StructField("path", T.StringType(), False),
+        T.StructField("depth", T.IntegerType()),
+        *(
+            T.StructField(name, T.LongType(), False)
+            for name in ("pre", "last", "own_files", "own_bytes", "own_physical_bytes", "files", "bytes", "physical_bytes")
+        ),
+    ]
+)
+
 SECONDS_PER_DAY = 86400
 
 # --- Fixed values ---------------------------------------------------------

@@ -1,23 +1,32 @@
-"""The snapshot table: immutable partitions plus two small side tables.
+"""The snapshot table: immutable partitions, some small side tables, and commit marks.
 
-    <root>/files/snapshot_id=<id>/   one row per entry
-    <root>/usage/snapshot_id=<id>/   one row per directory, rolled up at write time
-    <root>/meta/snapshot_id=<id>/    one row; written last, so it marks the commit
+    <root>/files/snapshot_id=<id>/generation=<n>/   one row per entry
+    <root>/usage/snapshot_id=<id>/generation=<n>/   one row per directory, rolled up at write time
+    <root>/tree/snapshot_id=<id>/generation=<n>/    one row per directory with its place and subtree totals, if asked for
+    <root>/meta/snapshot_id=<id>/generation=<n>/    one row
+    <root>/claims/snapshot_id=<id>/<n>              an empty file: a writer has taken this generation
+    <root>/heads/snapshot_id=<id>/<n>               an empty file, made last: this generation is committed
 
-Directory questions (`growth`, trends, subtree totals) read `usage`, which is
+A write claims the next generation of its snapshot, which only one writer can, and fills
+folders that no one else reads or writes.  The head it makes at the end is the commit;
+readers take the greatest one.  So a replaced snapshot stays readable, also by the job
+that replaces it, until the new one stands, and a write that dies changes nothing.
+
+Directory questions (`growth`, trends, subtree totals) read `usage` or `tree`, which are
 smaller than `files` by the number of files per directory.
 """
 
 import re
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
 from tallyhouse.functions.scalars import file_stem, rfc3339, snapshot_ts
-from tallyhouse.operators.tree import scan_roots
+from tallyhouse.operators.tree import directory_tree, scan_roots
 from tallyhouse.operators.usage import dir_usage
 from tallyhouse.sources.manifest import missing_directories
 
@@ -110,6 +119,10 @@ def new_snapshot_id(now: float | None = None) -> str:
     return time.strftime("%Y-%m-%d_%H-%M", time.gmtime(now))
 
 
+def _folder(one: str, generation: int) -> str:
+    return f"snapshot_id={one}/generation={generation}"
+
+
 class SnapshotStore:
     """Snapshots below one folder.
 
@@ -137,6 +150,7 @@ class SnapshotStore:
         dir_mtime: int | None = None,
         replace: bool = False,
         sort_by_path: bool = False,
+        tree: bool = False,
     ) -> list[str]:
         """Commit `files` as new snapshots and return their ids.
 
@@ -144,15 +158,17 @@ class SnapshotStore:
         their own, and naming them in `snapshot_ids` saves a pass that looks for
         them.  The write fails on rows of snapshots that are not named, and on
         named snapshots without rows.  Committed snapshots are immutable unless
-        `replace` is set; that takes the commit mark away first, so that a reader
-        sees the old snapshot, none, or the new one.  Replacing by an empty listing
-        leaves none.
+        `replace` is set; a reader then sees the old snapshot until the new one is
+        committed, and `files` may read the snapshot it replaces.  Of two writers
+        that replace a snapshot the later claim wins as a whole.  Replacing by an
+        empty listing leaves none.
         `directories` adds the directory rows a flat listing lacks.
         `sort_by_path` range-partitions the rows by path, one extra shuffle that
-        lets subtree reads skip most row groups.
+        lets subtree reads skip most row groups.  `tree` also stores the numbered
+        directory tree.
 
-        Partitions are replaced whole, so a run that lost its driver half way
-        can be repeated.
+        A run that lost its driver half way has committed nothing and can be
+        repeated; `expire` removes what it and replaced snapshots leave.
         """
         if snapshot_id is not None:
             files = files.withColumn("snapshot_id", F.lit(snapshot_id))
@@ -170,80 +186,130 @@ class SnapshotStore:
         taken = set(ids) & set(self.ids())
         if taken and not replace:
             raise ValueError(f"snapshots exist and are immutable: {sorted(taken)}")
-        for table in ("meta", "files", "usage"):
-            for one in taken:
-                self._remove(table, one)
+        claimed = {one: self._claim(one) for one in ids}
         if sort_by_path:
             files = files.repartitionByRange("snapshot_id", "path").sortWithinPartitions(
                 "snapshot_id", "path"
             )
-        self._put("files", files.select([f.name for f in S.FILES.fields]))
-        found = [one for one in ids if self._exists("files", one)]
+        self._put("files", files.select([f.name for f in S.FILES.fields]), claimed)
+        found = [one for one in ids if self._exists(f"files/{_folder(one, claimed[one])}")]
         if snapshot_ids is not None and found != ids:
             raise LookupError(f"no rows for {sorted(set(ids) - set(found))}; nothing is committed")
+        for one in taken - set(found):
+            self._commit(one, claimed[one], replace, gone=True)
         if not found:
             return []
+        new = {one: claimed[one] for one in found}
         # The rest is computed from what was stored, not from `files` again: the
         # stored columns are cheap to re-read, the source may not be.
         if directories:
-            lacking = missing_directories(self._partitions("files", found), root or "/", dir_mtime)
-            self._put("files", lacking, mode="append")
-        stored = self._partitions("files", found)
+            self._put("files", missing_directories(self._partitions("files", new), root or "/", dir_mtime), new)
+        stored = self._partitions("files", new)
         meta = scan_meta(stored, root, started_at, ended_at, completed)
         # A snapshot without files has one row, its root, so that no partition is missing.
         bare = stored.groupBy("snapshot_id").agg(F.count_if(~F.col("is_dir")).alias("n")).where("n = 0")
         none = [F.lit(0).cast("long").alias(c) for c in ("files", "bytes", "physical_bytes")]
         bare = bare.select("snapshot_id", F.lit(root or "/").alias("dir"), *none)
-        self._put("usage", dir_usage(stored).unionByName(bare))
-        self._put("meta", meta.join(self._stored_sizes(found), "snapshot_id", "left").coalesce(1))
+        self._put("usage", dir_usage(stored).unionByName(bare), new)
+        if tree:
+            self._put("tree", directory_tree(self._partitions("usage", new), stored), new)
+        self._put("meta", meta.join(self._stored_sizes(new), "snapshot_id", "left").coalesce(1), new)
+        for one, generation in new.items():
+            self._commit(one, generation, replace)
         return found
 
-    def _folder(self, table: str, one: str):
-        """Hadoop's file system and path of a partition; a job cannot remove a folder."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/snapshot_id={one}")
+    def expire(self, older_than: float = 86_400.0) -> list[str]:
+        """Remove generations that are not current and were claimed more than so many seconds ago.
+
+        Their folders are returned.  Leave enough time for readers and writers at work.
+        """
+        heads, gone = self._heads(committed=False), []
+        for path, at in self._files("claims"):
+            one, generation = path.rsplit("/", 2)[-2].removeprefix("snapshot_id="), int(path.rsplit("/", 1)[-1])
+            if generation != heads.get(one) and time.time() - at > older_than:
+                for table in ("files", "usage", "tree", "meta"):
+                    folder = f"{table}/{_folder(one, generation)}"
+                    if self._exists(folder):
+                        system, where = self._path(folder)
+                        system.delete(where, True)
+                        gone.append(folder)
+        return gone
+
+    def _path(self, below: str):
+        """Hadoop's file system and path of something below the root; a job cannot make or remove a mark."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{below}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _exists(self, table: str, one: str) -> bool:
-        system, path = self._folder(table, one)
+    def _exists(self, below: str) -> bool:
+        system, path = self._path(below)
         return system.exists(path)
 
-    def _remove(self, table: str, one: str) -> None:
-        system, path = self._folder(table, one)
-        system.delete(path, True)
-
-    def _stored_sizes(self, ids: list[str]) -> DataFrame:
+    def _mark(self, below: str) -> bool:
+        """Make an empty file; False if it is there already, which one of two that try is told."""
+        system, path = self._path(below)
+        try:
+            system.create(path, False).close()
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception) and not system.exists(path):
+                raise
+            return False
+        return True
+
+    def _files(self, table: str) -> list[tuple[str, float]]:
+        """(path, second of last change) of the marks in `claims` or `heads`."""
+        system, path = self._path(f"{table}/snapshot_id=*/*")
+        return [(s.getPath().toString(), s.getModificationTime() / 1000) for s in system.globStatus(path) or []]
+
+    def _claim(self, one: str) -> int:
+        marks = [path.rsplit("/", 1)[-1] for path, _ in self._files("claims") if f"/snapshot_id={one}/" in path]
+        generation = max(map(int, marks), default=0) + 1
+        while not self._mark(f"claims/snapshot_id={one}/{generation:08d}"):
+            generation += 1
+        return generation
+
+    def _commit(self, one: str, generation: int, replace: bool, gone: bool = False) -> None:
+        current = self._heads().get(one)
+        if current is not None and not replace:
+            raise ValueError(f"snapshots exist and are immutable: {[one]}")
+        self._mark(f"heads/snapshot_id={one}/{generation:08d}{'-none' if gone else ''}")
+
+    def _heads(self, committed: bool = True) -> dict[str, int]:
+        """Current generation by snapshot; with `committed` False also of those replaced by nothing."""
+        marks = {}
+        for path, _ in self._files("heads"):
+            one, mark = path.rsplit("/", 2)[-2].removeprefix("snapshot_id="), path.rsplit("/", 1)[-1]
+            marks[one] = max(marks.get(one, ""), mark)
+        return {one: int(mark[:8]) for one, mark in sorted(marks.items()) if not (committed and mark.endswith("-none"))}
+
+    def _stored_sizes(self, new: dict[str, int]) -> DataFrame:
         """Bytes and number of the data files of new snapshots; none is opened."""
         data = (
             self.spark.read.format("binaryFile")
             .option("pathGlobFilter", "*.parquet")
-            .load([f"{self.root}/files/snapshot_id={one}" for one in ids])
+            .load([f"{self.root}/files/{_folder(*pair)}" for pair in new.items()])
             .select(F.regexp_extract("path", r"/snapshot_id=([^/]+)/", 1).alias("snapshot_id"), "length")
         )
         return data.groupBy("snapshot_id").agg(F.sum("length").alias("stored_bytes"), F.count(F.lit(1)).alias("stored_files"))
 
-    def _put(self, table: str, rows: DataFrame, mode: str = "overwrite") -> None:
-        (
-            rows.write.partitionBy("snapshot_id")
-            .mode(mode)
-            .option("partitionOverwriteMode", "dynamic")
-            .parquet(f"{self.root}/{table}")
-        )
+    def _put(self, table: str, rows: DataFrame, generations: dict[str, int]) -> None:
+        pairs = [F.lit(part) for pair in generations.items() for part in pair]
+        generation = F.element_at(F.create_map(*pairs), F.col("snapshot_id")) if pairs else F.lit(0)
+        rows.withColumn("generation", generation).write.partitionBy("snapshot_id", "generation").mode("append").parquet(f"{self.root}/{table}")
 
     # -- finding snapshots --------------------------------------------------
 
     def meta(self) -> DataFrame:
         """`scan_meta` of every committed snapshot."""
-        return self._read("meta", S.SCAN_META)
+        return self._partitions("meta", self._heads())
 
     def ids(self) -> list[str]:
-        """Committed snapshots in order, read off the folder names of `meta` without a job."""
-        folders = (re.search(r"/snapshot_id=([^/]+)/", file) for file in self.meta().inputFiles())
-        return sorted({found[1] for found in folders if found})
+        """Committed snapshots in order, read off the names of the heads without a job."""
+        return list(self._heads())
 
     def listing(self) -> DataFrame:
         """(id, path, bytes stored, created) of every committed snapshot, by id, from the scan records alone."""
         return (
-            self._read("meta", S.STORED_META)
+            self._partitions("meta", self._heads(), S.STORED_META)
             .select(
                 F.col("snapshot_id").alias("id"),
                 F.concat(F.lit(f"{self.root}/files/snapshot_id="), "snapshot_id").alias("path"),
@@ -292,27 +358,28 @@ class SnapshotStore:
         """Directory roll-ups of the named snapshots."""
         return self._partitions("usage", self._named(specs))
 
-    def _named(self, specs) -> list[str]:
-        ids = self.ids()
-        return [self._resolve(spec, ids) for spec in specs] if specs else ids
+    def tree(self, *specs: str) -> DataFrame:
+        """Numbered directory trees of the named snapshots, which must have been written with `tree`."""
+        return self._partitions("tree", self._named(specs))
 
-    def _partitions(self, table: str, ids) -> DataFrame:
-        """Only the folders of `ids` are listed, however many snapshots exist; each must be there."""
-        schema = {"files": S.FILES, "usage": S.USAGE}[table]
-        if not ids:
-            return self.spark.createDataFrame([], schema)
-        return self._read(table, schema, [f"/snapshot_id={one}" for one in dict.fromkeys(ids)])
+    def _named(self, specs) -> dict[str, int]:
+        """Generations of the named snapshots, resolved once: what is read does not change under a reader."""
+        heads = self._heads()
+        return {one: heads[one] for one in (self._resolve(spec, list(heads)) for spec in specs)} if specs else heads
 
-    def _read(self, table: str, schema, folders: list[str] | None = None) -> DataFrame:
+    def _partitions(self, table: str, generations: dict[str, int], schema=None) -> DataFrame:
+        """Only the folders of these generations are listed, however many snapshots exist; each must be there."""
+        schema = schema or {"files": S.FILES, "usage": S.USAGE, "tree": S.TREE, "meta": S.SCAN_META}[table]
+        if not generations:
+            return self.spark.createDataFrame([], schema)
         base = f"{self.root}/{table}"
+        folders = [f"{base}/{_folder(*pair)}" for pair in generations.items()]
         try:
-            return self.spark.read.schema(schema).option("basePath", base).parquet(*(base + f for f in folders or [""]))
+            return self.spark.read.schema(schema).option("basePath", base).parquet(*folders).select([f.name for f in schema])
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            if folders:
-                raise LookupError(f"the store is damaged, {table} of a snapshot is missing: {error}") from error
-            return self.spark.createDataFrame([], schema)
+            raise LookupError(f"the store is damaged or holds no {table}: {error}") from error
 
 
 def ids_from_paths(paths: DataFrame, column: str = "path") -> DataFrame:

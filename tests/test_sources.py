@@ -10,7 +10,7 @@ from tallyhouse.operators import listings, reclaim, sqlview, trend
 from tallyhouse.operators.retention import Policy, retention_plan
 from tallyhouse.operators.usage import dir_usage
 from tallyhouse.sources import envelope, manifest
-from tallyhouse.sources.store import SnapshotStore, new_snapshot_id
+from tallyhouse.sources.store import SnapshotStore, new_snapshot_id, scan_meta
 from tallyhouse.streaming import ingest as streaming
 
 LISTING = [
@@ -100,7 +100,7 @@ def test_references_into_the_store(snaps, entries):
             call()
     # Only the folders asked for are read, and the roll-up equals the files.
     pair = snaps.files("@latest", "@latest~1")
-    assert len({f.rsplit("/", 2)[-2] for f in pair.inputFiles()}) == 2
+    assert len({f.rsplit("/", 3)[-3] for f in pair.inputFiles()}) == 2
     assert sorted(map(tuple, snaps.usage().where("files > 0").collect())) == sorted(map(tuple, dir_usage(snaps.files()).select(snaps.usage().columns).collect()))
     assert records(trend.predict(snaps.meta(), 100))[0]["samples"] == 5
 
@@ -198,7 +198,7 @@ def test_the_store_hides_no_rows(spark, snaps, seeded, tmp_path):
     for one, row in listed.items():
         folder = snaps.root.removeprefix("file:") + f"/files/snapshot_id={one}"
         assert row["path"].endswith(f"/files/snapshot_id={one}")
-        assert row["bytes"] == sum(os.path.getsize(f"{folder}/{x}") for x in os.listdir(folder) if x.endswith(".parquet"))
+        assert row["bytes"] == sum(os.path.getsize(f"{at}/{x}") for at, _, names in os.walk(folder) for x in names if x.endswith(".parquet"))
     shutil.move(snaps.root.removeprefix("file:") + "/files/snapshot_id=2026-05-15_10-00", str(tmp_path / "moved"))
     with pytest.raises(LookupError, match="damaged"):
         snaps.files()
@@ -315,3 +315,85 @@ def test_running_counts_on_a_stream(spark, listing, tmp_path):
     query = counts.writeStream.format("memory").queryName("counts").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r["snapshot_id"]: r["entries"] for r in records(spark.table("counts"))} == {"2026-05-14_10-00": 3, "2026-05-15_10-00": 1}
+
+
+def test_a_snapshot_can_be_replaced_by_what_it_holds(snaps, seeded):
+    snaps.write(seeded, "2026-05-15_10-00", directories=True, tree=True)
+    before = snaps.files("@latest")
+    n = before.count()
+    snaps.write(before.where("is_dir OR size > 300"), "2026-05-15_10-00", replace=True)
+    # who had resolved the old snapshot goes on reading it
+    assert before.count() == n and snaps.ids() == ["2026-05-15_10-00"]
+    assert snaps.files("@latest").count() == snaps.meta().first()["entries"] == n - 1
+
+
+def test_a_write_that_fails_changes_nothing(snaps, seeded):
+    snaps.write(seeded, "2026-05-15_10-00")
+    broken = seeded.withColumn("size", F.when(F.col("path") == "/a/big.bin", F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("size")))
+    with pytest.raises(Exception, match="lost"):
+        snaps.write(broken, "2026-05-15_10-00", replace=True)
+    assert snaps.ids() == ["2026-05-15_10-00"] and snaps.files().count() == seeded.count()
+    # the repetition takes a generation of its own
+    snaps.write(seeded.limit(1), "2026-05-15_10-00", replace=True)
+    assert snaps.files().count() == 1 and snaps._heads() == {"2026-05-15_10-00": 3}
+
+
+def test_two_writers_cannot_mix(snaps, entries, monkeypatch):
+    one, two = entries(("/one", 1), ("/one/b", 2)), entries(("/two", 1))
+    inner, put = [], SnapshotStore._put
+
+    def between(self, table, rows, generations):
+        if table == "usage" and not inner:
+            inner.append(1)
+            SnapshotStore(self.spark, self.root).write(two, "2026-05-15_10-00")
+        return put(self, table, rows, generations)
+
+    monkeypatch.setattr(SnapshotStore, "_put", between)
+    with pytest.raises(ValueError, match="immutable"):
+        snaps.write(one, "2026-05-15_10-00")
+    assert [r["path"] for r in records(snaps.files())] == ["/two"] and records(snaps.usage())[0]["files"] == 1
+    # with replace the one that claimed later stays, whoever ends last
+    inner.clear()
+    monkeypatch.setattr(SnapshotStore, "_put", lambda self, t, r, g: between(self, t, r, g) if t != "usage" or inner else (inner.append(1), SnapshotStore(self.spark, self.root).write(two, "2026-05-15_10-00", replace=True), put(self, t, r, g)))
+    snaps.write(one, "2026-05-15_10-00", replace=True)
+    assert [r["path"] for r in records(snaps.files())] == ["/two"]
+
+
+def test_expired_generations_go(snaps, seeded):
+    for n in (6, 3, 2):
+        snaps.write(seeded.limit(n), "2026-05-15_10-00", replace=True)
+    assert snaps.expire() == []
+    gone = snaps.expire(older_than=-60)
+    assert {f.rsplit("=", 1)[-1] for f in gone} == {"1", "2"} and len(gone) == 6
+    assert snaps.files().count() == 2 and snaps.expire(older_than=-60) == []
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "WITH q AS (SELECT 1 AS a) INSERT INTO tgt SELECT a FROM q",
+        "FROM files INSERT INTO tgt SELECT 1",
+        "FROM files INSERT INTO tgt SELECT 1 INSERT INTO tgt SELECT 2",
+        "-- harmless\nDROP TABLE tgt",
+        "/* a /* b */ c */ CREATE TABLE t2 AS SELECT 1",
+        "WITH q AS (SELECT 1) DELETE FROM tgt",
+        "SET spark.sql.ansi.enabled = false",
+    ],
+)
+def test_only_queries_run(spark, seeded, sql, tmp_path):
+    spark.sql(f"CREATE TABLE IF NOT EXISTS tgt (a INT) USING parquet LOCATION '{tmp_path}/tgt'")
+    try:
+        with pytest.raises(ValueError, match="only queries"):
+            sqlview.sql_query(spark, sql, seeded, scan_meta(seeded))
+        assert spark.table("tgt").count() == 0
+    finally:
+        spark.sql("DROP TABLE IF EXISTS tgt")
+
+
+def test_queries_may_begin_with_comments(spark, seeded):
+    ids = ["2026-05-15_11-00"]
+    for sql in ("-- all of them\nSELECT count(*) AS n FROM files -- end", "/* x /* y */ */ WITH q AS (SELECT * FROM files) SELECT count(*) AS n FROM q;", "(SELECT count(*) AS n FROM files)"):
+        assert sqlview.sql_query(spark, sql, seeded, scan_meta(seeded), snapshot_ids=ids).first()["n"] == 6
+    assert sqlview.sql_query(spark, "SELECT count(*) AS n FROM scan_meta", seeded, scan_meta(seeded), snapshot_ids=["other"]).first()["n"] == 0
+    with pytest.raises(Exception, match="PARSE_SYNTAX_ERROR"):
+        sqlview.sql_query(spark, "SELECT count(, FROM files", seeded, scan_meta(seeded))
