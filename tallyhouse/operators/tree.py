@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.paths import base_name, explode_ancestors, parent_dir
 from tallyhouse.operators.sweep import path_sweep
+from tallyhouse.session import written
 
 _SUMS = ("files", "bytes", "physical_bytes")
 
@@ -27,7 +28,8 @@ def directory_tree(usage: DataFrame, files: DataFrame) -> DataFrame:
     )
     # depths are carried as a measure of their own that starts at 1
     rows = rows.withColumn("level", F.coalesce(F.col("depth") + 1, F.lit(0)))
-    swept = path_sweep(rows, ["dirs", "level", *_SUMS])
+    # counted, sampled and sorted by the sweep: summed once
+    swept = path_sweep(written(rows, "directories"), ["dirs", "level", *_SUMS])
     return swept.select(
         "snapshot_id",
         "path",

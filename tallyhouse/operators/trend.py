@@ -4,9 +4,6 @@ A directory's series has one sample per snapshot, so it is at most as long as
 the list of snapshots; sums per (snapshot, directory) come first.
 """
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,31 +67,32 @@ def latest_only(trends: DataFrame) -> DataFrame:
 
 
 def _wide_trends(usage: DataFrame, snapshots, limit: int) -> DataFrame:
-    """The `limit` steepest directories with their samples, from a column of bytes for each of `snapshots`."""
-    places = range(len(snapshots))
-    own = [F.sum(F.when(F.col("snapshot_id") == one, F.col("bytes"))).alias(f"_y{i}") for i, (one, _) in enumerate(snapshots)]
-    kept = usage.where(F.col("snapshot_id").isin([one for one, _ in snapshots]))
-    wide = kept.groupBy(F.col("dir").alias("path")).agg(*own).where(F.col(f"_y{places[-1]}").isNotNull())
-    days = [F.lit((ts - snapshots[-1][1]) / float(S.SECONDS_PER_DAY)) for _, ts in snapshots]
+    """The `limit` steepest directories with their samples, from a column of bytes for each of `snapshots`.
+
+    Written as SQL expressions, since their number grows with the snapshots and each
+    function called on a column costs the driver a round trip.
+    """
+    places, newest = range(len(snapshots)), len(snapshots) - 1
+    days = [(ts - snapshots[-1][1]) / S.SECONDS_PER_DAY for _, ts in snapshots]
+    ids = [one.replace("\\", "\\\\").replace("'", "\\'") for one, _ in snapshots]
+    own = [F.expr(f"sum(CASE WHEN snapshot_id = '{one}' THEN bytes END) AS _y{i}") for i, one in enumerate(ids)]
+    kept = usage.where("snapshot_id IN ({})".format(", ".join(f"'{one}'" for one in ids)))
+    wide = kept.groupBy(F.col("dir").alias("path")).agg(*own).where(f"_y{newest} IS NOT NULL")
 
     def total(value):
-        return reduce(add, (F.when(F.col(f"_y{i}").isNotNull(), value(i)).otherwise(F.lit(0)) for i in places))
-
-    wide = wide.withColumn("_n", total(lambda i: F.lit(1)).cast("long")).where(F.col("_n") >= 3)
-    wide = wide.withColumns({"_mean_x": total(lambda i: days[i]) / F.col("_n"), "_mean_y": total(lambda i: F.col(f"_y{i}").cast("double")) / F.col("_n")})
-    x, y = (lambda i: days[i] - F.col("_mean_x")), (lambda i: F.col(f"_y{i}") - F.col("_mean_y"))
-    wide = wide.withColumns({"_sxx": total(lambda i: x(i) * x(i)), "_sxy": total(lambda i: x(i) * y(i)), "_syy": total(lambda i: y(i) * y(i))})
-    samples = F.array(*(F.when(F.col(f"_y{i}").isNotNull(), F.struct(F.lit(ts).alias("ts"), F.col(f"_y{i}").alias("bytes"))) for i, (_, ts) in enumerate(snapshots)))
-    top = wide.withColumn("per_day", fit.slope()).withColumn("slope_bytes_per_day", F.col("per_day").cast("long"))
-    top = top.orderBy(F.desc("slope_bytes_per_day"), "path").limit(limit)
-    return top.select(
-        "path",
-        "per_day",
-        "slope_bytes_per_day",
-        fit.r2().alias("r2"),
-        F.col(f"_y{places[-1]}").alias("latest_bytes"),
-        F.col("_n").alias("n_snapshots"),
-        F.array_compact(samples).alias("samples"),
+        return " + ".join(f"CASE WHEN _y{i} IS NOT NULL THEN {value(i)} ELSE 0 END" for i in places)
+
+    x, y = (lambda i: f"({days[i]!r}D - _mean_x)"), (lambda i: f"(CAST(_y{i} AS DOUBLE) - _mean_y)")
+    wide = wide.selectExpr("*", f"CAST({total(lambda i: 1)} AS BIGINT) AS _n").where("_n >= 3")
+    wide = wide.selectExpr("*", f"({total(lambda i: f'{days[i]!r}D')}) / _n AS _mean_x", f"({total(lambda i: f'CAST(_y{i} AS DOUBLE)')}) / _n AS _mean_y")
+    spreads = [f"{total(lambda i: f'{a(i)} * {b(i)}')} AS {name}" for name, a, b in (("_sxx", x, x), ("_sxy", x, y), ("_syy", y, y))]
+    wide = wide.selectExpr("*", *spreads).withColumn("per_day", fit.slope())
+    samples = ", ".join(f"CASE WHEN _y{i} IS NOT NULL THEN named_struct('ts', {ts}L, 'bytes', _y{i}) END" for i, (_, ts) in enumerate(snapshots))
+    return (
+        wide.withColumn("slope_bytes_per_day", F.col("per_day").cast("long"))
+        .orderBy(F.desc("slope_bytes_per_day"), "path")
+        .limit(limit)
+        .select("path", "per_day", "slope_bytes_per_day", fit.r2().alias("r2"), F.expr(f"_y{newest} AS latest_bytes"), F.expr("_n AS n_snapshots"), F.expr(f"array_compact(array({samples})) AS samples"))
     )
 
 
