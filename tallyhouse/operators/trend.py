@@ -45,7 +45,7 @@ def _moments(snapshots) -> list[Column]:
     return [*fit.moments(F.col("bytes"), days), latest]
 
 
-def _samples() -> Column:
+def ordered_samples() -> Column:
     """The samples of a directory in order, as an aggregate."""
     gathered = F.sort_array(F.collect_list(F.struct("ts", "snapshot_id", "bytes")))
     return F.transform(gathered, lambda s: F.struct(s["ts"].alias("ts"), s["bytes"].alias("bytes"))).alias("samples")
@@ -58,7 +58,7 @@ def directory_trends(series: DataFrame, snapshots) -> DataFrame:
     samples of their own.  A sample list is at most as long as `snapshots`.
     """
     snapshots = in_order(snapshots)
-    return _by_directory(series, snapshots).agg(*_moments(snapshots), _samples())
+    return _by_directory(series, snapshots).agg(*_moments(snapshots), ordered_samples())
 
 
 def latest_only(trends: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def growth_over_n(usage: DataFrame, snapshots, limit: int = 50, fill_target: int
         raise ValueError(f"a trend needs at least 3 snapshots, got {len(snapshots)}")
     snapshots = in_order(snapshots)
     if len(snapshots) <= WIDE_SNAPSHOTS:
-        return _dated(_wide_trends(usage, snapshots, limit), snapshots, fill_target)
+        return dated_rows(_wide_trends(usage, snapshots, limit), snapshots, fill_target)
     series = dir_series(usage)
     per_day = fit.slope()
     top = (
@@ -132,10 +132,10 @@ def growth_over_n(usage: DataFrame, snapshots, limit: int = 50, fill_target: int
     )
     # at most `limit` rows
     chosen = series.join(F.broadcast(top.select(F.col("path").alias("dir"))), "dir", "left_semi")
-    return _dated(top.join(F.broadcast(_by_directory(chosen, snapshots).agg(_samples())), "path"), snapshots, fill_target)
+    return dated_rows(top.join(F.broadcast(_by_directory(chosen, snapshots).agg(ordered_samples())), "path"), snapshots, fill_target)
 
 
-def _dated(top: DataFrame, snapshots, fill_target: int | None) -> DataFrame:
+def dated_rows(top: DataFrame, snapshots, fill_target: int | None) -> DataFrame:
     """The listed directories in order, with the date at which they reach `fill_target`."""
     fill = fill_second(F.lit(snapshots[-1][1]), F.lit(fill_target).cast("long"), F.col("per_day"))
     return (

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.scalars import BUCKETS
 from tallyhouse.operators import compare, retention, shape, trend
-from tallyhouse.operators.usage import dir_usage, usage_rows
+from tallyhouse.operators.usage import usage_rows
 from tallyhouse.plans import inventory as I
 from tallyhouse.plans.ingest import PARENT
 from tallyhouse.plans.registry import entries, query, store
 from tallyhouse.plans.single import PHYSICAL, files_sql
 from tallyhouse.sources import envelope
 from tallyhouse.sources.store import scan_meta
+from tallyhouse.sources.trends import TrendTable
 
 A, B = I.PREVIOUS, I.LATEST
 NEWEST = I.TIMES[-1][1]
@@ -168,6 +169,16 @@ def growth_over_n_stored(spark, sf_dir):
     return _growth_n_row(trend.growth_over_n(rolled_up, last, fill_target=_FILL))
 
 
+@query("growth_over_n_moments", files_sql(_GROWTH_N, _SERIES, _TREND))
+def growth_over_n_moments(spark, sf_dir):
+    """From moments that were added to snapshot by snapshot, one of them taken back in between."""
+    table = TrendTable(store(spark, sf_dir))
+    if set(table.ids()) != set(I.IDS):
+        for some in (I.IDS[:3], I.IDS[1:4], I.IDS):
+            table.refresh(some)
+    return _growth_n_row(table.growth_over_n(fill_target=_FILL))
+
+
 _FREE = 10_000_000_000
 
 
