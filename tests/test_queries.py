@@ -64,7 +64,15 @@ def test_comparisons_have_no_join_and_one_shuffle(snaps):
         assert "SortAggregate" not in text and "Sort [" not in text
 
 
-def test_trends_gather_samples_of_the_listed_directories_only(snaps):
+def test_trends_have_one_scan_and_one_shuffle(snaps):
+    for usage in (snaps.usage(), usage_rows(snaps.files())):
+        text = plan(trend.growth_over_n(usage, I.TIMES))
+        assert "SortAggregate" not in text and "ObjectHashAggregate" not in text and "Join" not in text
+        assert text.count("FileScan") == text.count("Exchange") == 1 and "TakeOrderedAndProject" in text
+
+
+def test_long_trends_gather_samples_of_the_listed_directories_only(snaps, monkeypatch):
+    monkeypatch.setattr(trend, "WIDE_SNAPSHOTS", 3)
     text = plan(trend.growth_over_n(snaps.usage(), I.TIMES))
     assert "SortAggregate" not in text and "SortMergeJoin" not in text
     # the only lists are built above the join with the listed directories
