@@ -34,11 +34,16 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup, and is never main text.
 RAW = frozenset("script style textarea title iframe noscript noframes template xmp svg math object select button".split())
+#: Of these, the ones that a slash at the end of their tag closes; the others go on to their end tag.
+SELF_CLOSING = frozenset("svg math object select button".split())
 BREAKS = frozenset("br hr".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 #: An opening tag that ends an open paragraph.
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+#: A paragraph beyond one of these stays open.
+HOLDS_P = frozenset("table td th object button".split())
 #: An opening tag ends these open elements, unless one of the others is between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -65,8 +70,10 @@ NAMES = {
 }
 _GROUP = {w: g for g, words in NAMES.items() for w in words.split()}
 
+# A quote opens a value after "=" only.  Attributes are possessive: nothing in them is tried twice.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
+    re.S,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -108,8 +115,10 @@ def parse(html: str) -> Page:
     page = Page()
     # (node, tag, groups) of the open elements
     stack = [(0, "", [])]
+    # places in the stack by tag, so that no tag searches the stack
+    places = {}
     text, linked, in_link = [], 0, False
-    at, end, low = 0, len(html), None
+    at, end = 0, len(html)
 
     def flush() -> None:
         nonlocal text, linked
@@ -132,9 +141,14 @@ def parse(html: str) -> Page:
     def close(depth: int) -> None:
         nonlocal in_link
         flush()
-        del stack[depth:]
+        while len(stack) > depth:
+            places[stack.pop()[1]].pop()
         in_link = False
 
+    def nearest(tags) -> int:
+        """Place of the innermost open element with one of the tags, 0 if none is open."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     while at < end:
         token = _TOKEN.search(html, at)
         piece = html[at : token.start() if token else end]
@@ -154,19 +168,13 @@ def parse(html: str) -> Page:
         if closing:
             if tag == "a":
                 in_link = False
-            if tag not in INLINE:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][1] == tag:
-                        close(depth)
-                        break
+            if tag not in INLINE and places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in RAW:
-            if not attributes.endswith("/"):
-                if low is None:
-                    # only ASCII is lower-cased, so that places stay the same
-                    low = html.translate(_LOWER)
-                stop = low.find(f"</{tag}", at)
-                at = end if stop < 0 else stop
+            if tag not in SELF_CLOSING or not attributes.endswith("/"):
+                stop = _RAW_END[tag].search(html, at)
+                at = stop.start() if stop else end
             continue
         if tag in INLINE:
             if tag == "a":
@@ -180,21 +188,16 @@ def parse(html: str) -> Page:
         if tag in VOID:
             continue
         if tag in ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][1] == "p":
-                    close(depth)
-                    break
-                if stack[depth][1] in ("table", "td", "th", "object", "button"):
-                    break
+            depth = nearest(("p",))
+            if depth > nearest(HOLDS_P):
+                close(depth)
         if tag in ENDS:
             closes, stops = ENDS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][1] in stops:
+            held = nearest(stops)
+            while (depth := nearest(closes)) > held:
+                close(depth)
+                if tag != "tr":
                     break
-                if stack[depth][1] in closes:
-                    close(depth)
-                    if tag != "tr":
-                        break
         flush()
         parent = stack[-1][0]
         groups = _groups(attributes) if attributes else []
@@ -206,14 +209,12 @@ def parse(html: str) -> Page:
         label = page.label[parent]
         if 'data-y="' in attributes:
             label = attributes[attributes.index('data-y="') + 8] == "1"
+        places.setdefault(tag, []).append(len(stack))
         stack.append((page.add(parent, tag, features, label), tag, groups))
     flush()
     return page
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 class Forest:
     """The nodes of several pages in arrays, level by level."""
 
@@ -345,7 +346,8 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html", model: Model
     The whole of each page is parsed; references are decoded, white space inside a block
     becomes one space, blocks are joined in page order by one space.  A null or empty
     page, and one without main text, has an empty text.  Broken markup never fails: an
-    unclosed comment, raw element or tag reaches to the end.  Rows that repeat are
+    unclosed comment, raw element or tag reaches to the end.  A page is read in time in
+    proportion to its length, however deep or unclosed its elements are.  Rows that repeat are
     answered one by one; an empty table stays empty.
     """
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())

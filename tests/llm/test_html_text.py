@@ -30,6 +30,35 @@ def test_parsing_follows_the_rules_of_html():
     assert runs("<a/>x<br/>y<img/>z") == ["x", "yz"]
 
 
+def test_quotes_count_after_equals_signs_only():
+    assert runs("<p title=it's>A</p><p>it isn't B</p>") == ["A", "it isn't B"]
+    assert runs("<p a'b c\">A</p><p>\"B'</p>") == ["A", "\"B'"]
+    assert runs("<p title = 'a>b' x=\"c>d\">A</p>") == ["A"]
+    assert runs("<p title='a>A</p><p>B</p>") == ["A", "B"]  # never closed, so the tag ends at the first >
+
+
+def test_raw_elements_are_not_closed_by_a_slash():
+    for tag in ("<script src=/a.js/>", "<script />", "<style/>", "<TextArea />", "<title/>"):
+        name = re.match(r"<(\w+)", tag)[1]
+        assert runs(f"<p>a</p>{tag}code </{name}x>more</{name.upper()} ><p>b</p>") == ["a", "b"]
+    assert runs("<p>a<svg/>b<button/>c</p>") == ["abc"]
+
+
+def test_time_is_in_proportion_to_the_page():
+    import time
+
+    def seconds(n):
+        pages = ["<div>" * n + "</p>" * n, "<p><td>" + "<div>" * n, "<li><ul>" + "<b><div><span>" * n + "<li>" * n]
+        pages += ["<a x=\"1\" y='" + "=\"z\" " * n, "<table>" + "<tr><td>" * n, "<p>" + "<dd><dt>" * n]
+        start = time.perf_counter()
+        for page in pages:
+            H.parse(page)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 30 * seconds(4_000) and seconds(40_000) < 20
+
+
 def test_messages_give_exact_marginals(model):
     page = H.parse('<body><nav><a href=x>l</a></nav><div class="post"><p>One two.</p><p>Three</p></div></body>')
     forest = H.Forest([page], model.features, model.kinds)
