@@ -3,8 +3,8 @@
 A mask takes some words of a short window and ignores the others.  Windows of items and
 documents that agree under one of the fixed masks have the same seed; seeds are joined,
 and around each hit the words of the item are laid on the document's, without gaps, to
-find the stretch with the best score of equal over unequal words.  Everything is
-DataFrame functions.
+find the stretch with the best score of equal over unequal words.  Items shorter than a
+window are looked for as a whole.  Everything is DataFrame functions.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -51,8 +51,46 @@ def _windows(frame: DataFrame, text: str, keys: list[str], place: str) -> DataFr
     return made.select(*keys, (F.col("_at") % F.col("_n")).alias(place), "seed")
 
 
-def _small(frame: DataFrame, width: int) -> DataFrame:
-    return F.broadcast(frame) if frame.count() * width <= BROADCAST_BYTES else frame
+def _small(frame: DataFrame, width: Column) -> DataFrame:
+    """`frame`, broadcast if the bytes of its rows, `width` each, are few."""
+    size = frame.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
+
+
+def _whole(known: DataFrame, marked: DataFrame) -> DataFrame | None:
+    """(id, text_hash, item, best) of the items shorter than a window, where all their words stand together.
+
+    None without such items, so that only they cost a pass.  The windows of each of
+    their lengths, at most SPAN - 1, are joined by the words themselves.
+    """
+    short = known.select("item", words(F.col("item_text")).alias("window"))
+    short = short.where(F.size("window").between(1, SPAN - 1)).distinct()
+    lengths = sorted(r[0] for r in short.select(F.size("window")).distinct().collect())
+    if not lengths:
+        return None
+
+    def windows(h: Column) -> Column:
+        def of(length: int) -> Column:
+            places = F.sequence(F.lit(0), F.size(h) - length)
+            made = F.transform(places, lambda i: F.struct(i.alias("at"), F.slice(h, i + 1, length).alias("window")))
+            return F.when(F.size(h) >= length, made).otherwise(F.array().cast("array<struct<at:int,window:array<bigint>>>"))
+
+        return F.concat(*map(of, lengths))
+
+    wide = F.octet_length(F.coalesce(F.col("item").cast("string"), F.lit(""))) + F.size("window") * 8 + 40
+    made = marked.select("id", "text_hash", F.transform(F.array(words(F.col("doc_text"))), windows)[0].alias("made"))
+    hits = made.select("id", "text_hash", F.inline("made")).join(_small(short, wide), "window")
+    n = F.size("window").cast("long")
+    place = F.struct(
+        F.lit(1.0).alias("share"),
+        n.cast("int").alias("score"),
+        (-F.col("at")).alias("early"),
+        F.col("at").cast("long").alias("doc_start"),
+        F.lit(0).cast("long").alias("item_start"),
+        n.alias("n_span"),
+        n.alias("n_equal"),
+    )
+    return hits.select("id", "text_hash", "item", place.alias("best"))
 
 
 def _stretch(ours: Column, theirs: Column) -> Column:
@@ -88,9 +126,10 @@ def overlaps(docs: DataFrame, items: DataFrame, by: str, item: str, text: str =
 
     One row for each document and item that overlap, with the best stretch, in words
     from 0.  A stretch counts if at least half of the item's words, or 13 words, are
-    equal in it, and at least 7, at most one word in three being another.  Items and
-    documents of fewer words than a window (8) have no seeds and are never found; a
-    null text has no words.  Items with the same id are looked for one by one and the
+    equal in it, and at least 7, at most one word in three being another.  Items of
+    fewer words than a window (8) count where all their words stand together, in texts
+    of any length; of the longer ones nothing is found in a text of fewer than 8 words.
+    A null text has no words, and an item without words is never found.  Items with the same id are looked for one by one and the
     best counts.  Rows equal in `by` and text are answered once; a null `by` is a value
     like others.  Empty tables give an empty result.
     """
@@ -99,12 +138,12 @@ def overlaps(docs: DataFrame, items: DataFrame, by: str, item: str, text: str =
     marked = docs.select(F.col(by).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("doc_text")).where("doc_text IS NOT NULL")
 
     wanted = _windows(known, "item_text", ["item", "item_hash"], "item_at").distinct()
-    hits = _windows(marked, "doc_text", ["id", "text_hash"], "doc_at").join(_small(wanted, 40), "seed")
+    hits = _windows(marked, "doc_text", ["id", "text_hash"], "doc_at").join(_small(wanted, F.lit(40)), "seed")
     diagonals = hits.groupBy("id", "text_hash", "item", "item_hash", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
         F.count(F.lit(1)).alias("hits")
     )
     laid = known.select(F.col("item").alias("_item"), F.col("item_hash").alias("_hash"), words(F.col("item_text")).alias("item_words"))
-    diagonals = diagonals.join(_small(laid, 1000), F.col("item").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_hash")))
+    diagonals = diagonals.join(_small(laid, F.size("item_words") * 8 + 40), F.col("item").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_hash")))
     # the candidates' words are fetched from their documents; few documents have any
     per_doc = diagonals.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash")).agg(
         F.collect_list(F.struct("item", "shift", "item_words")).alias("places")
@@ -127,13 +166,16 @@ def overlaps(docs: DataFrame, items: DataFrame, by: str, item: str, text: str =
         F.struct(
             (F.col("s.equal") / F.col("n_item")).alias("share"),
             F.col("s.score").alias("score"),
-            -F.greatest("shift", F.lit(0)).alias("early"),
+            (-F.greatest("shift", F.lit(0))).alias("early"),
             (F.col("s.lo") + F.greatest("shift", F.lit(0))).cast("long").alias("doc_start"),
             (F.col("s.lo") + F.col("skipped")).cast("long").alias("item_start"),
             (F.col("s.hi") - F.col("s.lo")).cast("long").alias("n_span"),
             F.col("s.equal").cast("long").alias("n_equal"),
         ).alias("best"),
     )
+    whole = _whole(known, marked)
+    if whole is not None:
+        rows = rows.unionByName(whole)
     rows = rows.groupBy("id", "text_hash", "item").agg(F.max("best").alias("best"))
     return rows.select(
         F.col("id").alias(by), "text_hash", F.col("item").alias(item), *(f"best.{c}" for c in ("doc_start", "item_start", "n_span", "n_equal", "share"))

@@ -84,6 +84,36 @@ def test_places_are_those_of_the_equal_words(spark):
     assert [(r["doc_start"], r["item_start"], r["n_span"], r["n_equal"]) for r in rows] == [(2, 0, 12, 10)]
 
 
+def test_short_items_are_found_as_a_whole(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(6)]
+    items = [(n, " ".join(rng.choices(words, k=n % 7 + 1))) for n in range(30)] + [(40, "! ?"), (41, None), (3, "W1, w2"), (None, "w5 w5")]
+    docs = [(n, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for n in range(60)] + [(70, None), (71, "w1 w2"), (71, "w1 w2"), (72, "w0")]
+    a = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, window int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    wanted = {}
+    for d, t in docs:
+        for i, x in items:
+            ours, theirs = tokens(t), tokens(x)
+            places = [k for k in range(len(ours) - len(theirs) + 1) if theirs and ours[k : k + len(theirs)] == theirs]
+            if places:
+                wanted[d, i] = max(wanted.get((d, i), (0, 0)), (len(theirs), -places[0]))
+    for limit in (D.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(D, "BROADCAST_BYTES", limit)
+        rows = D.overlaps(a, b, "doc_id", "item_id").collect()
+        assert {(r["doc_id"], r["item_id"]): (r["n_equal"], -r["doc_start"]) for r in rows} == wanted and len(rows) == len(wanted)
+        assert all(r["share"] == 1 and r["item_start"] == 0 and r["n_span"] == r["n_equal"] for r in rows)
+
+
+def test_short_and_long_items_together(spark):
+    docs, items = passages(4)
+    short = [(90, " ".join(tokens(docs[3][1])[4:11])), (91, " ".join(tokens(items[0][1])[:3]))]
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    got = found(D.overlaps(a, spark.createDataFrame(items + short, "item_id long, text string"), "doc_id", "item_id"))
+    whole = {(d, i): 1.0 for d, t in docs for i, x in short if f" {' '.join(tokens(x))} " in f" {' '.join(tokens(t))} "}
+    assert (3, 90) in whole and got == {**brute(docs, items), **whole}
+
+
 def test_clean_keeps_the_rest_as_it_is(spark):
     docs, items = passages(3)
     docs += [(None, items[0][1]), (None, "nothing"), (1, docs[0][1]), (1, docs[0][1])]
