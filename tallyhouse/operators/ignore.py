@@ -1,11 +1,13 @@
 """Lists of names to leave out of an inventory."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
 from tallyhouse.functions.paths import contains_any
 
+#: Characters of a pattern that its index looks at.
+GRAM = 4
 _BLANK = r"[\s\x{0B}\x{85}\p{Z}]"
 
 
@@ -44,8 +46,49 @@ def ignore_filter(files: DataFrame, patterns=(), defaults: bool = True, subtrees
     With `subtrees` an ignored directory takes all below it along: a pattern
     without a slash that is in the path below `root` is in the name of the entry
     or of a directory above.  The patterns are a short list on the driver, so the
-    test is one column and needs no join.
+    test is one column and needs no join; `ignore_by_table` takes a table of them.
     """
     unwanted = [*(S.DEFAULT_IGNORES if defaults else ()), *patterns]
     tested = F.substr("path", F.lit(len(root.rstrip("/")) + 1)) if subtrees else F.col("name")
     return files.where(~contains_any(tested, unwanted)) if unwanted else files
+
+
+def ignore_by_table(files: DataFrame, patterns: DataFrame, subtrees: bool = False, root: str = "") -> DataFrame:
+    """Entries whose name holds none of the texts in `pattern` of `patterns`, a table of any size.
+
+    A name holds a pattern only if it holds each gram, a run of GRAM characters,
+    of it.  Each pattern is filed under the one of its grams that the fewest
+    patterns have, a shorter pattern under itself; the grams of the distinct
+    names meet them in an equi-join, which tests the whole pattern as well, and
+    the names found are taken out by an anti join.  NULL and empty patterns
+    exclude nothing, an entry without a name stays.  `subtrees` and `root` are
+    those of `ignore_filter`.
+    """
+    tested = F.substr("path", F.lit(len(root.rstrip("/")) + 1)) if subtrees else F.col("name")
+    index = pattern_index(patterns)
+    # at most GRAM numbers
+    lengths = sorted(r[0] for r in index.select(F.length("gram")).distinct().collect())
+    if not lengths:
+        return files
+    names = files.select(tested.alias("_tested")).distinct()
+    held = names.select("_tested", F.explode(F.array_distinct(F.concat(*(grams("_tested", n) for n in lengths)))).alias("_gram"))
+    holds = (F.col("_gram") == F.col("gram")) & F.contains("_tested", "pattern")
+    unwanted = held.join(index, holds, "left_semi").select("_tested").distinct()
+    return files.join(unwanted, tested == F.col("_tested"), "left_anti")
+
+
+def pattern_index(patterns: DataFrame) -> DataFrame:
+    """(gram, pattern): each distinct pattern under its gram that is rarest among them, ties by the text of the gram."""
+    distinct = patterns.select("pattern").where("pattern <> ''").distinct()
+    long = distinct.where(F.length("pattern") > GRAM)
+    spread = long.select("pattern", F.explode(F.array_distinct(grams("pattern", GRAM))).alias("gram"))
+    common = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = spread.join(common, "gram").groupBy("pattern").agg(F.min(F.struct("n", "gram")).alias("best")).select("best.gram", "pattern")
+    return rarest.unionByName(distinct.where(F.length("pattern") <= GRAM).select(F.col("pattern").alias("gram"), "pattern"))
+
+
+def grams(text: str, length: int) -> Column:
+    """All runs of `length` characters of a text, repeats included."""
+    last = F.length(text) - length + 1
+    runs = F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(F.col(text), at, F.lit(length)))
+    return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))

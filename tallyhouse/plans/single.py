@@ -155,6 +155,28 @@ def ignore_filter(spark, sf_dir):
     )
 
 
+@query(
+    "ignore_table",
+    I.inventory_sql(
+        """SELECT snapshot_id, is_dir, depth, count(*) AS entries, CAST(sum(length(path)) AS BIGINT) AS path_chars
+          FROM inv WHERE name NOT IN (SELECT name FROM unwanted) GROUP BY snapshot_id, is_dir, depth""",
+        """patterns AS (SELECT CASE c_custkey % 3 WHEN 0 THEN '_' || c_custkey || '.' WHEN 1 THEN 'f' || c_custkey || '_'
+          ELSE '_7_' || c_custkey END AS pattern FROM customer)""",
+        """unwanted AS (SELECT DISTINCT name FROM (SELECT DISTINCT name FROM inv) AS n JOIN patterns ON contains(name, pattern))""",
+    ),
+)
+def ignore_table(spark, sf_dir):
+    """Texts made of all customers' keys, taken as a table of patterns."""
+    key = F.col("c_custkey").cast("string")
+    made = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("_"), key, F.lit(".")))
+    made = made.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("f"), key, F.lit("_"))).otherwise(F.concat(F.lit("_7_"), key))
+    patterns = I.table(spark, sf_dir, "customer").select(made.alias("pattern"))
+    kept = ignore.ignore_by_table(entries(spark, sf_dir), patterns)
+    return kept.groupBy("snapshot_id", "is_dir", "depth").agg(
+        F.count("*").alias("entries"), F.sum(F.length("path")).alias("path_chars")
+    )
+
+
 _PROTECTED = "(" + " OR ".join(f"contains(path, '{p}')" for p in S.PROTECTED_SUBSTRINGS) + ")"
 
 

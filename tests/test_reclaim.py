@@ -2,6 +2,7 @@ import random
 
 import pytest
 from conftest import records
+from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
 from tallyhouse.operators import ignore, reclaim
@@ -138,3 +139,30 @@ def test_after_cleanup_with_one_hot_directory(spark, entries, monkeypatch):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_a_table_of_patterns_equals_the_test_of_each(spark, entries):
+    rng = random.Random(11)
+    word = lambda low, high: "".join(rng.choices("abé.", k=rng.randint(low, high)))
+    files = entries(*((f"/r/{word(1, 9)}/{n}{word(0, 12)}", 1) for n in range(300)), root="/r")
+    given = [word(1, 9) for _ in range(6)] + [word(6, 9) for _ in range(60)] + [".ab", "9", "", None, "no such name at all"]
+    patterns = spark.createDataFrame([(p, 1) for p in given + given[:4]], "pattern string, name int")
+    for subtrees in (False, True):
+        kept = ignore.ignore_by_table(files, patterns, subtrees=subtrees, root="/r")
+        tested = {r["path"]: r["path"][2:] if subtrees else r["name"] for r in files.collect()}
+        wanted = {path for path, text in tested.items() if not any(p in text for p in given if p)}
+        got = [r["path"] for r in kept.collect()]
+        assert kept.columns == files.columns and set(got) == wanted and len(got) == len(wanted) and (subtrees or 0 < len(got) < 300)
+    assert ignore.ignore_by_table(files, patterns.where("pattern = ''")).count() == 300
+    unnamed = files.withColumn("name", F.lit(None).cast("string"))
+    assert ignore.ignore_by_table(unnamed, patterns).count() == 300
+
+
+def test_a_hundred_thousand_patterns_without_a_loop(spark, entries):
+    files = entries(*((f"/d/file-{n * 37:07d}.log", 1) for n in range(5000)))
+    patterns = spark.range(100_000).select(F.format_string("file-%07d", F.col("id") * 3).alias("pattern"))
+    kept = ignore.ignore_by_table(files, patterns)
+    plan = kept._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    named = [int(r["name"][5:12]) for r in kept.collect()]
+    assert sorted(named) == [n * 37 for n in range(5000) if (n * 37) % 3 or n * 37 >= 300_000]
