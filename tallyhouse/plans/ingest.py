@@ -10,6 +10,7 @@ from tallyhouse.plans.registry import entries, landing_folder, query, store
 from tallyhouse.session import working_folder
 from tallyhouse.sources import envelope, manifest
 from tallyhouse.sources import store as snapshots
+from tallyhouse.sources.store import SnapshotStore
 from tallyhouse.streaming import ingest as streaming
 
 L = f"snapshot_id = '{I.LATEST}'"
@@ -332,3 +333,58 @@ def stream_ingest(spark, sf_dir):
     arriving = streaming.stream_manifest(spark, folder, root=I.ROOT, files_per_trigger=2)
     streaming.stream_ingest(arriving, landing, checkpoint).awaitTermination()
     return streaming.running_counts(streaming.landed(spark, landing))
+
+
+_LANDED = I.inventory_sql(
+    """SELECT snapshot_id, count(*) AS entries,
+      CAST(sum(CASE WHEN size > 0 THEN size ELSE 0 END) AS BIGINT) AS bytes FROM inv_files GROUP BY snapshot_id""",
+    files_only=True,
+)
+
+
+def _sent_in_parts(spark, sf_dir):
+    """(folder, a function that sends the rest): an export of which a part comes first, and a part of that again later."""
+    rows = I.listing_export(spark, sf_dir)
+    first = F.pmod(F.xxhash64("path"), F.lit(3))
+    folder = landing_folder(spark, rows.where(first == 0), "parquet")
+    again = rows.where(first > 0).unionByName(rows.where((first == 0) & (F.col("mtime") % 2 == 0)))
+    return folder, lambda: again.write.mode("append").parquet(folder)
+
+
+@query("stream_counts", _LANDED)
+def stream_counts(spark, sf_dir):
+    """Counts from the stream's own output, over several batches and a restart, entries sent again left out."""
+    folder, send = _sent_in_parts(spark, sf_dir)
+    counts, checkpoint = working_folder(spark, "counts"), working_folder(spark, "progress")
+
+    def run():
+        arriving = streaming.stream_manifest(spark, folder, root=I.ROOT, files_per_trigger=8)
+        streaming.stream_counts(arriving, counts, checkpoint).awaitTermination()
+
+    run()
+    send()
+    run()
+    return streaming.latest_counts(spark, counts)
+
+
+@query("stream_commit", _LANDED)
+def stream_commit(spark, sf_dir):
+    """Snapshots that a stream commits when their end marks have come and all entries are in."""
+    folder, send = _sent_in_parts(spark, sf_dir)
+    names = ("marks", "landing", "progress", "stream-store")
+    marks, landing, checkpoint, root = (working_folder(spark, n) for n in names)
+    none = F.lit(None).cast("long")
+    ends = I.listing_export(spark, sf_dir).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("entries"))
+    ends.withColumns({"started_at": none, "ended_at": none}).write.mode("append").json(marks)
+    made = SnapshotStore(spark, root)
+
+    def run():
+        arriving = streaming.stream_manifest(spark, folder, root=I.ROOT)
+        streaming.stream_commit(arriving, streaming.stream_marks(spark, marks), made, landing, checkpoint, root=I.ROOT).awaitTermination()
+
+    run()
+    if made.ids():
+        raise AssertionError("committed before all entries came")
+    send()
+    run()
+    return made.meta().select("snapshot_id", "entries", "bytes")

@@ -1,8 +1,9 @@
 """Landing listing exports as they arrive.
 
-Rows land exactly once in a Parquet folder that only the stream writes; a
-finished snapshot is then committed from there with `SnapshotStore.write`,
-which leaves committed snapshots immutable.
+Rows land exactly once in a Parquet folder that only the stream writes.
+`stream_commit` commits a snapshot from there as soon as its end mark has come
+and all its entries are in; `stream_counts` keeps live counts without entries
+that were sent again.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyhouse import schema as S
-from tallyhouse.sources.manifest import derive_columns
+from tallyhouse.sources.manifest import FILES_COLUMNS, derive_columns
+from tallyhouse.sources.store import SnapshotStore
+
+#: An end mark: the snapshot is complete when so many different paths are in; without a number, at once.
+END_MARK = "snapshot_id string, entries long, started_at long, ended_at long"
 
 
 def stream_manifest(
@@ -55,3 +60,84 @@ def running_counts(entries: DataFrame) -> DataFrame:
 def landed(spark: SparkSession, landing: str) -> DataFrame:
     """The rows landed so far, ready to be committed."""
     return spark.read.schema(S.FILES).parquet(landing)
+
+
+def stream_counts(entries: DataFrame, folder: str, checkpoint: str, delay: str = "7 days") -> StreamingQuery:
+    """Write running counts of a stream to `folder` as they change, taking what is there now and stopping.
+
+    A path that comes again for its snapshot within `delay` of its first arrival
+    is not counted again.  The time is that of arrival, so that no entry is ever
+    too late to count.  State holds the paths of the last `delay` and one row per
+    snapshot; for listings that do not fit in the executors' memory set
+    `spark.sql.streaming.stateStore.providerClass` to the RocksDB provider.  Each
+    batch replaces what an attempt before it wrote.
+    """
+    timed = entries.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    once = timed.dropDuplicatesWithinWatermark(["snapshot_id", "path"])
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return (
+        running_counts(once)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(put)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The last counts of each snapshot that `stream_counts` wrote."""
+    written = spark.read.schema("snapshot_id string, entries long, bytes long, batch long").parquet(folder)
+    last = written.groupBy("snapshot_id").agg(F.max(F.struct("batch", "entries", "bytes")).alias("last"))
+    return last.select("snapshot_id", "last.entries", "last.bytes")
+
+
+def stream_marks(spark: SparkSession, path: str) -> DataFrame:
+    """New end marks, JSON lines in files below `path`, as a stream."""
+    return spark.readStream.schema(END_MARK).json(path)
+
+
+def stream_commit(
+    entries: DataFrame, marks: DataFrame, store: SnapshotStore, landing: str, checkpoint: str, **options
+) -> StreamingQuery:
+    """Land a stream of entries and of end marks and commit each snapshot when it is complete.
+
+    A snapshot is committed once: when a mark of it has come and so many of its
+    paths are in as the mark says, whichever comes last.  Of a path that came
+    several times the last batch counts, in a batch the greatest size.  What
+    comes after the commit stays in `landing`.  A batch that is run again after
+    a failure replaces what it landed, and finds committed what it committed.
+    `options` go to `SnapshotStore.write`.
+    """
+    spark = store.spark
+    none = [F.lit(None).cast(S.FILES[c].dataType).alias(c) for c in FILES_COLUMNS if c != "snapshot_id"]
+    marked = marks.select("snapshot_id", *none, F.struct("entries", "started_at", "ended_at").alias("mark"))
+    empty = F.lit(None).cast("struct<entries:bigint,started_at:bigint,ended_at:bigint>")
+    both = entries.select(FILES_COLUMNS).withColumn("mark", empty).unionByName(marked)
+
+    def take(rows: DataFrame, batch: int) -> None:
+        kind = rows.withColumn("is_mark", F.col("mark").isNotNull())
+        kind.write.mode("overwrite").partitionBy("is_mark", "snapshot_id").parquet(f"{landing}/batch={batch}")
+        _commit_complete(spark, store, landing, options)
+
+    return both.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take).trigger(availableNow=True).start()
+
+
+def _commit_complete(spark: SparkSession, store: SnapshotStore, landing: str, options: dict) -> None:
+    """Commit the snapshots that are marked, complete and not committed yet."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.FILES.fields)
+    came = spark.read.schema(f"{schema}, mark struct<entries:bigint,started_at:bigint,ended_at:bigint>, is_mark boolean, batch long")
+    came = came.parquet(landing)
+    # one row per snapshot that waits
+    waiting = came.where("is_mark").where(~F.col("snapshot_id").isin(store.ids())) if store.ids() else came.where("is_mark")
+    for one in waiting.groupBy("snapshot_id").agg(F.max(F.struct("batch", "mark")).alias("last")).collect():
+        mark, rest = one["last"]["mark"], [c for c in FILES_COLUMNS if c not in ("snapshot_id", "path")]
+        own = came.where(~F.col("is_mark") & (F.col("snapshot_id") == one["snapshot_id"]))
+        if mark["entries"] is not None and own.select("path").distinct().count() < mark["entries"]:
+            continue
+        last = own.groupBy("snapshot_id", "path").agg(F.max(F.struct("batch", "size", *(c for c in rest if c != "size"))).alias("last"))
+        whole = last.select("snapshot_id", "path", *(f"last.{c}" for c in rest)).select(FILES_COLUMNS)
+        store.write(whole, one["snapshot_id"], started_at=mark["started_at"], ended_at=mark["ended_at"], **options)

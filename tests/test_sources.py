@@ -317,6 +317,57 @@ def test_running_counts_on_a_stream(spark, listing, tmp_path):
     assert {r["snapshot_id"]: r["entries"] for r in records(spark.table("counts"))} == {"2026-05-14_10-00": 3, "2026-05-15_10-00": 1}
 
 
+def test_counts_of_the_stream_itself(spark, listing, tmp_path):
+    source, folder, progress = (str(tmp_path / n) for n in ("in", "counts", "progress"))
+
+    def run():
+        stream = streaming.stream_manifest(spark, source, root="/vol", files_per_trigger=1)
+        streaming.stream_counts(stream, folder, progress).awaitTermination()
+        return {r["snapshot_id"]: (r["entries"], r["bytes"]) for r in records(streaming.latest_counts(spark, folder))}
+
+    first = listing.where("snapshot_id = '2026-05-14_10-00'")
+    first.repartition(3).write.parquet(source)
+    assert run() == {"2026-05-14_10-00": (3, 30)}
+    # after a restart: the same export again, and one that is new
+    first.coalesce(1).write.mode("append").parquet(source)
+    assert run() == {"2026-05-14_10-00": (3, 30)}
+    listing.where("snapshot_id = '2026-05-15_10-00'").write.mode("append").parquet(source)
+    assert run() == {"2026-05-14_10-00": (3, 30), "2026-05-15_10-00": (1, 0)}
+
+
+def test_a_stream_commits_a_snapshot_once_when_it_is_complete(spark, listing, tmp_path):
+    source, marks, landing, progress = (str(tmp_path / n) for n in ("in", "marks", "landing", "progress"))
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+
+    def run():
+        stream = streaming.stream_manifest(spark, source, root="/vol")
+        streaming.stream_commit(stream, streaming.stream_marks(spark, marks), store, landing, progress, root="/vol", directories=True).awaitTermination()
+        return store.ids()
+
+    def mark(one, entries):
+        row = spark.createDataFrame([(one, entries, 5, 9)], streaming.END_MARK)
+        row.write.mode("append").json(marks)
+
+    one = "2026-05-14_10-00"
+    first = listing.where(F.col("snapshot_id") == one)
+    first.orderBy("path").limit(2).write.parquet(source)
+    mark(one, 3)
+    assert run() == []  # marked, but not all in
+    first.orderBy("path").limit(1).write.mode("append").parquet(source)
+    assert run() == []  # an entry that came again makes up for none
+    first.write.mode("append").parquet(source)
+    assert run() == [one]
+    assert store.files(one).count() == 5 and store.files(one).select("path").distinct().count() == 5
+    assert [(r["started_at"], r["ended_at"], r["bytes"]) for r in store.meta().collect()] == [(5, 9, 30)]
+    generations = store._heads()
+    first.write.mode("append").parquet(source)
+    mark(one, 3)
+    listing.where(F.col("snapshot_id") != one).write.mode("append").parquet(source)
+    assert run() == [one] and store._heads() == generations  # sent twice, committed once
+    mark("2026-05-15_10-00", None)
+    assert run() == [one, "2026-05-15_10-00"] and store.files(one).count() == 5
+
+
 def test_a_snapshot_can_be_replaced_by_what_it_holds(snaps, seeded):
     snaps.write(seeded, "2026-05-15_10-00", directories=True, tree=True)
     before = snaps.files("@latest")
