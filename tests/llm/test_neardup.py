@@ -98,21 +98,54 @@ def test_chain_of_links_is_one_class(spark):
     assert found(neardup.join_texts(spark.createDataFrame(docs, "doc_id long, text string"), by="doc_id")) == order(brute(docs))
 
 
-def test_forest_depth_meets_the_recall():
-    depth = neardup.prefix_depth()
-    assert 1 - (1 - 0.8**depth) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** neardup.TREES
-    assert neardup.prefix_depth(0.05) == 1
-
-
-def test_prefixes_meet_as_often_as_the_similarity_says():
+def test_prefixes_end_where_the_threshold_meets_the_recall():
+    lengths = neardup.prefix_lengths()
+    assert lengths[0] == neardup.DEPTH and lengths == sorted(set(lengths), reverse=True) and len(lengths) > 1
+    assert neardup.meets(0.8, lengths[-1]) >= neardup.RECALL > neardup.meets(0.8, lengths[-1] + 1)
+    assert neardup.prefix_lengths(0.05)[-1] == 1
+
+
+def test_each_pair_is_compared_in_one_round_and_by_active_texts_only():
+    sets = [np.arange(100, dtype=np.uint64)] * 3
+    marks = np.zeros((3, neardup.TREES, neardup.DEPTH), np.uint16)
+    marks[:, :, :] = np.arange(3)[:, None, None]
+    marks[:2, 3] = 7  # the first two share one whole label, all three a prefix of another
+    marks[:, 5, :4] = 9
+    zero, every = np.zeros(3, np.int8), np.ones(3, bool)
+    assert neardup.compare(sets[:2], marks[:2], every[:2], zero[:2], 3, [6], 0.8)[0].tolist() == [1, 1]
+    assert neardup.compare(sets, marks, every, zero, 5, [6, 4], 0.8)[0].tolist() == [1, 1, 2]
+    assert neardup.compare(sets, marks, np.array([True, False, False]), zero, 5, [6, 4], 0.8)[0].tolist() == [1, 0, 1]
+
+
+def test_minima_meet_as_often_as_the_similarity_says():
     rng, known = np.random.default_rng(0), 0
     for _ in range(400):
         base = rng.integers(0, 1 << 63, 180, np.uint64)
-        a, b = np.sort(base[:140]), np.sort(base[40:])
-        known += (neardup.prefixes(a, 8, 1) == neardup.prefixes(b, 8, 1)).sum()
+        a, b = neardup.labels(base[:140], 8, 1), neardup.labels(base[40:], 8, 1)
+        known += sum(x == y for x, y in zip(a, b))
     assert abs(known / 3200 - 100 / 180) < 0.04
 
 
+def test_recall_of_pairs_at_the_threshold(spark):
+    rng, docs = random.Random(5), []
+    for pair in range(1000):
+        words = [f"p{pair}w{i}" for i in range(184)]
+        start = rng.randint(0, 3)
+        # 180 runs each, 160 shared: 160 / 200
+        docs += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[:164] + [f"q{start}w{i}" for i in range(20)]))]
+    rows = neardup.join_texts(spark.createDataFrame(docs, "doc_id long, text string"), by="doc_id").collect()
+    assert sum(r["n_links"] == 1 for r in rows) >= 0.995 * len(rows)
+
+
+def test_many_distinct_near_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    monkeypatch.setattr(neardup, "GROUP_ROWS", 256)
+    words = [f"w{i}" for i in range(150)]
+    docs = [(i, " ".join([*words, f"v{i}"])) for i in range(1500)]
+    rows = neardup.join_texts(spark.createDataFrame(docs, "doc_id long, text string"), by="doc_id").collect()
+    assert {(r["class_id"], r["n_links"]) for r in rows} == {(0, 1499)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.join_texts(df, by="doc_id").count() == 0
