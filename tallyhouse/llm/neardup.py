@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.tables import give_back, lean
 from tallyhouse.session import written
 
 WORDS = 5
@@ -30,9 +31,9 @@ DEPTH = 6
 RECALL = 0.9997
 #: Texts and bytes of one side of a comparison, and of one call, about.
 BLOCK = 512
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 GROUP_ROWS = 1500
-GROUP_BYTES = 48 << 20
+GROUP_BYTES = 16 << 20
 BROADCAST_BYTES = 32 << 20
 #: Words remembered by a worker.
 REMEMBERED = 100_000
@@ -176,6 +177,8 @@ def _compare_group(table: pa.Table, lengths: list[int], threshold: float) -> pa.
             out[1].append(node[at[root[x]]])
             out[2].append(int(links[x]))
             out[3].append(float(unseen[x]))
+    del found, labels_of
+    give_back()
     kinds = (pa.binary(), pa.binary(), pa.int64(), pa.float64())
     return pa.table([pa.array(values, kind) for values, kind in zip(out, kinds)], names=["node", "other", "links", "unseen"])
 
@@ -272,7 +275,7 @@ def join_texts(docs: DataFrame, by: str, text: str = "text", threshold: float =
                 made.append(labels(found) if len(found) else None)
             yield pa.record_batch([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(made, pa.list_(pa.binary()))], ["node", "size", "labels"])
 
-    signed = docs.select(node, F.col(text).alias("text")).mapInArrow(sign, "node binary, size long, labels array<binary>")
+    signed = docs.select(node, F.col(text).alias("text")).mapInArrow(lean(sign), "node binary, size long, labels array<binary>")
     signed = written(signed.where("labels IS NOT NULL").dropDuplicates(["node"]), "signatures")
 
     # only prefixes that two texts share at the end take part
@@ -291,7 +294,7 @@ def join_texts(docs: DataFrame, by: str, text: str = "text", threshold: float =
     def compare_round(met, so_far):
         candidates = written(met.select("node").distinct(), "candidates")
         chosen = docs.select(node, F.col(text).alias("text")).join(_small(candidates, candidates.count(), 64), "node", "left_semi")
-        sets = chosen.mapInArrow(collect, "node binary, found binary").dropDuplicates(["node"]).join(signed.select("node", "labels"), "node")
+        sets = chosen.mapInArrow(lean(collect), "node binary, found binary").dropDuplicates(["node"]).join(signed.select("node", "labels"), "node")
         mark = F.xxhash64("node", F.lit(5))
         block = F.when(F.col("whole"), 0).when(F.col("active"), F.pmod(mark, F.col("active_blocks")))
         block = block.otherwise(F.col("active_blocks") + F.pmod(mark, F.greatest("rest_blocks", F.lit(1)))).cast("int")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.llm.prefix import hash_bucket, running
-from tallyhouse.llm.tables import answered
+from tallyhouse.llm.tables import answered, lean
 from tallyhouse.llm.tokens import tokenizer
 from tallyhouse.session import written
 
@@ -311,4 +311,4 @@ def _checksums(pieces: DataFrame, docs: DataFrame, by: list[str], text: str, pat
             keys = [c.take(pa.array(owner, pa.int64())) for c in batch.columns[: len(by)]]
             yield pa.RecordBatch.from_arrays([*keys, *(pa.array([r[i] for r in out], pa.int64()) for i in range(6))], names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(lean(run), schema)

@@ -1,5 +1,7 @@
 """Reading the corpus tables, the fixed folds, and columns that Python computes."""
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,23 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return the memory that Arrow and numpy hold unused, since Spark keeps the worker for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+def lean(function):
+    """`function` from batches to batches, which gives memory back when its task ends."""
+
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
 def answered(source: DataFrame, answers: T.StructType, start, drop: int = 0) -> DataFrame:
     """`source` with the columns `answers`, computed batch by batch in Python.
 
@@ -68,4 +87,4 @@ def answered(source: DataFrame, answers: T.StructType, start, drop: int = 0) ->
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     plain = source.toDF(*(f"c{i}" for i in range(len(source.columns))))
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(lean(run), schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.llm.tables import answered
+from tallyhouse.llm.tables import answered, lean
 from tallyhouse.session import written
 
 #: Labelled rows learned from at most, the first by the hash of their id.
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: str, text: str = "text", rows: i
             frame["found"] = [np.unique(features(t, known)).tobytes() for t in frame.pop("text")]
             yield frame
 
-    made = written(sample.mapInPandas(extract, "_order long, label double, found binary"), "toxic-features")
+    made = written(sample.mapInPandas(lean(extract), "_order long, label double, found binary"), "toxic-features")
 
     def tally(batches):
         for frame in batches:
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: str, text: str = "text", rows: i
                 hashes, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in frame["found"]]), return_counts=True)
                 yield pd.DataFrame({"hash": hashes.astype(np.int64), "n": n})
 
-    counts = made.select("found").mapInPandas(tally, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = made.select("found").mapInPandas(lean(tally), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     common = counts.where(F.col("n") >= LEAST_ROWS).select("hash")
 
     def packed(batches):
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: str, text: str = "text", rows: i
             yield pd.DataFrame({"hashes": [frame["hash"].to_numpy().astype(np.uint32).tobytes()]})
 
     # the driver gets four bytes for each coordinate in use
-    vocabulary = np.sort(np.frombuffer(b"".join(r["hashes"] for r in common.mapInPandas(packed, "hashes binary").collect()), np.uint32))
+    vocabulary = np.sort(np.frombuffer(b"".join(r["hashes"] for r in common.mapInPandas(lean(packed), "hashes binary").collect()), np.uint32))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     n_rows, positive = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     rate = min(max((positive + 0.5) / (n_rows + 1), 1e-6), 1 - 1e-6)
@@ -179,13 +179,13 @@ def fit(docs: DataFrame, labels: DataFrame, by: str, text: str = "text", rows: i
         yield pd.DataFrame({"hashes": [vocabulary[some].tobytes()], "weights": [weights[some].tobytes()], "bias": [float(weights[-1])]})
 
     seen = (
-        made.mapInPandas(index, "_order long, label double, at binary")
+        made.mapInPandas(lean(index), "_order long, label double, at binary")
         .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
         .withColumn("_order", F.xxhash64("_order", "epoch"))
         .repartition(1)
         .sortWithinPartitions("epoch", "_order", "label", "at")
     )
-    learned = seen.mapInPandas(train, "hashes binary, weights binary, bias double").first()
+    learned = seen.mapInPandas(lean(train), "hashes binary, weights binary, bias double").first()
     if learned is None:
         return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0)
     return Model(np.frombuffer(learned["hashes"], np.uint32), np.frombuffer(learned["weights"], np.float64), learned["bias"])
