@@ -80,6 +80,47 @@ def condition(df: DataFrame, field: str, op: str, value) -> Column:
     }[op]
 
 
+def _member(field: str) -> str:
+    quote = "'" if '"' in field else '"'
+    if quote in field:
+        raise ValueError(f"a field name with both kinds of quotes: {field}")
+    return f"$[{quote}{field}{quote}]"
+
+
+def untyped_condition(record: Column | str, field: str, op: str, value) -> Column:
+    """One comparison with a field of a VARIANT, never NULL.
+
+    The type is that of the field in this very record: a record without it, one where it
+    has another type than `value` and one that is no object satisfy only `!=`.
+    """
+    record, member = _col(record), _member(field)
+    kind = F.schema_of_variant(F.try_variant_get(record, member, "variant"))
+
+    def compared(of_kind, target):
+        found = F.when(kind.rlike(of_kind), F.try_variant_get(record, member, target))
+        return {"=": found == value, "!=": found != value, ">": found > value, "<": found < value, ">=": found >= value, "<=": found <= value}[op]
+
+    if isinstance(value, str):
+        if op == "LIKE":
+            return F.coalesce(F.when(kind == "STRING", like(F.try_variant_get(record, member, "string"), value)), F.lit(False))
+        meets = compared("^STRING$", "string") if op in ("=", "!=") else F.lit(False)
+    elif op == "LIKE":
+        return F.lit(False)
+    else:
+        # whole numbers keep all digits
+        meets = F.coalesce(compared("^BIGINT$", "bigint"), compared("^(DECIMAL|DOUBLE|FLOAT)", "double"))
+    return F.coalesce(meets, F.lit(op == "!="))
+
+
+def all_of_untyped(record: Column | str, where) -> Column:
+    """The conjunction of `where`, given as triples or as text, on the fields of a VARIANT."""
+    triples = conditions(where) if isinstance(where, str) else where
+    keep = F.lit(True)
+    for field, op, value in triples:
+        keep = keep & untyped_condition(record, field, op, value)
+    return keep
+
+
 def all_of(df: DataFrame, where) -> Column:
     """The conjunction of `where`, given as triples or as text."""
     triples = conditions(where) if isinstance(where, str) else where

@@ -7,6 +7,7 @@ from tallyhouse.operators import listings, sqlview
 from tallyhouse.operators.usage import dir_usage, usage_rows
 from tallyhouse.plans import inventory as I
 from tallyhouse.plans.registry import entries, landing_folder, query, store
+from tallyhouse.schema import SCHEMA_VERSION
 from tallyhouse.session import working_folder
 from tallyhouse.sources import envelope, manifest
 from tallyhouse.sources import store as snapshots
@@ -252,6 +253,26 @@ def envelope_read(spark, sf_dir):
     return envelope.envelope_read(spark, folder, "path string, total_size long")
 
 
+@query(
+    "filter_untyped",
+    I.inventory_sql(
+        f"""SELECT 'find' AS kind, path, size FROM inv_files
+          WHERE {L} AND size >= 40 * 1024 AND (ext <> 'log' OR ext IS NULL) ORDER BY path LIMIT 2000""",
+        files_only=True,
+    ),
+)
+def filter_untyped(spark, sf_dir):
+    """Each file's record lies in one document with a number, a text and a record whose size is a text."""
+    files = listings.files_only(entries(spark, sf_dir, "@latest"))
+    record, other = F.to_json(F.struct("path", "size", "ext")), F.to_json(F.struct("path", F.col("size").cast("string").alias("size")))
+    head = F.lit('{"schema_version":%d,"kind":"find","records":[7,"size",' % SCHEMA_VERSION)
+    folder = working_folder(spark, "documents")
+    files.select(F.concat(head, other, F.lit(","), record, F.lit("]}"))).write.text(folder)
+    found = envelope.filter_untyped(envelope.read_untyped(spark, folder), "size >= 40KB AND ext != 'log'", 2000, ["path"])
+    path, size = F.try_variant_get("record", "$.path", "string"), F.try_variant_get("record", "$.size", "long")
+    return found.select("kind", path.alias("path"), size.alias("size"))
+
+
 @query(
     "scan_bundle",
     I.inventory_sql(

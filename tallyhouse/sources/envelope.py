@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse import schema as S
+from tallyhouse.functions.predicates import _member, all_of_untyped
 
 INPUT_KINDS = ("top", "find", "dirs", "ext", "empty", "old", "filter", "growth")
 
@@ -141,6 +142,18 @@ def envelope_read(
     return parse_envelopes(texts, "value", record_schema, kinds)
 
 
+def _checked(version: Column, kind: Column, records: Column, kinds) -> Column:
+    """`records`, or a failure where they are no document's that is accepted here."""
+    fault = (
+        F.when(version.isNull(), "not a document with a schema_version")
+        .when(version != S.SCHEMA_VERSION, F.concat(F.lit("incompatible schema_version "), version))
+        .when(kind.isNull(), "document without a kind")
+        .when(~kind.isin(list(kinds)), F.concat(F.lit("kind not accepted here: "), kind))
+    )
+    # The check sits inside the exploded value, so no plan can skip it.
+    return F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(records)
+
+
 def parse_envelopes(texts: DataFrame, column: str, record_schema, kinds=INPUT_KINDS) -> DataFrame:
     record = T.StructType.fromDDL(record_schema) if isinstance(record_schema, str) else record_schema
     shape = T.StructType(
@@ -152,20 +165,42 @@ def parse_envelopes(texts: DataFrame, column: str, record_schema, kinds=INPUT_KI
         ]
     )
     parsed = texts.select(F.from_json(column, shape).alias("doc"))
-    version, kind = F.col("doc.schema_version"), F.col("doc.kind")
-    fault = (
-        F.when(version.isNull(), "not a document with a schema_version")
-        .when(version != S.SCHEMA_VERSION, F.concat(F.lit("incompatible schema_version "), version))
-        .when(kind.isNull(), "document without a kind")
-        .when(~kind.isin(list(kinds)), F.concat(F.lit("kind not accepted here: "), kind))
-    )
-    # The check sits inside the exploded value, so no plan can skip it.
-    checked = F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.col("doc.records"))
+    kind = F.col("doc.kind")
+    checked = _checked(F.col("doc.schema_version"), kind, F.col("doc.records"), kinds)
     texts = parsed.select(kind.alias("kind"), F.explode(checked).alias("text"))
     fitted = F.from_json("text", record, {"mode": "FAILFAST"})
     return texts.select("kind", fitted.alias("record")).select("kind", "record.*")
 
 
+def read_untyped(spark: SparkSession, path: str, kinds=INPUT_KINDS, whole_files: bool = False) -> DataFrame:
+    """(kind, record) for every record of every document below `path`, the record a VARIANT.
+
+    Records may have any shape, each its own; what is no document fails as in `envelope_read`.
+    """
+    texts = spark.read.text(path, wholetext=whole_files).where(F.trim("value") != "")
+    return parse_untyped(texts, "value", kinds)
+
+
+def parse_untyped(texts: DataFrame, column: str, kinds=INPUT_KINDS) -> DataFrame:
+    document = texts.select(F.try_parse_json(column).alias("doc"))
+    parts = {"schema_version": "long", "kind": "string", "records": "array<variant>"}
+    version, kind, records = (F.try_variant_get("doc", f"$.{name}", target) for name, target in parts.items())
+    return document.select(kind.alias("kind"), F.explode(_checked(version, kind, records, kinds)).alias("record"))
+
+
+def filter_untyped(records: DataFrame, where, limit: int = 1000, order_by=()) -> DataFrame:
+    """Rows (kind, record) whose record meets `where`, at most `limit`, ordered by text fields of the record.
+
+    A record that lacks a field or has another type there satisfies only `!=`, and never
+    keeps the others from being read.  Equal fields are ordered by the whole record.
+    """
+    kept = records.where(all_of_untyped("record", where))
+    if order_by:
+        fields = [F.try_variant_get("record", _member(field), "string") for field in order_by]
+        kept = kept.orderBy(*fields, F.to_json("record"))
+    return kept.limit(limit)
+
+
 def rows_as_json(rows: DataFrame) -> DataFrame:
     """Any result as one JSON object per row, column `value`, NULLs included.
 

@@ -448,3 +448,61 @@ def test_queries_may_begin_with_comments(spark, seeded):
     assert sqlview.sql_query(spark, "SELECT count(*) AS n FROM scan_meta", seeded, scan_meta(seeded), snapshot_ids=["other"]).first()["n"] == 0
     with pytest.raises(Exception, match="PARSE_SYNTAX_ERROR"):
         sqlview.sql_query(spark, "SELECT count(, FROM files", seeded, scan_meta(seeded))
+
+
+RECORDS = [
+    {"path": "a", "size": 5, "name": "x.log"},
+    {"path": "b", "size": "5"},
+    {"path": "c", "size": 5.5, "na'me": "q"},
+    {"path": "d", "size": None, "name": 7},
+    {"path": "e", "size": 9007199254740993, "name": {"deep": "x.log"}},
+    {"path": "f"},
+    [1, 2],
+    "size",
+    7,
+    None,
+]
+
+
+@pytest.mark.parametrize(
+    "where, paths",
+    [
+        ("size >= 5", "ace"),
+        ("size = 5", "a"),
+        ("size = '5'", "b"),
+        ("size != 5", "bcdef----"),
+        ("size < 5.6", "ac"),
+        ("size = 9007199254740993", "e"),
+        ("size = 9007199254740992", ""),
+        ("name LIKE '%.log'", "a"),
+        ("name > 'a'", ""),
+        ([("name", "LIKE", 7)], ""),
+        ("name != 'x.log' AND size > 1", "ce"),
+        ("na'me = 'q'", None),
+        ([("na'me", "=", "q")], "c"),
+        ([("size", "=", 5), ("gone", "!=", 1)], "a"),
+    ],
+)
+def test_conditions_on_records_of_unknown_shape(spark, where, paths):
+    text = json.dumps({"schema_version": 1, "kind": "find", "records": RECORDS})
+    records = envelope.parse_untyped(spark.createDataFrame([(text,)], "value string"), "value")
+    assert records.count() == len(RECORDS)
+    if paths is None:
+        with pytest.raises(ValueError):
+            envelope.filter_untyped(records, where)
+        return
+    found = envelope.filter_untyped(records, where).selectExpr("coalesce(try_variant_get(record, '$.path', 'string'), '-') AS p").collect()
+    assert "".join(sorted((r["p"] for r in found), key=lambda p: (p == "-", p))) == paths
+
+
+def test_untyped_records_come_of_accepted_documents_only(spark):
+    for text in ("{", '{"kind": "find", "records": []}', '{"schema_version": 99, "kind": "find"}', '{"schema_version": 1, "kind": "other"}'):
+        with pytest.raises(Exception, match="schema_version|kind not accepted"):
+            envelope.parse_untyped(spark.createDataFrame([(text,)], "value string"), "value").collect()
+
+
+def test_untyped_records_are_ordered_and_limited(spark):
+    text = json.dumps({"schema_version": 1, "kind": "find", "records": [{"path": p, "n": i} for i, p in enumerate("cabab")]})
+    records = envelope.parse_untyped(spark.createDataFrame([(text,)], "value string"), "value")
+    first = envelope.filter_untyped(records, [], 3, ["path"]).selectExpr("try_variant_get(record, '$.n', 'int') AS n").collect()
+    assert [r["n"] for r in first] == [1, 3, 2]
