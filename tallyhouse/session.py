@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,28 @@ def working_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/tallyhouse/{label}-{uuid.uuid4().hex}"
 
 
+#: Files a task writes to at once; the rows of further partitions are sorted.
+OPEN_FILES = 32
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of a block; streams keep those they are started under."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def unsorted_partitions(spark: SparkSession):
+    """Writes by partition go to open files, without a sort of all rows by partition before."""
+    return settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)})
+
+
 def written(rows: DataFrame, label: str) -> DataFrame:
     """`rows` written to a new working folder and read back.
 
@@ -28,7 +51,7 @@ def written(rows: DataFrame, label: str) -> DataFrame:
     checkpoint files, the folder is left to the owner of `spark.checkpoint.dir`.
     """
     folder = working_folder(rows.sparkSession, label)
-    rows.write.parquet(folder)
+    rows.write.option("compression", "zstd").parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 

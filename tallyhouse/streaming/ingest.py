@@ -11,12 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyhouse import schema as S
+from tallyhouse.session import settings, unsorted_partitions
 from tallyhouse.sources.manifest import FILES_COLUMNS, derive_columns
 from tallyhouse.sources.store import SnapshotStore
 
 #: An end mark: the snapshot is complete when so many different paths are in; without a number, at once.
 END_MARK = "snapshot_id string, entries long, started_at long, ended_at long"
 
+_ROCKSDB = "spark.sql.streaming.stateStore.rocksdb"
+#: State in files instead of the heap: an executor holds part of it in bounded memory, and a batch saves its changes only.
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_ROCKSDB}.changelogCheckpointing.enabled": "true",
+    f"{_ROCKSDB}.boundedMemoryUsage": "true",
+    f"{_ROCKSDB}.trackTotalNumberOfRows": "false",
+}
+
 
 def stream_manifest(
     spark: SparkSession, path: str, fmt: str = "parquet", root: str = "/", files_per_trigger: int | None = None
@@ -35,15 +45,17 @@ def stream_ingest(entries: DataFrame, landing: str, checkpoint: str) -> Streamin
 
     Runs again from `checkpoint`: exports already taken are not taken twice.
     """
-    return (
+    writer = (
         entries.writeStream.format("parquet")
         .partitionBy("snapshot_id")
+        .option("compression", "zstd")
         .option("path", landing)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    with unsorted_partitions(entries.sparkSession):
+        return writer.start()
 
 
 def running_counts(entries: DataFrame) -> DataFrame:
@@ -78,14 +90,15 @@ def stream_counts(entries: DataFrame, folder: str, checkpoint: str, delay: str =
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
-    return (
+    writer = (
         running_counts(once)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(put)
         .trigger(availableNow=True)
-        .start()
     )
+    with settings(entries.sparkSession, STATE_ON_DISK):
+        return writer.start()
 
 
 def latest_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +133,8 @@ def stream_commit(
 
     def take(rows: DataFrame, batch: int) -> None:
         kind = rows.withColumn("is_mark", F.col("mark").isNotNull())
-        kind.write.mode("overwrite").partitionBy("is_mark", "snapshot_id").parquet(f"{landing}/batch={batch}")
+        with unsorted_partitions(kind.sparkSession):
+            kind.write.mode("overwrite").partitionBy("is_mark", "snapshot_id").option("compression", "zstd").parquet(f"{landing}/batch={batch}")
         _commit_complete(spark, store, landing, options)
 
     return both.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take).trigger(availableNow=True).start()
