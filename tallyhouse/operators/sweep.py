@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tallyhouse.session import written
 
 #: Rows of a partition, about.
-PARTITION_ROWS = 1_000_000
+PARTITION_ROWS = 200_000
 
 
 def path_order(path: Column | str) -> Column:

@@ -6,7 +6,7 @@ from tallyhouse.functions.scalars import seconds_in
 from tallyhouse.operators import listings, sqlview
 from tallyhouse.operators.usage import dir_usage, usage_rows
 from tallyhouse.plans import inventory as I
-from tallyhouse.plans.registry import entries, landing_folder, query, store
+from tallyhouse.plans.registry import entries, export, landing_folder, query, store
 from tallyhouse.schema import SCHEMA_VERSION
 from tallyhouse.session import working_folder
 from tallyhouse.sources import envelope, manifest
@@ -267,7 +267,7 @@ def filter_untyped(spark, sf_dir):
     record, other = F.to_json(F.struct("path", "size", "ext")), F.to_json(F.struct("path", F.col("size").cast("string").alias("size")))
     head = F.lit('{"schema_version":%d,"kind":"find","records":[7,"size",' % SCHEMA_VERSION)
     folder = working_folder(spark, "documents")
-    files.select(F.concat(head, other, F.lit(","), record, F.lit("]}"))).write.text(folder)
+    files.select(F.concat(head, other, F.lit(","), record, F.lit("]}"))).write.text(folder, compression="gzip")
     found = envelope.filter_untyped(envelope.read_untyped(spark, folder), "size >= 40KB AND ext != 'log'", 2000, ["path"])
     path, size = F.try_variant_get("record", "$.path", "string"), F.try_variant_get("record", "$.size", "long")
     return found.select("kind", path.alias("path"), size.alias("size"))
@@ -369,7 +369,7 @@ def _sent_in_parts(spark, sf_dir):
     first = F.pmod(F.xxhash64("path"), F.lit(3))
     folder = landing_folder(spark, rows.where(first == 0), "parquet")
     again = rows.where(first > 0).unionByName(rows.where((first == 0) & (F.col("mtime") % 2 == 0)))
-    return folder, lambda: again.write.mode("append").parquet(folder)
+    return folder, lambda: export(again, "parquet").mode("append").save(folder)
 
 
 @query("stream_counts", _LANDED)

@@ -12,6 +12,8 @@ from tallyhouse.functions.paths import slash_count
 from tallyhouse.sources.manifest import FILES_COLUMNS, derive_directories
 
 ROOT = "/vol"
+#: Line items of a task, each up to five files.
+TASK_ROWS = 1_000_000
 DIR_MTIME = 1700000000
 
 #: (k, id, second the scan began), oldest first.
@@ -52,17 +54,28 @@ def _pick(index: str, values):
     return F.expr(f"elt(CAST({index} AS INT) + 1, {texts})")
 
 
+def _tasks(lines: DataFrame) -> int:
+    """Tasks for so many line items: few rows each, so that their memory does not grow with the table."""
+    rows = lines.count()
+    return max(1, -(-rows // TASK_ROWS), min(lines.sparkSession.sparkContext.defaultParallelism, rows // 20_000))
+
+
 def file_rows(spark: SparkSession, sf_dir: str, ids=None) -> DataFrame:
     """File entries of the snapshots in `ids` (all five by default)."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("ok"),
+        F.col("l_linenumber").alias("ln"),
+        F.col("l_partkey").alias("pk"),
+        F.col("l_suppkey").alias("sk"),
+        F.col("l_extendedprice").alias("price"),
+    )
+    # Directory by directory, as a walk lists them, so that sums by directory combine before
+    # they are shuffled; the order numbers last part a directory that holds very many rows.
     items = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(
-            F.col("l_orderkey").alias("ok"),
-            F.col("l_linenumber").alias("ln"),
-            F.col("l_partkey").alias("pk"),
-            F.col("l_suppkey").alias("sk"),
-        )
-        .agg(F.max("l_extendedprice").alias("price"))
+        lines.repartitionByRange(_tasks(lines), "sk", "pk", "ok", "ln")
+        .groupBy("ok", "ln", "pk", "sk")
+        .agg(F.max("price").alias("price"))
+        .sortWithinPartitions("sk", F.col("pk") % 10, "ok", "ln", "pk")
     )
     ok, ln, pk, sk = (F.col(c) for c in ("ok", "ln", "pk", "sk"))
     folder = F.concat(F.lit("/vol/s"), sk.cast("string"), F.lit("/"), _pick("pk % 10", _FOLDERS))

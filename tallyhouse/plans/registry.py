@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from tallyhouse.plans.inventory import DIR_MTIME, IDS, ROOT, file_rows
 from tallyhouse.session import working_folder
@@ -43,8 +43,13 @@ def entries(spark: SparkSession, sf_dir: str, *ids: str) -> DataFrame:
 def landing_folder(spark: SparkSession, rows: DataFrame, fmt: str) -> str:
     """Write `rows` to a new shared folder and return it."""
     folder = working_folder(spark, f"export-{uuid.uuid4().hex[:8]}")
-    writer = rows.write.format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.save(folder)
+    export(rows, fmt).save(folder)
     return folder
+
+
+def export(rows: DataFrame, fmt: str) -> DataFrameWriter:
+    """A writer of listing exports, compressed; a Parquet file in parts that several tasks can read."""
+    writer = rows.write.format(fmt).option("compression", "zstd" if fmt == "parquet" else "gzip")
+    if fmt == "parquet":
+        writer = writer.option("parquet.block.size", 16 << 20)
+    return writer.option("header", True) if fmt == "csv" else writer
