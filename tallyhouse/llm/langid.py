@@ -23,10 +23,11 @@ from tallyhouse.session import written
 
 BITS = 6
 ORDER = 4
-#: n-grams that make up less than this share of their language's are left to the shorter ones, so
-#: that a model holds at most 2 ** 20 (8 bytes each, and 2 MB of tables), however large the corpus.
-LEAST_SHARE = 2.0**-20
-MAX_LANGUAGES = 250
+#: n-grams that make up less than this share of their language's are left to the shorter ones; 0 keeps all,
+#: of which there are at most 2 ** (BITS * ORDER) (8 bytes each, and 2 MB of tables), however large the corpus.
+LEAST_SHARE = 0.0
+#: Bytes of the models a pass holds; further languages take further passes.
+AT_ONCE = 1 << 27
 #: Characters looked at together.
 SLICE = 1_000_000
 #: n-grams a task gathers before it hands them on.
@@ -166,33 +167,50 @@ class Model:
         return np.where(self.gram[at] == gram, self.seen[at], self.weight[gram >> np.uint32(BITS)] + self.lower[gram & self.lowest])
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], list[Model], list[Model]]:
-    """(languages in order of name, their models, their models without the texts that calibrate).
+class Models:
+    """The stored models of all languages, and those without the texts that calibrate; read some languages at a time."""
+
+    def __init__(self, docs: DataFrame, text: str = "text", lang: str = "lang"):
+        """Every text and every language counts.  A model is built by one task, from at most 2 ** (BITS * ORDER) n-grams."""
+        counts = written(gram_counts(docs, text, lang), "language-counts")
+        totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+        # a row for each language
+        common = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= LEAST_SHARE * F.col("total"))
 
-    Every text counts.  A language's model is built by one task, from at most
-    1 / LEAST_SHARE n-grams; what reaches the driver are the models.
-    """
-    counts = written(gram_counts(docs, text, lang), "language-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    names = sorted(r[0] for r in totals.select("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # a row for each language
-    common = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= LEAST_SHARE * F.col("total"))
-
-    def built(n: str) -> dict[str, Model]:
         def build(frame):
             frame = frame.sort_values("gram")
             model = Model(frame["gram"].to_numpy(), frame["n"].to_numpy(), ORDER)
             return pd.DataFrame({"lang": frame["lang"].iloc[:1], "model": [pickle.dumps(model)]})
 
-        rows = common.where(F.col(n) > 0).select("lang", "gram", F.col(n).alias("n")).groupBy("lang").applyInPandas(build, "lang string, model binary")
-        return {r["lang"]: pickle.loads(r["model"]) for r in rows.toLocalIterator()}
+        def built(n: str) -> DataFrame:
+            rows = common.where(F.col(n) > 0).select("lang", "gram", F.col(n).alias("n")).groupBy("lang")
+            return written(rows.applyInPandas(build, "lang string, model binary"), "language-models")
+
+        self.whole, self.taught = built("n"), built("n_taught")
+        self.parts, size = [], AT_ONCE
+        for name, length in sorted((r[0], r[1]) for r in self.whole.select("lang", F.length("model")).collect()):
+            if size + length > AT_ONCE:
+                self.parts.append([])
+                size = 0
+            self.parts[-1].append(name)
+            size += length
+
+    def of(self, names: list[str], blind: bool = False) -> list[Model]:
+        """Models of some languages; one all of whose texts calibrate has but one model."""
+
+        def read(stored: DataFrame, wanted: list[str]) -> dict[str, Model]:
+            return {r["lang"]: pickle.loads(r["model"]) for r in stored.where(F.col("lang").isin(wanted)).toLocalIterator()}
 
-    models, taught = built("n"), built("n_taught")
-    names = [name for name in names if name in models]
-    # a language all of whose texts calibrate has but one model
-    return names, [models[name] for name in names], [taught.get(name, models[name]) for name in names]
+        found = read(self.taught, names) if blind else {}
+        found |= read(self.whole, [n for n in names if n not in found])
+        return [found[name] for name in names]
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], list[Model], list[Model]]:
+    """(languages in order of name, their models, their models without the texts that calibrate), all on the driver."""
+    models = Models(docs, text, lang)
+    names = [name for part in models.parts for name in part]
+    return names, models.of(names), models.of(names, blind=True)
 
 
 def entropies(texts: list[str], models: list[Model], scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +242,10 @@ def identify(docs: DataFrame, teaches: str, keep: list[str], text: str = "text",
     one by one; an empty table stays empty.
     """
     taught = docs.where(teaches)
-    names, models, blind = fit(taught, text, lang)
-    limits = _limits(taught.where(_calibrates(text)), text, lang, names, blind)
+    models = Models(taught, text, lang)
+    limits = _limits(taught.where(_calibrates(text)), text, lang, models)
     rows = docs.select(*(F.col(k) for k in keep), F.col(text).alias("_text"))
-    return _scored(rows, names, models, limits)
+    return _scored(rows, models, limits)
 
 
 def length_class(letters: np.ndarray) -> np.ndarray:
@@ -235,52 +253,81 @@ def length_class(letters: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), 10)
 
 
-def _limits(docs: DataFrame, text: str, lang: str, names: list[str], models: list[Model]) -> np.ndarray:
-    """Highest entropy that is not rejected, by language and length class."""
+def _limits(docs: DataFrame, text: str, lang: str, models: Models) -> dict[str, np.ndarray]:
+    """Highest entropy that is not rejected, by length class, for each language."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("own"), F.col(text))
-    found = _scored(rows, names, models, np.full((len(names), 11), np.inf), "length").where("lang_pred = own")
+    found = _scored(rows, models, {}, "length").where("lang_pred = own")
     share = F.percentile_approx("entropy", 1 - REJECTED_SHARE, 100_000)
     # a row for each language and class
     of = {(r["own"], r["length"]): (r["n"], r["top"]) for r in found.rollup("own", "length").agg(F.count(F.lit(1)).alias("n"), share.alias("top")).collect()}
-    limits = np.full((len(names), 11), np.inf)
-    for k, name in enumerate(names):
+    limits = {}
+    for name in {own for own, _ in of}:
+        limits[name] = np.full(11, np.inf)
         for length in range(11):
             n, top = of.get((name, length), (0, None))
-            limits[k, length] = top if n >= LEAST_TEXTS else of.get((name, None), (0, np.inf))[1]
+            limits[name][length] = top if n >= LEAST_TEXTS else of.get((name, None), (0, np.inf))[1]
     return limits
 
 
-def _scored(source: DataFrame, names: list[str], models: list[Model], limits: np.ndarray, *more: str) -> DataFrame:
-    """Answers for the last column of `source`, a text, which goes; `more` may ask for its length class."""
-    held = source.sparkSession.sparkContext.broadcast((names, models, limits))
+def _scored(source: DataFrame, models: Models, limits: dict[str, np.ndarray], *more: str) -> DataFrame:
+    """Answers for the last column of `source`, a text, which goes; `more` asks for its length class, and for the
+    models without the texts that calibrate.
 
+    One pass takes as many languages as fit into AT_ONCE; further ones go on from the
+    best language so far, its entropy and the odds against it, and change no answer.
+    """
+    columns, state = source.columns[:-1], ("_best", "_low", "_odds")
+    for number, names in enumerate(parts := models.parts or [[]]):
+        last = number == len(parts) - 1
+        held = source.sparkSession.sparkContext.broadcast((names, models.of(names, blind=bool(more)), limits if last else {}))
+        work = _work(held, number > 0, last, bool(more))
+        if last:
+            answers = T.StructType().add("lang_pred", "string").add("score", "double").add("entropy", "double").add("rejected", "boolean")
+            for name in more:
+                answers = answers.add(name, "long")
+            return answered(source, answers, work, drop=1 + 3 * (number > 0))
+        plain = source.toDF(*(f"c{i}" for i in range(len(source.columns))))
+        answers = T.StructType().add("s0", "string").add("s1", "double").add("s2", "double")
+        # the text goes on as the last column, what the passes before found goes
+        found = answered(plain, answers, work)
+        kept = written(found.select(*(f"c{i}" for i in range(len(columns))), "s0", "s1", "s2", f"c{len(plain.columns) - 1}"), "language-scores")
+        source = kept.toDF(*columns, *state, "_text")
+
+
+def _work(held, goes_on: bool, last: bool, lengths: bool):
     def start():
         names, models, limits = held.value
-        scratch = np.zeros(1 << BITS * ORDER, np.int32)
+        scratch, free = np.zeros(1 << BITS * ORDER, np.int32), np.full(11, np.inf)
 
         def work(batch):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            best, score, entropy = np.full(len(texts), -1, np.int64), np.zeros(len(texts)), np.full(len(texts), np.nan)
-            length = np.zeros(len(texts), np.int64)
+            best, low, odds = np.full(len(texts), None, object), np.full(len(texts), np.inf), np.zeros(len(texts))
+            if goes_on:
+                best[:] = batch.column(batch.num_columns - 4).to_pylist()
+                low, odds = (batch.column(batch.num_columns - k).to_numpy(zero_copy_only=False).copy() for k in (3, 2))
+            counted = np.zeros(len(texts), np.int64)
             if models:
                 for first, some in _slices(texts):
-                    found, letters = entropies(some, models, scratch)
                     at = slice(first, first + len(some))
-                    best[at] = np.where(letters > 0, found.argmin(axis=1), -1)
-                    low = found.min(axis=1)
-                    odds = np.exp(-(found - low[:, None]) * np.minimum(letters, SURE_LETTERS)[:, None]).sum(axis=1)
-                    score[at] = np.where(letters > 0, 1 / odds, 0)
-                    entropy[at] = np.where(letters > 0, low, np.nan)
-                    length[at] = length_class(letters)
-            entropy = entropy.round(9)
-            rejected = best < 0
-            rejected[~rejected] = entropy[~rejected] > limits[best[~rejected], length[~rejected]]
-            languages = [names[b] if b >= 0 else UNKNOWN for b in best]
-            return languages, score.round(9), pa.array(entropy, mask=np.isnan(entropy)), rejected, *([length] if more else [])
+                    found, letters = entropies(some, models, scratch)
+                    sure, least, before = np.minimum(letters, SURE_LETTERS), found.min(axis=1), low[at].copy()
+                    better = least < before
+                    low[at] = lower = np.where(better, least, before)
+                    fall = np.where(np.isfinite(before), before - lower, 0)
+                    odds[at] = odds[at] * np.exp(-fall * sure) + np.exp(-(found - lower[:, None]) * sure[:, None]).sum(axis=1)
+                    best[at] = np.where(better, np.array(names, object)[found.argmin(axis=1)], best[at])
+                    counted[at] = letters
+            if not last:
+                return best.tolist(), low, odds
+            known = counted > 0
+            score = np.divide(1, odds, out=np.zeros(len(texts)), where=known)
+            entropy = np.where(known, low, np.nan).round(9)
+            languages = [b if k else UNKNOWN for b, k in zip(best, known)]
+            length = np.where(known, length_class(counted), 0)
+            limit = np.array([limits.get(b, free)[c] for b, c in zip(languages, length)], float)
+            rejected = ~known | (entropy > limit)
+            return languages, score.round(9), pa.array(entropy, mask=~known), rejected, *([length] if lengths else [])
 
         return work
 
-    answers = T.StructType().add("lang_pred", "string").add("score", "double").add("entropy", "double").add("rejected", "boolean")
-    for name in more:
-        answers = answers.add(name, "long")
-    return answered(source, answers, start, drop=1)
+    return start

@@ -149,3 +149,23 @@ def test_held_out_accuracy(spark):
     assert len(found) == len(lang)
     held = [r for r in found if r["held_out"] and r["lang_pred"] != "und"]
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.97 * len(held)
+
+
+def test_languages_beyond_one_pass_change_no_answer(spark, corpus, monkeypatch):
+    """As many passes as languages, and more languages than were once refused."""
+    columns = ["doc_id", "lang", "lang_pred", "score", "entropy", "rejected"]
+    whole = sorted(map(str, langid.identify(corpus, "teaches", ["doc_id", "lang"]).select(columns).collect()))
+    monkeypatch.setattr(langid, "AT_ONCE", 1)
+    assert sorted(map(str, langid.identify(corpus, "teaches", ["doc_id", "lang"]).select(columns).collect())) == whole
+    monkeypatch.undo()
+    monkeypatch.setattr(langid, "AT_ONCE", 300_000_000)
+    words = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 40, f"l{i:03d}", True) for i in range(260)]
+    docs = spark.createDataFrame(words, "doc_id long, text string, lang string, teaches boolean")
+    assert len([name for part in langid.Models(docs).parts for name in part]) == 260
+
+
+def test_no_gram_is_left_out(spark):
+    text = "".join(chr(97 + i % 26) for i in range(1_200_000)) + "zazbzczd"
+    docs = spark.createDataFrame([(text, "xx")], "text string, lang string")
+    _, (model,), _ = langid.fit(docs)
+    assert set(langid.grams([text])[0].tolist()) == set(model.gram.tolist())
