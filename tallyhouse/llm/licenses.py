@@ -125,6 +125,7 @@ class Rule:
     rank: int
     keyword: str
     pattern: str
+    also: str
 
 
 def _keyword(pattern: str) -> str:
@@ -140,19 +141,26 @@ def _keyword(pattern: str) -> str:
     return max(parts, key=len)
 
 
+def _spaced(pattern: str) -> str:
+    """The keyword of a pattern that matches whole words, with the spaces around it where it ends the pattern."""
+    word = _keyword(pattern)
+    return " " * pattern.startswith(word) + word + " " * (pattern == word)
+
+
 def rules() -> list[Rule]:
     """All rules in order: for each license its tags, grants, full names and short names, then the notices."""
     made = []
 
-    def add(label: str, rank: int, pattern: str, keyword: str | None = None) -> None:
-        made.append(Rule(len(made), label, rank, keyword or _keyword(pattern), f"(?<= ){pattern}(?= )"))
+    def add(label: str, rank: int, pattern: str, keyword: str | None = None, also: str | None = None) -> None:
+        keyword = keyword or _keyword(pattern)
+        made.append(Rule(len(made), label, rank, keyword, f"(?<= ){pattern}(?= )", also or keyword))
 
     for label, tags, names, shorts in LICENSES:
         for tag in tags:
             add(label, TAG, f"spdx license identifier {tag}", "spdx license identifier")
             add(label, TAG, f"license {tag}(?= )(?! license)", "license " + _keyword(tag).split(" ")[0])
         for name in (*names, *shorts, *tags):
-            add(label, GRANT, f"(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: license)?", "under")
+            add(label, GRANT, f"(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: license)?", "under", _spaced(name))
         for name in names:
             add(label, NAME, name)
         for short in shorts:
@@ -164,8 +172,8 @@ def rules() -> list[Rule]:
 
 def _rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
-        [(r.number, r.label, r.rank, r.keyword, r.pattern) for r in rules()],
-        "rule int, label string, rank int, keyword string, pattern string",
+        [(r.number, r.label, r.rank, r.keyword, r.pattern, r.also) for r in rules()],
+        "rule int, label string, rank int, keyword string, pattern string, also string",
     )
 
 
@@ -213,7 +221,7 @@ def detections(docs: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     # a fixed table of a few hundred rows
     pairs = source.withColumn("keyword", F.explode(found)).join(F.broadcast(_rules_table(docs.sparkSession)), "keyword")
     hits = (
-        pairs.where("regexp(norm, pattern)")
+        pairs.where("contains(norm, also) AND regexp(norm, pattern)")
         .selectExpr(*by, "text_hash", "rule", "label", "rank", "regexp_extract_all(norm, pattern, 0) AS found", "split(norm, pattern) AS gaps")
         .selectExpr(*by, "text_hash", "rule", "label", "rank", "posexplode(arrays_zip(gaps, found)) AS (place, piece)")
     )

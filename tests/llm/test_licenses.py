@@ -98,3 +98,13 @@ def test_query_on_a_whole_table(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan_licenses(docs, by=["doc_id"]).count() == 0
+
+
+def test_a_grant_is_looked_for_only_where_its_name_stands(spark):
+    grants = [r for r in licenses.rules() if r.keyword == "under"]
+    assert len(grants) > 100 and all(r.also.strip() != "under" for r in grants)
+    # whatever a rule matches holds both of its literals
+    texts = {"mit": "licensed under mit now", "apache-2": "released under the terms of the apache license version 2 0 x", "gpl-2": "covered under gplv2 y"}
+    for label, text in texts.items():
+        met = [r for r in grants if r.label == label and re.search(r.pattern, f" {text} ")]
+        assert met and all(r.also in f" {text} " for r in met)
