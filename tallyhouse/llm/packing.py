@@ -9,6 +9,7 @@ of its own, and ends in windows of powers of two.
 """
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -129,8 +130,9 @@ def tail_windows(tokens: int) -> list[tuple[int, int]]:
     return out
 
 
-def _ids(path: str, text: str | None) -> bytes:
-    return tokenizer(path).encode(text or "") + END_ID.to_bytes(4, "little")
+def _ids(path: str, texts: pa.Array) -> Iterator[memoryview]:
+    for ids in tokenizer(path).encode_all(texts):
+        yield memoryview(b"%b%b" % (ids, END_ID.to_bytes(4, "little")))
 
 
 def token_counts(docs: DataFrame, by: list[str], text: str, path: str, window: int = WINDOW) -> DataFrame:
@@ -140,8 +142,7 @@ def token_counts(docs: DataFrame, by: list[str], text: str, path: str, window: i
 
     def work(batch):
         made = []
-        for value in batch.column(batch.num_columns - 1):
-            ids = memoryview(_ids(path, value.as_py()))
+        for ids in _ids(path, batch.column(batch.num_columns - 1)):
             n = len(ids) // 4
             cut = n // window * window
             made.append((n, [zlib.crc32(ids[4 * i : 4 * (i + window)]) for i in range(0, cut, window)], n - cut, zlib.crc32(ids[4 * cut :])))
@@ -302,8 +303,7 @@ def _checksums(pieces: DataFrame, docs: DataFrame, by: list[str], text: str, pat
         for batch in batches:
             owner, out = [], []
             tokens, wanted, text = (batch.column(len(by) + i) for i in range(3))
-            for x in range(batch.num_rows):
-                ids = memoryview(_ids(path, text[x].as_py()))
+            for x, ids in enumerate(_ids(path, text)):
                 for p in wanted[x].as_py():
                     owner.append(x)
                     crc = zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])])

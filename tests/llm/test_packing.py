@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -35,6 +36,24 @@ def test_tokenizer_agrees_with_the_library(library):
         assert list(np.frombuffer(ours.encode(text), "<u4")) == wanted, repr(text)
 
 
+def test_texts_of_a_batch_are_merged_at_once(library, monkeypatch):
+    from tallyhouse.llm import tokens
+
+    ours, calls = TextTokenizer(PATH), []
+    merge = ours.words.encode_to_numpy
+    monkeypatch.setattr(ours.words, "encode_to_numpy", lambda *a, **b: calls.append(1) or merge(*a, **b))
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdeéßñÉİØɏ×", k=rng.randint(1, 9))) + rng.choice(["", "", ",", ".", "!!", "'s", "$"]) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 200))) for _ in range(300)] + [None, "", " \n", "a\x1cb", "中 é x."]
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    batch = pa.array([None, "zz", *texts]).slice(2)
+    assert [list(np.frombuffer(i, "<u4")) for i in ours.encode_all(batch)] == wanted
+    assert len(calls) == 1
+    monkeypatch.setattr(tokens, "AT_ONCE", 2000)
+    assert [list(np.frombuffer(i, "<u4")) for i in ours.encode_all(batch)] == wanted
+    assert list(ours.encode_all(batch[:0])) == []
+
+
 def test_combinations_fill_the_window():
     made = packing.combinations(16, 4)
     sums = made @ np.arange(1, 17)
