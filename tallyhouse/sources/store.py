@@ -124,6 +124,14 @@ def _folder(one: str, generation: int) -> str:
     return f"snapshot_id={one}/generation={generation}"
 
 
+class TooFewRows(LookupError):
+    """A write was given fewer rows than it was to have at least."""
+
+    def __init__(self, found: int, wanted: int):
+        super().__init__(f"{found} rows of at least {wanted}; nothing is committed")
+        self.found = found
+
+
 class SnapshotStore:
     """Snapshots below one folder.
 
@@ -152,6 +160,7 @@ class SnapshotStore:
         replace: bool = False,
         sort_by_path: bool = False,
         tree: bool = False,
+        at_least: int | None = None,
     ) -> list[str]:
         """Commit `files` as new snapshots and return their ids.
 
@@ -164,6 +173,8 @@ class SnapshotStore:
         that replace a snapshot the later claim wins as a whole.  Replacing by an
         empty listing leaves none.
         `directories` adds the directory rows a flat listing lacks.
+        With fewer rows in `files` than `at_least` the write fails with `TooFewRows`
+        and removes what it stored.
         `sort_by_path` range-partitions the rows by path, one extra shuffle that
         lets subtree reads skip most row groups.  `tree` also stores the numbered
         directory tree.
@@ -194,6 +205,12 @@ class SnapshotStore:
             )
         self._put("files", files.select([f.name for f in S.FILES.fields]), claimed)
         found = [one for one in ids if self._exists(f"files/{_folder(one, claimed[one])}")]
+        if at_least is not None:
+            rows = self._partitions("files", {one: claimed[one] for one in found}).count()
+            if rows < at_least:
+                for one in found:
+                    self._remove(f"files/{_folder(one, claimed[one])}")
+                raise TooFewRows(rows, at_least)
         if snapshot_ids is not None and found != ids:
             raise LookupError(f"no rows for {sorted(set(ids) - set(found))}; nothing is committed")
         for one in taken - set(found):
@@ -231,8 +248,7 @@ class SnapshotStore:
                 for table in ("files", "usage", "tree", "meta"):
                     folder = f"{table}/{_folder(one, generation)}"
                     if self._exists(folder):
-                        system, where = self._path(folder)
-                        system.delete(where, True)
+                        self._remove(folder)
                         gone.append(folder)
         return gone
 
@@ -245,6 +261,10 @@ class SnapshotStore:
         system, path = self._path(below)
         return system.exists(path)
 
+    def _remove(self, below: str) -> None:
+        system, path = self._path(below)
+        system.delete(path, True)
+
     def _mark(self, below: str) -> bool:
         """Make an empty file; False if it is there already, which one of two that try is told."""
         system, path = self._path(below)

@@ -6,14 +6,18 @@ and all its entries are in; `stream_counts` keeps live counts without entries
 that were sent again.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyhouse import schema as S
+from tallyhouse.functions import paths
 from tallyhouse.session import settings, unsorted_partitions
 from tallyhouse.sources.manifest import FILES_COLUMNS, derive_columns
-from tallyhouse.sources.store import SnapshotStore
+from tallyhouse.sources.store import SnapshotStore, TooFewRows
 
 #: An end mark: the snapshot is complete when so many different paths are in; without a number, at once.
 END_MARK = "snapshot_id string, entries long, started_at long, ended_at long"
@@ -124,34 +128,60 @@ def stream_commit(
     comes after the commit stays in `landing`.  A batch that is run again after
     a failure replaces what it landed, and finds committed what it committed.
     `options` go to `SnapshotStore.write`.
+
+    The rows of a snapshot are shuffled once, by ranges of paths.  That their
+    paths are too few is only known when they are in the store; then they are
+    taken out again, and tried again once as many rows as were lacking have come.
+    Names and extensions that follow from their path are not landed, but made again.
     """
     spark = store.spark
     none = [F.lit(None).cast(S.FILES[c].dataType).alias(c) for c in FILES_COLUMNS if c != "snapshot_id"]
     marked = marks.select("snapshot_id", *none, F.struct("entries", "started_at", "ended_at").alias("mark"))
     empty = F.lit(None).cast("struct<entries:bigint,started_at:bigint,ended_at:bigint>")
     both = entries.select(FILES_COLUMNS).withColumn("mark", empty).unionByName(marked)
+    short = {}
 
     def take(rows: DataFrame, batch: int) -> None:
-        kind = rows.withColumn("is_mark", F.col("mark").isNotNull())
+        follows = F.coalesce(reduce(and_, (F.col(c).eqNullSafe(made) for c, made in _of_path().items())), F.lit(False))
+        own = {c: F.when(~follows, F.col(c)) for c in _of_path()}
+        kind = rows.withColumns({"is_mark": F.col("mark").isNotNull(), "follows": follows, **own})
         with unsorted_partitions(kind.sparkSession):
             kind.write.mode("overwrite").partitionBy("is_mark", "snapshot_id").option("compression", "zstd").parquet(f"{landing}/batch={batch}")
-        _commit_complete(spark, store, landing, options)
+        _commit_complete(spark, store, landing, options, short)
 
     return both.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take).trigger(availableNow=True).start()
 
 
-def _commit_complete(spark: SparkSession, store: SnapshotStore, landing: str, options: dict) -> None:
-    """Commit the snapshots that are marked, complete and not committed yet."""
+def _of_path() -> dict[str, Column]:
+    """Name and extension as `derive_columns` makes them."""
+    name = paths.base_name("path")
+    return {"name": name, "ext": F.when(~F.col("is_dir"), paths.extension(name))}
+
+
+def _commit_complete(spark: SparkSession, store: SnapshotStore, landing: str, options: dict, short: dict[str, int]) -> None:
+    """Commit the snapshots that are marked, complete and not committed yet.
+
+    `short` holds, by snapshot that was tried, how many rows there must be before it can be complete.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.FILES.fields)
-    came = spark.read.schema(f"{schema}, mark struct<entries:bigint,started_at:bigint,ended_at:bigint>, is_mark boolean, batch long")
+    came = spark.read.schema(f"{schema}, follows boolean, mark struct<entries:bigint,started_at:bigint,ended_at:bigint>, is_mark boolean, batch long")
     came = came.parquet(landing)
     # one row per snapshot that waits
     waiting = came.where("is_mark").where(~F.col("snapshot_id").isin(store.ids())) if store.ids() else came.where("is_mark")
     for one in waiting.groupBy("snapshot_id").agg(F.max(F.struct("batch", "mark")).alias("last")).collect():
         mark, rest = one["last"]["mark"], [c for c in FILES_COLUMNS if c not in ("snapshot_id", "path")]
         own = came.where(~F.col("is_mark") & (F.col("snapshot_id") == one["snapshot_id"]))
-        if mark["entries"] is not None and own.select("path").distinct().count() < mark["entries"]:
-            continue
-        last = own.groupBy("snapshot_id", "path").agg(F.max(F.struct("batch", "size", *(c for c in rest if c != "size"))).alias("last"))
-        whole = last.select("snapshot_id", "path", *(f"last.{c}" for c in rest)).select(FILES_COLUMNS)
-        store.write(whole, one["snapshot_id"], started_at=mark["started_at"], ended_at=mark["ended_at"], **options)
+        wanted = mark["entries"]
+        if wanted is not None:
+            rows = own.count()
+            if rows < max(wanted, short.get(one["snapshot_id"], 0)):
+                continue
+        # by ranges of paths, so that rows of a directory stay together; the sort comes after the shuffle
+        dealt = own.drop("snapshot_id", "mark", "is_mark").repartitionByRange("path")
+        named = dealt.withColumns({c: F.when(F.col("follows"), made).otherwise(F.col(c)) for c, made in _of_path().items()})
+        last = named.groupBy("path").agg(F.max(F.struct("batch", "size", *(c for c in rest if c != "size"))).alias("last"))
+        whole = last.select(F.lit(one["snapshot_id"]).cast("string").alias("snapshot_id"), "path", *(f"last.{c}" for c in rest)).select(FILES_COLUMNS)
+        try:
+            store.write(whole, one["snapshot_id"], started_at=mark["started_at"], ended_at=mark["ended_at"], at_least=wanted, **options)
+        except TooFewRows as few:
+            short[one["snapshot_id"]] = rows + wanted - few.found

@@ -368,6 +368,47 @@ def test_a_stream_commits_a_snapshot_once_when_it_is_complete(spark, listing, tm
     assert run() == [one, "2026-05-15_10-00"] and store.files(one).count() == 5
 
 
+def test_a_stream_commit_writes_no_waiting_snapshot_and_lands_no_derived_name(spark, listing, tmp_path, monkeypatch):
+    source, marks, landing, progress = (str(tmp_path / n) for n in ("in", "marks", "landing", "progress"))
+    store, tried, inner = SnapshotStore(spark, str(tmp_path / "store")), [], SnapshotStore.write
+
+    def write(self, files, *a, **b):
+        tried.append(files._jdf.queryExecution().executedPlan().toString())
+        return inner(self, files, *a, **b)
+
+    def run():
+        stream = streaming.stream_manifest(spark, source, root="/vol", files_per_trigger=1)
+        odd = F.col("path") == paths[0]
+        stream = stream.withColumn("name", F.when(odd, F.lit("odd")).otherwise(F.col("name"))).withColumn("ext", F.when(odd, F.lit("x")).otherwise(F.col("ext")))
+        streaming.stream_commit(stream, streaming.stream_marks(spark, marks), store, landing, progress, root="/vol").awaitTermination()
+        return store.ids()
+
+    monkeypatch.setattr(SnapshotStore, "write", write)
+    one = "2026-05-14_10-00"
+    first = listing.where(F.col("snapshot_id") == one)
+    paths = sorted(r["path"] for r in first.collect())
+    spark.createDataFrame([(one, 3, 5, 9)], streaming.END_MARK).write.json(marks)
+
+    def send(n):
+        first.orderBy("path").limit(n).coalesce(1).write.mode("append").parquet(source)
+
+    send(1)
+    assert run() == [] and not tried
+    for _ in range(3):  # when three are in it is tried; as two were lacking then, one more is not enough
+        send(1)
+    assert run() == [] and len(tried) == 1
+    assert not [f for f in (tmp_path / "store" / "files").rglob("*.parquet")]
+    send(3)
+    assert run() == [one] and len(tried) == 2
+    # one shuffle, and no sort before it
+    assert tried[-1].count("Exchange ") == 1 and "Sort" not in tried[-1][tried[-1].index("Exchange ") :]
+    assert {r["path"]: (r["name"], r["ext"]) for r in store.files(one).collect()} == {
+        p: ("odd", "x") if p == paths[0] else (p.rsplit("/", 1)[1], p.rsplit("/", 1)[1].rsplit(".", 1)[1].lower() if "." in p.rsplit("/", 1)[1] else None) for p in paths
+    }
+    landed = spark.read.parquet(landing).where("NOT is_mark")
+    assert landed.where(F.col("path") != paths[0]).where("name IS NOT NULL OR ext IS NOT NULL").isEmpty()
+
+
 def test_a_snapshot_can_be_replaced_by_what_it_holds(snaps, seeded):
     snaps.write(seeded, "2026-05-15_10-00", directories=True, tree=True)
     before = snaps.files("@latest")
