@@ -7,8 +7,8 @@ from tallyhouse.operators import listings, sqlview
 from tallyhouse.operators.usage import dir_usage, usage_rows
 from tallyhouse.plans import inventory as I
 from tallyhouse.plans.registry import entries, export, landing_folder, query, store
-from tallyhouse.schema import SCHEMA_VERSION
-from tallyhouse.session import working_folder
+from tallyhouse.schema import MANIFEST, SCHEMA_VERSION
+from tallyhouse.session import hadoop_path, unsorted_partitions, working_folder
 from tallyhouse.sources import envelope, manifest
 from tallyhouse.sources import store as snapshots
 from tallyhouse.sources.store import SnapshotStore
@@ -364,18 +364,32 @@ _LANDED = I.inventory_sql(
 
 
 def _sent_in_parts(spark, sf_dir):
-    """(folder, a function that sends the rest): an export of which a part comes first, and a part of that again later."""
-    rows = I.listing_export(spark, sf_dir)
-    first = F.pmod(F.xxhash64("path"), F.lit(3))
-    folder = landing_folder(spark, rows.where(first == 0), "parquet")
-    again = rows.where(first > 0).unionByName(rows.where((first == 0) & (F.col("mtime") % 2 == 0)))
-    return folder, lambda: export(again, "parquet").mode("append").save(folder)
+    """(folder, a function that sends the rest, all rows once): an export of which a part comes first, and a part of that again later.
+
+    The files are derived once, for both parts; those of the rest wait beside the folder and are moved there.
+    """
+    first = F.pmod(F.xxhash64("path"), F.lit(3)) == 0
+    sent = F.when(first & (F.col("mtime") % 2 == 0), F.array(F.lit(0), F.lit(1))).when(first, F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+    made = working_folder(spark, "export")
+    with unsorted_partitions(spark):
+        export(I.listing_export(spark, sf_dir).select("*", F.explode(sent).alias("part")), "parquet").partitionBy("part").save(made)
+    rows = spark.read.schema(MANIFEST).option("basePath", made)
+    once = rows.parquet(f"{made}/part=0").unionByName(rows.parquet(f"{made}/part=1").where(~first))
+
+    def send():
+        system, waiting = hadoop_path(spark, f"{made}/part=1/*.parquet")
+        for one in system.globStatus(waiting) or []:
+            # a task names its files of both parts alike
+            if not system.rename(one.getPath(), hadoop_path(spark, f"{made}/part=0/rest-{one.getPath().getName()}")[1]):
+                raise OSError(f"not sent: {one.getPath()}")
+
+    return f"{made}/part=0", send, once
 
 
 @query("stream_counts", _LANDED)
 def stream_counts(spark, sf_dir):
     """Counts from the stream's own output, over several batches and a restart, entries sent again left out."""
-    folder, send = _sent_in_parts(spark, sf_dir)
+    folder, send, _ = _sent_in_parts(spark, sf_dir)
     counts, checkpoint = working_folder(spark, "counts"), working_folder(spark, "progress")
 
     def run():
@@ -391,11 +405,11 @@ def stream_counts(spark, sf_dir):
 @query("stream_commit", _LANDED)
 def stream_commit(spark, sf_dir):
     """Snapshots that a stream commits when their end marks have come and all entries are in."""
-    folder, send = _sent_in_parts(spark, sf_dir)
+    folder, send, once = _sent_in_parts(spark, sf_dir)
     names = ("marks", "landing", "progress", "stream-store")
     marks, landing, checkpoint, root = (working_folder(spark, n) for n in names)
     none = F.lit(None).cast("long")
-    ends = I.listing_export(spark, sf_dir).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("entries"))
+    ends = once.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("entries"))
     ends.withColumns({"started_at": none, "ended_at": none}).write.mode("append").json(marks)
     made = SnapshotStore(spark, root)
 

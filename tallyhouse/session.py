@@ -38,9 +38,19 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+#: Shuffled rows leave the executors' disks when the job that made them ends, in place of when the driver collects garbage.
+NO_SHUFFLE_KEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def unsorted_partitions(spark: SparkSession):
-    """Writes by partition go to open files, without a sort of all rows by partition before."""
-    return settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)})
+    """Writes by partition go to open files, without a sort of all rows by partition before; they keep no shuffled rows."""
+    return settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES), **NO_SHUFFLE_KEPT})
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path; a job cannot list, move or remove files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def written(rows: DataFrame, label: str) -> DataFrame:

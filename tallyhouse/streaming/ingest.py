@@ -6,6 +6,7 @@ and all its entries are in; `stream_counts` keeps live counts without entries
 that were sent again.
 """
 
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -15,13 +16,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyhouse import schema as S
 from tallyhouse.functions import paths
-from tallyhouse.session import settings, unsorted_partitions
+from tallyhouse.functions.hashes import hash_test
+from tallyhouse.session import NO_SHUFFLE_KEPT, hadoop_path, settings, unsorted_partitions
 from tallyhouse.sources.manifest import FILES_COLUMNS, derive_columns
 from tallyhouse.sources.store import SnapshotStore, TooFewRows
 
 #: An end mark: the snapshot is complete when so many different paths are in; without a number, at once.
 END_MARK = "snapshot_id string, entries long, started_at long, ended_at long"
 
+_COUNTS = "snapshot_id string, entries long, bytes long, batch long"
+#: A path that has come, and the microsecond it did.
+_SEEN = "snapshot_id string, path string, size long, arrived long"
+#: Beyond so many folders of paths that have come they are made one.
+MOST_FOLDERS = 100
+
 _ROCKSDB = "spark.sql.streaming.stateStore.rocksdb"
 #: State in files instead of the heap: an executor holds part of it in bounded memory, and a batch saves its changes only.
 STATE_ON_DISK = {
@@ -82,32 +90,85 @@ def stream_counts(entries: DataFrame, folder: str, checkpoint: str, delay: str =
     """Write running counts of a stream to `folder` as they change, taking what is there now and stopping.
 
     A path that comes again for its snapshot within `delay` of its first arrival
-    is not counted again.  The time is that of arrival, so that no entry is ever
-    too late to count.  State holds the paths of the last `delay` and one row per
-    snapshot; for listings that do not fit in the executors' memory set
-    `spark.sql.streaming.stateStore.providerClass` to the RocksDB provider.  Each
-    batch replaces what an attempt before it wrote.
+    is not counted again; of a path that comes several times in a batch the
+    greatest size counts.  The time is that of arrival, so that no entry is ever
+    too late to count.  Two streams follow each other, each started again from
+    where it was: the first, which is over when this returns, keeps the entries
+    that are new and counts them by batch, the second adds these counts up.
+    Below `checkpoint` lie the paths of the last `delay`, in Parquet, and one row
+    of state per snapshot.  Each batch replaces what an attempt before it wrote.
     """
-    timed = entries.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
-    once = timed.dropDuplicatesWithinWatermark(["snapshot_id", "path"])
+    spark, fresh = entries.sparkSession, f"{checkpoint}/fresh"
+    _arrival(spark, delay)
+    system, path = hadoop_path(spark, fresh)
+    system.mkdirs(path)
+
+    def take(rows: DataFrame, batch: int) -> None:
+        with settings(rows.sparkSession, {"spark.sql.adaptive.enabled": "true", **NO_SHUFFLE_KEPT}):
+            new = _keep_new(rows, batch, f"{checkpoint}/seen", delay)
+            running_counts(new).coalesce(1).write.mode("overwrite").parquet(f"{fresh}/batch={batch}")
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
-    writer = (
-        running_counts(once)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(put)
-        .trigger(availableNow=True)
-    )
-    with settings(entries.sparkSession, STATE_ON_DISK):
+    arriving = entries.select("snapshot_id", "path", "size").writeStream.option("checkpointLocation", f"{checkpoint}/arrivals")
+    arriving.foreachBatch(take).trigger(availableNow=True).start().awaitTermination()
+    # one file, and so one batch, for each batch of the first stream
+    counted = spark.readStream.schema(_COUNTS).option("maxFilesPerTrigger", 1).parquet(fresh)
+    totals = counted.groupBy("snapshot_id").agg(F.sum("entries").alias("entries"), F.sum("bytes").alias("bytes"))
+    writer = totals.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True)
+    with settings(spark, STATE_ON_DISK):
         return writer.start()
 
 
+def _arrival(spark: SparkSession, delay: str) -> tuple[int, int]:
+    """Now and `delay` before, in microseconds."""
+    return tuple(spark.sql("SELECT unix_micros(now()), unix_micros(now() - CAST(:delay AS INTERVAL))", args={"delay": delay}).first())
+
+
+def _keep_new(rows: DataFrame, batch: int, seen: str, delay: str) -> DataFrame:
+    """Add the entries of a batch that have not come within `delay` to the folders below `seen`, and return them.
+
+    One aggregation holds the batch and those earlier paths that pass a bitmap of
+    the batch's, so what is shuffled grows with the batch; the others are scanned.
+    """
+    spark = rows.sparkSession
+    now, earliest = _arrival(spark, delay)
+    system, path = hadoop_path(spark, f"{seen}/*-*-*")
+    found = [f.getPath() for f in system.globStatus(path) or []]
+    # <batch>-<last arrival in it>-<any>, so that a merge and what it merges can stand side by side
+    parts = {f: [int(x) for x in f.getName().split("-")[:2]] for f in found}
+    for f, (n, last) in parts.items():
+        if n >= batch or last < earliest:
+            system.delete(f, True)
+    kept = [f for f, (n, last) in parts.items() if n < batch and last >= earliest]
+
+    def put(made: DataFrame, n: int, last: int) -> str:
+        folder = f"{seen}/{n}-{last}-{uuid.uuid4().hex}"
+        made.write.option("compression", "zstd").parquet(folder)
+        return folder
+
+    def read(*folders: str) -> DataFrame:
+        return spark.read.schema(_SEEN).parquet(*folders)
+
+    if len(kept) > MOST_FOLDERS:
+        before = read(*(f.toString() for f in kept)).where(F.col("arrived") >= earliest)
+        merged = put(before, max(parts[f][0] for f in kept), max(parts[f][1] for f in kept))
+        for f in kept:
+            system.delete(f, True)
+        kept = [hadoop_path(spark, merged)[1]]
+    both = rows.select("snapshot_id", "path", "size", F.lit(False).alias("again"))
+    if kept:
+        came = hash_test(rows.select("snapshot_id", "path"), rows.count())
+        before = read(*(f.toString() for f in kept)).where((F.col("arrived") >= earliest) & came("snapshot_id", "path"))
+        both = both.unionByName(before.select("snapshot_id", "path", F.lit(None).cast("long").alias("size"), F.lit(True).alias("again")))
+    once = both.groupBy("snapshot_id", "path").agg(F.max("size").alias("size"), F.max("again").alias("again")).where("NOT again")
+    return read(put(once.select("snapshot_id", "path", "size", F.lit(now).alias("arrived")), batch, now))
+
+
 def latest_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The last counts of each snapshot that `stream_counts` wrote."""
-    written = spark.read.schema("snapshot_id string, entries long, bytes long, batch long").parquet(folder)
+    written = spark.read.schema(_COUNTS).parquet(folder)
     last = written.groupBy("snapshot_id").agg(F.max(F.struct("batch", "entries", "bytes")).alias("last"))
     return last.select("snapshot_id", "last.entries", "last.bytes")
 

@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
+from tallyhouse.functions.hashes import hash_test
 from tallyhouse.functions.paths import parent_dir
 from tallyhouse.operators import ignore
 from tallyhouse.plans import inventory, registry
@@ -68,6 +69,45 @@ def test_paths_a_stream_has_seen_are_kept_on_disk(spark, tmp_path):
     assert [tuple(r) for r in streaming.latest_counts(spark, f"{tmp_path}/out").collect()] == [("2024-01-01_06-00", 40, sum(range(40)))]
 
 
+def test_a_hash_test_passes_its_keys_and_few_others(spark):
+    keys = spark.range(5000).select(F.when(F.col("id") > 0, F.concat(F.lit("/vol/"), F.col("id"))).alias("path"), (F.col("id") % 3).alias("n"))
+    test = hash_test(keys, 5000)
+    assert keys.where(test("path", "n")).count() == 5000
+    assert keys.where(test("path", F.col("n") + 3)).count() < 500
+    assert keys.where(test("path", "n").isNull()).isEmpty()
+
+
+def test_paths_seen_before_are_not_shuffled_for_a_batch_without_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "MOST_FOLDERS", 3)
+    seen = f"{tmp_path}/seen"
+
+    def batch(n, first, last):
+        rows = spark.range(first, last).select(F.lit("2024-01-01_06-00").alias("snapshot_id"), F.concat(F.lit("/vol/"), F.col("id")).alias("path"), F.col("id").alias("size"))
+        return streaming._keep_new(rows.unionByName(rows.limit(2)), n, seen, delay).count()
+
+    delay = "7 days"
+    assert [batch(n, 1000 * n, 1000 * n + 1000) for n in range(5)] == [1000] * 5
+    assert len(os.listdir(seen)) == 2  # the first four are one
+    assert batch(5, 4900, 5100) == 100
+    assert batch(5, 4900, 5100) == 100  # an attempt after a failure
+    assert batch(6, 0, 5100) == 0
+    both = spark.read.schema(streaming._SEEN).parquet(*(f"{seen}/{f}" for f in os.listdir(seen)))
+    few = both.where("size BETWEEN 100 AND 109").select("snapshot_id", "path")
+    assert both.where(hash_test(few, 10)("snapshot_id", "path")).count() < 500
+    delay = "0 seconds"
+    assert batch(7, 0, 10) == 10 and len(os.listdir(seen)) == 1  # what has expired is counted again, and gone
+
+
+def test_counts_of_a_stream_hold_no_row_of_state_for_a_path(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01_06-00", f"/vol/{i}", i, None, i, False) for i in range(40)], S.MANIFEST)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    arriving = streaming.stream_manifest(spark, f"{tmp_path}/in", root="/vol")
+    query = streaming.stream_counts(arriving, f"{tmp_path}/out", f"{tmp_path}/progress")
+    query.awaitTermination()
+    state = [o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert sum(state) == 1 and [tuple(r) for r in streaming.latest_counts(spark, f"{tmp_path}/out").collect()] == [("2024-01-01_06-00", 40, sum(range(40)))]
+
+
 def test_names_meet_only_the_patterns_they_hold(spark, entries):
     # all patterns share each run of four characters with many others
     patterns = spark.range(2000).select(F.format_string("f%04d_", F.col("id")).alias("pattern"))
