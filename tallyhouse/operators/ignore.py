@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
+from tallyhouse.functions.hashes import hash_test
 from tallyhouse.functions.paths import contains_any
+from tallyhouse.session import written
 
 #: Bytes of a pattern that its index looks at.
 GRAM = 16
@@ -66,9 +68,11 @@ def ignore_by_table(files: DataFrame, patterns: DataFrame, subtrees: bool = Fals
     have.  So a name is compared with patterns it holds, and with longer ones of a
     gram that it holds.  The runs of the distinct names first pass a bitmap of the
     grams, so that few are shuffled, then meet the grams in an equi-join that also
-    tests the whole pattern; the names found are taken out by an anti join.  NULL
-    and empty patterns exclude nothing, an entry without a name stays.  `subtrees`
-    and `root` are those of `ignore_filter`.
+    tests the whole pattern.  The names found are written to a working folder and
+    taken out by an anti join, which only the entries whose name passes a bitmap of
+    them go through; the others stay where they are.  NULL and empty patterns
+    exclude nothing, an entry without a name stays.  `subtrees` and `root` are those
+    of `ignore_filter`.
     """
     tested = F.substr("path", F.lit(len(root.rstrip("/")) + 1)) if subtrees else F.col("name")
     index = pattern_index(patterns)
@@ -79,8 +83,13 @@ def ignore_by_table(files: DataFrame, patterns: DataFrame, subtrees: bool = Fals
     names = files.select(tested.alias("_tested")).where("_tested IS NOT NULL").distinct()
     held = _held(names, sorted(counts), _bitmap(index, sorted(counts), sum(counts.values())))
     holds = (F.col("_gram") == F.col("gram")) & F.contains(F.col("_tested").cast("binary"), F.col("pattern"))
-    unwanted = held.join(index, holds, "left_semi").select("_tested").distinct()
-    return files.join(unwanted, tested == F.col("_tested"), "left_anti")
+    unwanted = written(held.join(index, holds, "left_semi").select("_tested").distinct(), "unwanted")
+    n = unwanted.count()
+    if not n:
+        return files
+    doubtful = tested.isNotNull() & hash_test(unwanted, n)(tested)
+    kept = files.where(doubtful).join(unwanted, tested == F.col("_tested"), "left_anti")
+    return files.where(~doubtful).unionByName(kept)
 
 
 def pattern_index(patterns: DataFrame) -> DataFrame:

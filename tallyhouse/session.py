@@ -61,7 +61,8 @@ def written(rows: DataFrame, label: str) -> DataFrame:
     checkpoint files, the folder is left to the owner of `spark.checkpoint.dir`.
     """
     folder = working_folder(rows.sparkSession, label)
-    rows.write.option("compression", "zstd").parquet(folder)
+    with settings(rows.sparkSession, NO_SHUFFLE_KEPT):
+        rows.write.option("compression", "zstd").parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 

@@ -10,7 +10,7 @@ from tallyhouse.functions.hashes import hash_test
 from tallyhouse.functions.paths import parent_dir
 from tallyhouse.operators import ignore
 from tallyhouse.plans import inventory, registry
-from tallyhouse.session import unsorted_partitions
+from tallyhouse.session import unsorted_partitions, written
 from tallyhouse.streaming import ingest as streaming
 
 
@@ -119,3 +119,32 @@ def test_names_meet_only_the_patterns_they_hold(spark, entries):
     long = spark.createDataFrame([("a" * 30 + "é",), ("b" * 16,), ("é" * 9,)], "pattern string")
     files = entries(("/" + "x" + "a" * 30 + "éy", 1), ("/" + "a" * 31, 1), ("/" + "é" * 9, 1), ("/" + "é" * 8, 1), ("/c" + "b" * 17, 1))
     assert sorted(r["path"] for r in ignore.ignore_by_table(files, long).collect()) == sorted(["/" + "a" * 31, "/" + "é" * 8])
+
+
+def test_entries_that_hold_no_pattern_are_not_shuffled(spark, entries):
+    names = [f"f{i:04d}_x.log" for i in range(2000)]
+    files = entries(*((f"/vol/{n}", 1) for n in names)).withColumn("name", F.when(F.col("name") != "f0100_x.log", F.col("name")))
+    patterns = spark.createDataFrame([("f0007_",), ("f0100_",), ("f0200",), (None,), ("",)], "pattern string")
+    kept = ignore.ignore_by_table(files, patterns)
+    assert sorted(r["path"] for r in kept.collect()) == [f"/vol/{n}" for n in names if n[:5] not in ("f0007", "f0200")]
+    # of the two halves only the one whose names pass the bitmap goes into a join
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 1 and plan.index("Union") < plan.index("Join LeftAnti")
+    assert plan.count("getbit") >= 2
+    assert ignore.ignore_by_table(files, patterns.where("pattern = 'nowhere'")) is files
+    none = ignore.ignore_by_table(files, spark.createDataFrame([("nowhere",)], "pattern string"))
+    assert none is files
+
+
+def test_a_write_keeps_no_shuffled_rows(spark, tmp_path):
+    def left():
+        return sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**/shuffle_*.data", recursive=True))
+
+    folder = spark.conf.get("spark.local.dir", None) or spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()[0].getPath()
+    rows = spark.range(200_000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).alias("part")).repartitionByRange(4, "id")
+    before = left()
+    with unsorted_partitions(spark):
+        rows.write.partitionBy("part").parquet(f"{tmp_path}/rows")
+    written(rows, "kept")
+    assert left() <= before
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 200_000
