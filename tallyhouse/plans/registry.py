@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from tallyhouse.plans.inventory import DIR_MTIME, IDS, ROOT, file_rows
-from tallyhouse.session import working_folder
+from tallyhouse.session import PACKED, working_folder
 from tallyhouse.sources.store import SnapshotStore
 
 QUERIES = {}
@@ -49,7 +49,7 @@ def landing_folder(spark: SparkSession, rows: DataFrame, fmt: str) -> str:
 
 def export(rows: DataFrame, fmt: str) -> DataFrameWriter:
     """A writer of listing exports, compressed; a Parquet file in parts that several tasks can read."""
-    writer = rows.write.format(fmt).option("compression", "zstd" if fmt == "parquet" else "gzip")
     if fmt == "parquet":
-        writer = writer.option("parquet.block.size", 16 << 20)
+        return rows.write.format(fmt).options(**PACKED).option("parquet.block.size", 16 << 20)
+    writer = rows.write.format(fmt).option("compression", "gzip")
     return writer.option("header", True) if fmt == "csv" else writer

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyhouse import schema as S
 from tallyhouse.functions import paths
 from tallyhouse.functions.hashes import hash_test
-from tallyhouse.session import NO_SHUFFLE_KEPT, hadoop_path, settings, unsorted_partitions
+from tallyhouse.session import NO_SHUFFLE_KEPT, PACKED, hadoop_path, settings, unsorted_partitions
 from tallyhouse.sources.manifest import FILES_COLUMNS, derive_columns
 from tallyhouse.sources.store import SnapshotStore, TooFewRows
 
@@ -60,7 +60,7 @@ def stream_ingest(entries: DataFrame, landing: str, checkpoint: str) -> Streamin
     writer = (
         entries.writeStream.format("parquet")
         .partitionBy("snapshot_id")
-        .option("compression", "zstd")
+        .options(**PACKED)
         .option("path", landing)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -145,7 +145,7 @@ def _keep_new(rows: DataFrame, batch: int, seen: str, delay: str) -> DataFrame:
 
     def put(made: DataFrame, n: int, last: int) -> str:
         folder = f"{seen}/{n}-{last}-{uuid.uuid4().hex}"
-        made.write.option("compression", "zstd").parquet(folder)
+        made.write.options(**PACKED).parquet(folder)
         return folder
 
     def read(*folders: str) -> DataFrame:
@@ -207,7 +207,7 @@ def stream_commit(
         own = {c: F.when(~follows, F.col(c)) for c in _of_path()}
         kind = rows.withColumns({"is_mark": F.col("mark").isNotNull(), "follows": follows, **own})
         with unsorted_partitions(kind.sparkSession):
-            kind.write.mode("overwrite").partitionBy("is_mark", "snapshot_id").option("compression", "zstd").parquet(f"{landing}/batch={batch}")
+            kind.write.mode("overwrite").partitionBy("is_mark", "snapshot_id").options(**PACKED).parquet(f"{landing}/batch={batch}")
         _commit_complete(spark, store, landing, options, short)
 
     return both.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take).trigger(availableNow=True).start()

@@ -3,14 +3,17 @@
 import glob
 import os
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tallyhouse import schema as S
 from tallyhouse.functions.hashes import hash_test
 from tallyhouse.functions.paths import parent_dir
 from tallyhouse.operators import ignore
+from tallyhouse.plans import ingest as plans
 from tallyhouse.plans import inventory, registry
 from tallyhouse.session import unsorted_partitions, written
+from tallyhouse.sources import manifest
 from tallyhouse.streaming import ingest as streaming
 
 
@@ -136,6 +139,38 @@ def test_entries_that_hold_no_pattern_are_not_shuffled(spark, entries):
     assert none is files
 
 
+def test_paths_and_numbers_are_stored_by_their_differences(spark, tmp_path):
+    # five snapshots of each file, one after the other, as exports have them
+    rows = spark.range(40_000).select(
+        F.concat(F.lit("2024-01-0"), F.col("id") % 5 + 1, F.lit("_06-00")).alias("snapshot_id"), F.format_string("/vol/s%d/web/f%d_%d.log", F.col("id") % 7, F.floor(F.col("id") / 5), F.xxhash64(F.floor(F.col("id") / 5)) % 20000).alias("path"),
+        (F.xxhash64("id") % 1000 + 5000).alias("size"), F.lit(None).cast("long").alias("physical_size"), (F.col("id") * 7919 % 4000000).alias("mtime"), F.lit(False).alias("is_dir"),
+    ).coalesce(1)
+    folder = registry.landing_folder(spark, rows, "parquet")
+    store = registry.SnapshotStore(spark, f"{tmp_path}/store")
+    store.write(manifest.ingest_manifest(spark, folder, root="/vol"), root="/vol", directories=True)
+    for file in (*glob.glob(f"{folder}/*.parquet"), *glob.glob(f"{tmp_path}/store/files/**/*.parquet", recursive=True)):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        packed = {group.column(i).path_in_schema: set(group.column(i).encodings) for i in range(group.num_columns)}
+        assert "DELTA_BYTE_ARRAY" in packed["path"] and all("DELTA_BINARY_PACKED" in packed[c] for c in ("size", "mtime"))
+    assert sorted(map(tuple, spark.read.schema(S.MANIFEST).parquet(folder).collect())) == sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, store.files().where("NOT is_dir").select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_an_export_sent_in_parts_is_derived_once(spark, tmp_path, monkeypatch):
+    sf_dir, derived, inner = _lines(spark, tmp_path, 3000), [], inventory.listing_export
+    monkeypatch.setattr(inventory, "listing_export", lambda *a: derived.append(1) or inner(*a))
+    folder, send, once = plans._sent_in_parts(spark, sf_dir)
+    assert len(derived) == 1
+    rows = inner(spark, sf_dir)
+    first = F.pmod(F.xxhash64("path"), F.lit(3))
+    came = lambda: sorted(map(str, spark.read.schema(S.MANIFEST).parquet(folder).collect()))
+    assert came() == sorted(map(str, rows.where(first == 0).collect()))
+    assert sorted(map(str, once.select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    send()
+    again = rows.where(first > 0).unionByName(rows.where((first == 0) & (F.col("mtime") % 2 == 0)))
+    assert came() == sorted(map(str, rows.where(first == 0).unionByName(again).collect()))
+
+
 def test_a_write_keeps_no_shuffled_rows(spark, tmp_path):
     def left():
         return sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**/shuffle_*.data", recursive=True))
