@@ -90,11 +90,11 @@ def stream_counts(entries: DataFrame, folder: str, checkpoint: str, delay: str =
     """Write running counts of a stream to `folder` as they change, taking what is there now and stopping.
 
     A path that comes again for its snapshot within `delay` of its first arrival
-    is not counted again; of a path that comes several times in a batch the
-    greatest size counts.  The time is that of arrival, so that no entry is ever
-    too late to count.  Two streams follow each other, each started again from
-    where it was: the first, which is over when this returns, keeps the entries
-    that are new and counts them by batch, the second adds these counts up.
+    is not counted again; the first counts, also in a batch.  The time is that of
+    arrival, so that no entry is ever too late to count.  Two streams follow each
+    other, each started again from where it was: the first, which is over when
+    this returns, keeps the entries that are new and counts them by batch, the
+    second adds these counts up.
     Below `checkpoint` lie the paths of the last `delay`, in Parquet, and one row
     of state per snapshot.  Each batch replaces what an attempt before it wrote.
     """
@@ -162,7 +162,7 @@ def _keep_new(rows: DataFrame, batch: int, seen: str, delay: str) -> DataFrame:
         came = hash_test(rows.select("snapshot_id", "path"), rows.count())
         before = read(*(f.toString() for f in kept)).where((F.col("arrived") >= earliest) & came("snapshot_id", "path"))
         both = both.unionByName(before.select("snapshot_id", "path", F.lit(None).cast("long").alias("size"), F.lit(True).alias("again")))
-    once = both.groupBy("snapshot_id", "path").agg(F.max("size").alias("size"), F.max("again").alias("again")).where("NOT again")
+    once = both.groupBy("snapshot_id", "path").agg(F.first("size").alias("size"), F.max("again").alias("again")).where("NOT again")
     return read(put(once.select("snapshot_id", "path", "size", F.lit(now).alias("arrived")), batch, now))
 
 
